@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keep")
+
+
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulespan.llm.quality_pu import quality_classifier
 
@@ -23,6 +29,12 @@ def op4_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulespan.llm.language_id import language_id
 
@@ -36,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_pu, op4_toxicity_ordinal, op6_language_id, op10_quality_rules)
+    f.__name__: f for f in (op1_order_minhash, op3_quality_pu, op4_toxicity_ordinal, op5_substring_dedup, op6_language_id, op10_quality_rules)
 }
 
 _OP10 = r"""
@@ -72,4 +84,24 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_quality_rules": _OP10}
+_OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT r, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+), rep AS (
+  SELECT r, i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT r, i + j AS p FROM (SELECT r, i, unnest(range(0, 35)) AS j FROM rep)
+), w AS (
+  SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d
+), k AS (
+  SELECT w.r, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (gone.p IS NULL) AS kept
+  FROM w LEFT JOIN gone ON w.r = gone.r AND w.p = gone.p GROUP BY w.r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op10_quality_rules": _OP10}
