@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm.common import SLAB_BYTES, U64, Slab, slabs, split_words
-from rulespan.llm.quality_rules import _IS_BLANK, _IS_SYMBOL, repeated_words
+from rulespan.llm.quality_rules import _IS_BLANK, _IS_SYMBOL, repeated_words, stutter_words
 
-STATS = ("log_words", "word_length", "symbols", "marks", "capitals", "digits", "repeats", "line_length")
+STATS = ("log_words", "word_length", "symbols", "marks", "capitals", "digits", "repeats", "line_length", "stutter")
 
 
 def share_below(key: Column, rows: int, of: int, seed: int) -> Column:
@@ -50,6 +50,7 @@ def text_stats(slab: Slab, offsets: np.ndarray) -> np.ndarray:
         sums((data >= 48) & (data <= 57), offsets) / filled,
         repeated_words(slab) / n,
         np.log1p(n / lines),
+        stutter_words(slab) / n,
     )
     return np.stack(columns, 1)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm.common import crc_mod
-from rulespan.llm.features import quality_scores, quality_vectors, share_below, training_rows
+from rulespan.llm.features import STATS, quality_scores, quality_vectors, share_below, training_rows
 
 DIMS = 2048
 POSITIVES = 3000
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, positives: int =
     x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float16).reshape(sample.num_rows, -1).astype(np.float32)
     p, u = (np.array(sample.column(c).to_pylist(), bool) for c in ("p", "u"))
     if not p.any() or not u.any():
-        width = x.shape[1] if x.size else dims + 8
+        width = x.shape[1] if x.size else dims + len(STATS)
         return LinearModel(np.zeros(width), float(np.log(prior / (1 - prior))), prior)
     order = np.lexsort(x[:, :16].T)  # rows arrive in any order; sums should not depend on it
     x, p, u = x[order], p[order], u[order]

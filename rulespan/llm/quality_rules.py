@@ -23,8 +23,8 @@ from rulespan.llm.common import BLANKS, WORD_POWERS, RangeHash, Slab, windows, w
 REPEAT_WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 PILOT_ROWS = 400
+PILOT_CHARS = 50_000
 
-_PILOT = pa.schema([("rule", pa.string()), ("seconds", pa.float64()), ("rejected", pa.int64())])
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[np.frombuffer(SYMBOLS, np.uint8)] = True
 _IS_BLANK = np.zeros(256, bool)
@@ -80,6 +80,15 @@ def base_counts(text: pa.Array) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
+def stutter_words(slab: Slab) -> np.ndarray:
+    """Per document, words equal to the word before them."""
+    same = np.zeros(len(slab.hash), bool)
+    same[1:] = slab.hash[1:] == slab.hash[:-1]
+    heads = slab.first[:-1]
+    same[heads[heads < len(same)]] = False
+    return _sums(same, slab.first)
+
+
 @dataclass(frozen=True)
 class Rule:
     """``rejects`` gets the counts and texts of the documents still in play."""
@@ -98,12 +107,19 @@ def _line_lengths(counts: dict[str, np.ndarray], text: pa.Array) -> np.ndarray:
     return np.array(bad, bool)
 
 
+def _stutter(counts: dict[str, np.ndarray], text: pa.Array) -> np.ndarray:
+    """More than three words in ten repeat the word before them."""
+    parts = [stutter_words(slab) for _, _, slab in word_slabs(text)]
+    return 10 * np.concatenate(parts) > 3 * counts["n_words"] if parts else np.zeros(0, bool)
+
+
 RULES = (
-    Rule("symbols", lambda c, t: 10 * c["n_symbols"] > c["word_chars"]),
+    Rule("symbols", lambda c, t: 20 * c["n_symbols"] > c["word_chars"]),
     Rule("long_words", lambda c, t: c["word_chars"] > 40 * c["n_words"]),
     Rule("short_words", lambda c, t: c["word_chars"] < 2 * c["n_words"]),
     Rule("few_letters", lambda c, t: 2 * c["n_letters"] < c["word_chars"]),
     Rule("line_fragments", _line_lengths),
+    Rule("stutter", _stutter),
 )
 
 
@@ -136,25 +152,20 @@ def cascade(counts: dict[str, np.ndarray], text: pa.Array, alive: np.ndarray, ru
     return alive
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, pilot_rows: int = PILOT_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, pilot_rows: int = PILOT_ROWS, pilot_chars: int = PILOT_CHARS) -> DataFrame:
     """Count, judge and return every row of ``docs`` (doc_id, text).
 
     One narrow pass: no shuffle, each document is read once and whole.  The
-    pilot is a job of its own over at most ``pilot_rows`` whole texts and sends
-    one line a rule and batch to the driver.  A null text counts as empty, so
+    pilot takes the first ``pilot_rows`` whole texts of at most ``pilot_chars``
+    characters, which bounds what the driver holds; Spark reads as few
+    partitions as that needs.  A null text counts as empty, so
     it fails the base rule; rows with equal or null ids are judged one by one;
     an empty table gives an empty result; columns other than doc_id and text
     are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist(pilot(batch.column("text"), rules), _PILOT)
-
-    report = docs.limit(pilot_rows).mapInArrow(timed, "rule string, seconds double, rejected long")
-    report = report.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
-    ordered = order_rules([r.asDict() for r in report.collect()], rules)
+    sample = docs.filter(F.length("text") <= pilot_chars).select("text").limit(pilot_rows).collect()
+    ordered = order_rules(pilot(pa.array([r[0] for r in sample], pa.string()), rules), rules)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

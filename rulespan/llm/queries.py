@@ -69,18 +69,20 @@ WITH d AS (
   SELECT r, sum(c - 1) AS n_dup_lines FROM (SELECT r, l, count(*) AS c FROM ln WHERE n > 0 GROUP BY r, l) GROUP BY r
 ), frag AS (
   SELECT r, count(*) FILTER (n > 0) AS filled, count(*) FILTER (n IN (1, 2)) AS short FROM ln GROUP BY r
+), st AS (
+  SELECT r, count(*) AS stutter FROM (SELECT r, ws, unnest(range(2, len(ws) + 1)) AS i FROM w) WHERE ws[i] = ws[i - 1] GROUP BY r
 ), m AS (
   SELECT w.r, doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-    coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters, filled, short
-  FROM w LEFT JOIN cov USING (r) LEFT JOIN dup USING (r) LEFT JOIN frag USING (r)
+    coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters, filled, short, coalesce(stutter, 0) AS stutter
+  FROM w LEFT JOIN cov USING (r) LEFT JOIN dup USING (r) LEFT JOIN frag USING (r) LEFT JOIN st USING (r)
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 40 * n_words OR word_chars < 2 * n_words
-       OR 2 * letters < word_chars OR (filled > 10 AND 10 * short > 9 * filled)) AS kept
+  NOT (base_failed OR 20 * n_symbols > word_chars OR word_chars > 40 * n_words OR word_chars < 2 * n_words
+       OR 2 * letters < word_chars OR (filled > 10 AND 10 * short > 9 * filled) OR 10 * stutter > 3 * n_words) AS kept
 FROM b
 """
 
