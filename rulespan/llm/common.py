@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLAB_BYTES = 1 << 21
@@ -196,3 +196,20 @@ def windows(slab: Slab, k: int) -> np.ndarray:
 def per_document(first: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many of the positions ``at`` (ascending) fall to each document."""
     return np.diff(np.searchsorted(at, first))
+
+
+def numbered(rows: DataFrame, by: list[str], order: Column, salts: int = 1024) -> DataFrame:
+    """Number the rows of each group ``by`` from 0 in a fixed, seeded order.
+
+    Adds ``rank``.  A group is cut into ``salts`` parts by the 64-bit hash
+    ``order``; the parts' sizes are counted first, so a part starts its
+    numbers where the one before ended and no task sorts a whole group.
+    Rows with equal hashes are interchangeable.
+    """
+    rows = rows.withColumn("_order", order).withColumn("_part", F.pmod("_order", F.lit(salts)))
+    keys = [*by, "_part"]
+    parts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(parts.select(*keys, before.alias("_before")), keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
+    return rows.withColumn("rank", F.col("_before") + place - 1).drop("_order", "_part", "_before")

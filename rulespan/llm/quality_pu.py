@@ -74,6 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, positives: int =
     Labels are read for training only, and never those of the held-out fold.
     Without a trusted positive the model is constant at the prior.
     """
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     fold = crc_mod(F.col("doc_id"), FOLDS) != 0
     known = labels.filter(fold).filter("quality is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("quality") == 1).cast("int")), F.lit(0)).alias("good")).first()
     prior = min(0.98, max(0.02, (known["good"] + 1) / (known["n"] + 2)))
@@ -99,6 +100,12 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, positives: int =
     return fit_nnpu(x[p], x[u], prior)
 
 
+def _scorer(model: LinearModel, dims: int):
+    """Scores of the ``text`` column of a batch."""
+    weights, bias = model.weights, model.bias
+    return lambda batch: sigmoid(quality_scores(batch.column("text"), weights, bias, dims))
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, dims: int = DIMS) -> DataFrame:
     """Score every whole text of ``docs`` (doc_id, text); one narrow pass, no shuffle.
 
@@ -108,14 +115,23 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = TH
     result; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    model = train(docs, labels, dims)
-    weights, bias = model.weights, model.bias
+    scores = _scorer(train(docs, labels, dims), dims)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = sigmoid(quality_scores(batch.column("text"), weights, bias, dims))
+            s = scores(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     folds = docs.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
     return folds.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def quality_rejects(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, dims: int = DIMS) -> DataFrame:
+    """``docs`` without the rows that the classifier scores below ``threshold``."""
+    scores = _scorer(train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, dims), dims)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -17,6 +17,12 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keep")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulespan.llm.quality_pu import quality_classifier
 
@@ -41,6 +47,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulespan.llm.quality_rules import quality_rules
 
@@ -48,7 +72,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_order_minhash, op3_quality_pu, op4_toxicity_ordinal, op5_substring_dedup, op6_language_id, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_order_minhash, op2_mixing, op3_quality_pu, op4_toxicity_ordinal, op5_substring_dedup,
+        op6_language_id, op7_warc, op8_topk, op9_packing, op10_quality_rules,
+    )
 }
 
 _OP10 = r"""
@@ -106,4 +134,28 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_r
 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op10_quality_rules": _OP10}
+_OP7 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+_OP8 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_warc": _OP7, "op8_topk": _OP8, "op5_substring_dedup": _OP5, "op10_quality_rules": _OP10}

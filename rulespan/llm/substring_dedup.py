@@ -156,6 +156,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string")
 
 
+def strip_documents(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """``docs`` with the text and n_chars that stay; documents that lose their
+    last word go.  A text that loses nothing is left as it was."""
+    names, keys = docs.columns, row_keys(F.col("doc_id"), F.col("text"))
+    held = docs.select(*docs.columns, *(k.alias(f"_{n}") for k, n in zip(keys, ("did", "tid"))))
+    spans = repeated_spans(docs.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), length, seed)
+    spans = spans.select(F.col("did").alias("_did"), F.col("tid").alias("_tid"), F.col("spans").alias("_spans"))
+    joined = held.join(spans, ["_did", "_tid"], "left").select(*docs.columns, "_spans")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = batch.column("text").to_pylist(), []
+            for i, found in enumerate(batch.column("_spans").to_pylist()):
+                if found:
+                    words, lo = texts[i].encode().split(), np.array([x["lo"] for x in found])
+                    for s, e in reversed(_merge(lo, np.array([x["n"] for x in found]) - 1 + length)):
+                        del words[s:e]
+                    texts[i] = b" ".join(words).decode()
+                stay.append(not found or bool(texts[i]))
+            columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(stay, pa.bool_()))
+
+    out = joined.mapInArrow(strip, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
 def _merge(lo: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     """Maximal [start, end) runs of overlapping or adjoining spans."""
     order = np.argsort(lo, kind="stable")
