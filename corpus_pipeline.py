@@ -1,15 +1,66 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: raw documents in, packed training sequences out.
+
+Each stage gets what the one before kept and applies one operator of
+``rulespan.llm``; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulespan.llm.common import stage
+from rulespan.llm.mixing import apply_mix
+from rulespan.llm.near_dedup import dedup
+from rulespan.llm.packing import pack
+from rulespan.llm.quality_pu import quality_rejects
+from rulespan.llm.substring_dedup import strip_documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_rejects(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return dedup(docs).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out; a document left without a word goes."""
+    return strip_documents(docs).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them: twice, once or not at all."""
+    return apply_mix(docs).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in training sequences."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
-STAGES: list = []
+#: A trained classifier and alignments have no SQL form; tests compare run()
+#: with the stages' brute-force versions instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), name)
     return docs
