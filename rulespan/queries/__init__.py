@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("execution", "text")
+FAMILIES = ("execution", "text", "runs")
 
 
 def all_queries() -> dict:
