@@ -10,9 +10,9 @@ Rules of a workflow have an order on the canvas and, within a procedure
   procedure), or the next step,
 * rules passed over are kept as skipped, with the reason.
 
-What a step would do does not depend on whether it is reached.  So steps are
-summed up first (a grouped aggregation), and one fold over the few steps of a
-claim finds the reached ones.  All shuffles are on the claim.
+What a step would do does not depend on whether it is reached.  So windows over
+the steps say it first, and one fold over the few rules of a claim finds the
+reached ones.  Rows are dealt by claim once; nothing is joined to itself.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def judge_rules(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
     pre = F.col("source") == "precondition"
     manual = F.coalesce("manual_oos", F.lit(False))
     blank = ~pre & F.coalesce("is_out_of_scope", F.lit(False)) & ~F.coalesce("is_final", F.lit(False))
-    rows = rows.withColumn("hit", hit & ~manual & ~blank)
+    rows = rows.repartition("claim_id").withColumn("hit", hit & ~manual & ~blank)
     step = Window.partitionBy("claim_id", "sop_rank", "step")
     only = ~pre & F.bool_or(F.col("aggregation") == "APPLICABLE_ONLY").over(step)
     earlier = F.coalesce(F.max(F.col("hit").cast("int")).over(step.orderBy("canvas_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -77,69 +77,89 @@ def judge_rules(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def step_outcomes(rows: DataFrame) -> DataFrame:
-    """What each step of a claim does once reached: (outcome, target, shape)."""
+    """Add what the step of each rule does once reached: outcome, target, halt_shape."""
     hit, oos = F.col("hit"), F.coalesce("is_out_of_scope", F.lit(False))
+    step = Window.partitionBy("claim_id", "sop_rank", "step")
     halting = hit & F.col("decision_type").isin(*HALTING) & ~oos
-    target = F.coalesce(_first(F.col("nav_step"), hit & (F.col("nav_op") == "goto") & F.col("nav_step").isNotNull()), _first(F.col("goto_step"), hit & F.col("goto_step").isNotNull()))
-    grouped = rows.groupBy("claim_id", "sop_rank", "step").agg(
-        F.bool_or(hit & oos).alias("leaves"),
-        target.alias("target"),
-        F.bool_or(halting).alias("halts"),
-        _first(F.col("shape_id"), halting).alias("halt_shape"),
-        F.bool_or(hit & ((F.col("nav_op") == "stop") | (F.coalesce("is_final", F.lit(False)) & ~oos))).alias("ends"),
-    )
-    outcome = F.when(F.col("leaves"), "oos").when(F.col("target") > F.col("step"), "goto").when(F.col("halts"), "halt").when(F.coalesce("ends", F.lit(False)), "end").otherwise("next")
-    return grouped.withColumn("outcome", outcome)
+    goto = hit & (F.col("nav_op") == "goto") & F.col("nav_step").isNotNull()
+    target = F.coalesce(_first(F.col("nav_step"), goto).over(step), _first(F.col("goto_step"), hit & F.col("goto_step").isNotNull()).over(step))
+    ends = hit & ((F.col("nav_op") == "stop") | (F.coalesce("is_final", F.lit(False)) & ~oos))
+    rows = rows.withColumns({
+        "leaves": F.bool_or(hit & oos).over(step),
+        "target": target,
+        "halts": F.bool_or(halting).over(step),
+        "halt_shape": _first(F.col("shape_id"), halting).over(step),
+        "ends": F.coalesce(F.bool_or(ends).over(step), F.lit(False)),
+    })
+    outcome = F.when(F.col("source") == "precondition", "next").when(F.col("leaves"), "oos").when(F.col("target") > F.col("step"), "goto").when(F.col("halts"), "halt").when(F.col("ends"), "end").otherwise("next")
+    return rows.withColumn("outcome", outcome).drop("leaves", "halts", "ends")
+
 
+_STATE = "struct<sop:int,step:int,reason:string,until:int,origin:int,closed:string,halted:boolean,shape:string,reasons:array<string>>"
 
-_STATE = "struct<sop:int,until:int,origin:int,closed:string,halted:boolean,shape:string,seen:array<struct<sop_rank:int,step:int,reason:string>>>"
 
+def walk(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Fold each claim's rules, in order, through the state of its walk.
 
-def walk(outcomes: DataFrame) -> DataFrame:
-    """Fold each claim's steps, in order, into (claim_id, halt_shape, steps)."""
-    steps = F.array_sort(F.collect_list(F.struct("sop_rank", "step", "outcome", "target", "halt_shape")))
-    start = F.struct(F.lit(-2).alias("sop"), F.lit(0).alias("until"), F.lit(0).alias("origin"), F.lit(None).cast("string").alias("closed"), F.lit(False).alias("halted"), F.lit(None).cast("string").alias("shape"), F.array().cast("array<struct<sop_rank:int,step:int,reason:string>>").alias("seen")).cast(_STATE)
+    Returns claim_id, terminated_at (shape of the halting rule), order_index,
+    reason (why the rule's step was passed over) and the ``carried`` columns.
+    The first rule of a step settles its reason and what follows from it.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("sop_rank", "step", "canvas_pos", "outcome", "target", "halt_shape", F.struct(*carried).alias("rule"))))
+    start = F.struct(F.lit(-2).alias("sop"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("until"), F.lit(0).alias("origin"), F.lit(None).cast("string").alias("closed"), F.lit(False).alias("halted"), F.lit(None).cast("string").alias("shape"), F.array().cast("array<string>").alias("reasons")).cast(_STATE)
 
     def merge(s: Column, x: Column) -> Column:
+        again = (s["sop"] == x["sop_rank"]) & (s["step"] == x["step"])
+        kept = s.withField("reasons", F.concat(s["reasons"], F.array(s["reason"])))
+        return F.when(again, kept).otherwise(entered(s, x))
+
+    def entered(s: Column, x: Column) -> Column:
         same = s["sop"] == x["sop_rank"]
-        until, origin, closed = F.when(same, s["until"]).otherwise(0), F.when(same, s["origin"]).otherwise(0), F.when(same, s["closed"])
-        jumped = F.concat(F.lit("skipped: routed from step "), origin.cast("string"), F.lit(" to step "), until.cast("string"))
-        reason = F.when(s["halted"], HALTED).when(closed.isNotNull(), closed).when(x["step"] < until, jumped)
+        # a one-element transform names what several fields below need
+        old = F.struct(F.when(same, s["until"]).otherwise(0).alias("until"), F.when(same, s["origin"]).otherwise(0).alias("origin"), F.when(same, s["closed"]).alias("closed"))
+        return F.transform(F.array(old), lambda o: judged(s, x, o))[0]
+
+    def judged(s: Column, x: Column, o: Column) -> Column:
+        jumped = F.concat(F.lit("skipped: routed from step "), o["origin"].cast("string"), F.lit(" to step "), o["until"].cast("string"))
+        reason = F.when(s["halted"], HALTED).when(o["closed"].isNotNull(), o["closed"]).when(x["step"] < o["until"], jumped)
+        return F.transform(F.array(F.struct(reason.alias("reason"))), lambda r: after(s, x, o, r["reason"]))[0]
+
+    def after(s: Column, x: Column, o: Column, reason: Column) -> Column:
         here = reason.isNull()
         goto = here & (x["outcome"] == "goto")
         halt = here & (x["outcome"] == "halt")
         closing = F.when(here & (x["outcome"] == "oos"), OUT_OF_SCOPE).when(here & (x["outcome"] == "end"), ENDED)
         return F.struct(
             x["sop_rank"].alias("sop"),
-            F.when(goto, x["target"]).otherwise(until).alias("until"),
-            F.when(goto, x["step"]).otherwise(origin).alias("origin"),
-            F.coalesce(closed, closing).alias("closed"),
+            x["step"].alias("step"),
+            reason.alias("reason"),
+            F.when(goto, x["target"]).otherwise(o["until"]).alias("until"),
+            F.when(goto, x["step"]).otherwise(o["origin"]).alias("origin"),
+            F.coalesce(o["closed"], closing).alias("closed"),
             (s["halted"] | halt).alias("halted"),
             F.coalesce(s["shape"], F.when(halt, x["halt_shape"])).alias("shape"),
-            F.concat(s["seen"], F.array(F.struct(x["sop_rank"].alias("sop_rank"), x["step"].alias("step"), reason.alias("reason")))).alias("seen"),
+            F.concat(s["reasons"], F.array(reason)).alias("reasons"),
         ).cast(_STATE)
 
-    folded = outcomes.groupBy("claim_id").agg(F.aggregate(steps, start, merge).alias("s"))
-    return folded.select("claim_id", F.col("s.shape").alias("halt_shape"), F.col("s.seen").alias("steps"))
+    listed = rows.groupBy("claim_id").agg(ordered.alias("rules"))
+    folded = listed.select("claim_id", "rules", F.aggregate("rules", start, merge).alias("s"))
+    flat = folded.select("claim_id", F.col("s.shape").alias("terminated_at"), F.posexplode(F.arrays_zip(F.col("rules.rule").alias("rule"), F.col("s.reasons").alias("reason"))).alias("order_index", "at"))
+    return flat.select("claim_id", "terminated_at", "order_index", "at.reason", "at.rule.*")
 
 
 def execute_rules(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rule results of every claim: rule columns, matched, skipped, skip_reason,
-    terminated_at (shape of the halting rule) and order_index."""
+    terminated_at (shape of the halting rule) and order_index.
+
+    A matched DENY or STOP precondition ends the claim at once; what comes
+    after it leaves no rows.
+    """
     rows = judge_rules(rules, verdicts)
-    pre = rows.filter("source = 'precondition'")
-    stop = pre.groupBy("claim_id").agg(F.min(F.when(F.col("hit") & F.col("decision_type").isin(*HALTING), F.col("canvas_pos"))).alias("stop_pos"), F.min_by("shape_id", F.when(F.col("hit") & F.col("decision_type").isin(*HALTING), F.col("canvas_pos"))).alias("stop_shape"))
-    routed = rows.filter("source <> 'precondition'")
-    walked = walk(step_outcomes(routed)).select("claim_id", "halt_shape", F.explode("steps").alias("at"))
-    walked = walked.select("claim_id", "halt_shape", "at.sop_rank", "at.step", F.col("at.reason").alias("reason"))
-    done = routed.join(walked, ["claim_id", "sop_rank", "step"]).join(stop, "claim_id", "left").filter("stop_pos is null")
-    done = done.withColumn("terminated_at", F.col("halt_shape"))
-    first = pre.join(stop, "claim_id").filter("stop_pos is null or canvas_pos <= stop_pos")
-    first = first.withColumn("reason", F.lit(None).cast("string")).withColumn("terminated_at", F.col("stop_shape"))
-    both = first.unionByName(done.drop("halt_shape"), allowMissingColumns=True)
+    pre = F.col("source") == "precondition"
+    stops = pre & F.col("hit") & F.col("decision_type").isin(*HALTING)
+    claim = Window.partitionBy("claim_id")
+    rows = rows.withColumn("stop_pos", F.min(F.when(stops, F.col("canvas_pos"))).over(claim)).withColumn("stop_shape", _first(F.col("shape_id"), stops).over(claim))
+    rows = rows.filter(F.col("stop_pos").isNull() | (pre & (F.col("canvas_pos") <= F.col("stop_pos"))))
+    done = walk(step_outcomes(rows), [*RULE_COLUMNS, "hit", "own_reason", "stop_shape", "sop_rank", "step"])
     reason = F.coalesce("reason", "own_reason")
-    # skipped in place by a halt in an earlier procedure: canvas order
-    later = F.col("reason") == HALTED
-    order = Window.partitionBy("claim_id").orderBy("sop_rank", "step", "canvas_pos")
-    out = both.withColumn("order_index", F.row_number().over(order) - 1).withColumn("skip_reason", F.coalesce(reason, F.lit("")))
-    return out.select("claim_id", "order_index", *RULE_COLUMNS, F.col("hit").alias("_hit"), later.alias("_later"), reason.isNotNull().alias("skipped"), "skip_reason", "terminated_at", "sop_rank", "step").withColumn("matched", F.col("_hit") & ~F.col("skipped")).drop("_hit", "_later")
+    return done.select("claim_id", "order_index", *RULE_COLUMNS, (F.col("hit") & reason.isNull()).alias("matched"), reason.isNotNull().alias("skipped"), F.coalesce(reason, F.lit("")).alias("skip_reason"), F.coalesce("terminated_at", "stop_shape").alias("terminated_at"), "sop_rank", "step")
