@@ -90,11 +90,10 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, positives: int =
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("u"), pa.array([r.tobytes() for r in x], pa.binary())], names=["p", "u", "x"])
 
     sample = pool.mapInArrow(vectors, "p boolean, u boolean, x binary").toArrow()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float16).reshape(sample.num_rows, -1).astype(np.float32)
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float16).reshape(sample.num_rows, dims + len(STATS)).astype(np.float32)
     p, u = (np.array(sample.column(c).to_pylist(), bool) for c in ("p", "u"))
     if not p.any() or not u.any():
-        width = x.shape[1] if x.size else dims + len(STATS)
-        return LinearModel(np.zeros(width), float(np.log(prior / (1 - prior))), prior)
+        return LinearModel(np.zeros(x.shape[1]), float(np.log(prior / (1 - prior))), prior)
     order = np.lexsort(x[:, :16].T)  # rows arrive in any order; sums should not depend on it
     x, p, u = x[order], p[order], u[order]
     return fit_nnpu(x[p], x[u], prior)
