@@ -127,9 +127,9 @@ def apply_mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
 
     Equal rows share a key, so their draws are added up and dealt to them anew.
     """
-    marks = mix_sources(docs, seed=seed, **options).filter("times > 0").groupBy("key").agg(F.sort_array(F.collect_list("times"), asc=False).alias("draws"))
+    marks = mix_sources(docs, seed=seed, **options).filter("times > 0").groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list("times"), asc=False).alias("_draws"))
     keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text"))
     place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    taken = keyed.join(marks, keyed["_key"] == marks["key"]).withColumn("_place", place)
-    times = F.coalesce(F.get("draws", F.col("_place") - 1), F.lit(0))
+    taken = keyed.join(marks, "_key").withColumn("_place", place)
+    times = F.coalesce(F.get("_draws", F.col("_place") - 1), F.lit(0))
     return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_again")).drop("_again")
