@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("execution", "text", "runs", "lookups")
+FAMILIES = ("execution", "text", "runs", "lookups", "ordered")
 
 
 def all_queries() -> dict:
