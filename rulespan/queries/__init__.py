@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("execution", "text", "runs", "lookups", "ordered")
+FAMILIES = ("execution", "text", "runs", "lookups", "ordered", "rules", "graphs")
 
 
 def all_queries() -> dict:
