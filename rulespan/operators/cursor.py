@@ -39,7 +39,8 @@ def order_rules(rules: DataFrame) -> DataFrame:
     """Add ``sop_rank`` (procedures by first appearance) and ``step``.
 
     Rules without a step number get a step each, parked behind the numbered
-    ones by the number of steps begun before them.
+    ones by the number of steps begun before them; preconditions, which follow
+    the canvas alone, are at step 0.
     """
     pre = F.col("source") == "precondition"
     sop = Window.partitionBy("sop_id", pre)
@@ -49,7 +50,8 @@ def order_rules(rules: DataFrame) -> DataFrame:
     begins = F.col("step_number").isNull() | (F.row_number().over(same) == 1)
     ranked = ranked.withColumn("begins", begins.cast("int"))
     before = F.coalesce(F.sum("begins").over(sop.orderBy("canvas_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranked.withColumn("step", F.coalesce("step_number", (PARKED + before).cast("int"))).drop("first_pos", "begins")
+    step = F.when(pre, 0).otherwise(F.coalesce("step_number", (PARKED + before).cast("int")))
+    return ranked.withColumn("step", step).drop("first_pos", "begins")
 
 
 def _first(value: Column, when: Column) -> Column:

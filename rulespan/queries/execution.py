@@ -21,7 +21,7 @@ WITH RECURSIVE v0 AS MATERIALIZED (
   SELECT *, source = 'precondition' AS pre FROM {fx.VERDICTS_SQL}
 ), ord AS (
   SELECT rule_key AS rk, CASE WHEN source = 'precondition' THEN -1 ELSE dense_rank() OVER (PARTITION BY source = 'precondition' ORDER BY first_pos) END AS sop_rank,
-    coalesce(step_number, {cursor.PARKED} + coalesce(sum(begins) OVER (PARTITION BY sop_id, source = 'precondition' ORDER BY canvas_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS step
+    CASE WHEN source = 'precondition' THEN 0 ELSE coalesce(step_number, {cursor.PARKED} + coalesce(sum(begins) OVER (PARTITION BY sop_id, source = 'precondition' ORDER BY canvas_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) END::INTEGER AS step
   FROM (SELECT *, min(canvas_pos) OVER (PARTITION BY sop_id, source = 'precondition') AS first_pos,
           CASE WHEN step_number IS NULL OR row_number() OVER (PARTITION BY sop_id, source = 'precondition', step_number ORDER BY canvas_pos) = 1 THEN 1 ELSE 0 END AS begins
         FROM {fx.RULES.sql()})
