@@ -101,15 +101,15 @@ def _pair(free: np.ndarray, gap: int) -> tuple[int, int] | None:
     return (int(hit[-1]), gap - int(hit[-1])) if len(hit) else None
 
 
-def _complement(free: np.ndarray, length: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three free lengths that fill ``gap`` beside ``length``."""
+def _complement(free: np.ndarray, length: int, gap: int, depth: int) -> tuple[int, ...] | None:
+    """Up to ``depth`` (three at most) free lengths that fill ``gap`` beside ``length``."""
     free[length] -= 1
     try:
         if gap > 0 and free[gap] > 0:
             return (gap,)
-        if pair := _pair(free, gap):
+        if depth > 1 and (pair := _pair(free, gap)):
             return pair
-        for a in np.flatnonzero(free[: gap - 1])[::-1]:
+        for a in np.flatnonzero(free[: max(0, gap - 1)])[::-1] if depth > 2 else ():
             a = int(a)
             if 3 * a < gap:
                 break
@@ -125,7 +125,16 @@ def _complement(free: np.ndarray, length: int, gap: int) -> tuple[int, ...] | No
 
 def plan_packing(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) for ``counts[length]``
-    pieces; the capacity is the largest index."""
+    pieces; the capacity is the largest index.
+
+    Filling gaps with three parts can use up short pieces that the residue
+    would need, so plans of depth three, two and one are made from the counts
+    and the one of fewest sequences is taken.
+    """
+    return min((_plan(counts, depth) for depth in (3, 2, 1)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: np.ndarray, depth: int) -> list[tuple[tuple[int, ...], int]]:
     free, capacity = counts.astype(np.int64).copy(), len(counts) - 1
     out: list[tuple[tuple[int, ...], int]] = []
 
@@ -137,7 +146,7 @@ def plan_packing(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     if free[capacity]:
         use((capacity,), int(free[capacity]))
     for length in range(capacity - 1, 0, -1):
-        while free[length] > 0 and (rest := _complement(free, length, capacity - length)):
+        while free[length] > 0 and (rest := _complement(free, length, capacity - length, depth)):
             parts = (length, *rest)
             use(parts, _fits(free, parts))
     # best fit of the residue, longest first
