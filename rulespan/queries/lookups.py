@@ -138,7 +138,7 @@ _HYDRATE = """SELECT l_orderkey * 10 + l_linenumber AS canvas_pos, CASE WHEN l_l
   CASE WHEN l_linenumber % 2 = 0 THEN 'P' ELSE 'D' END || '/' || (l_orderkey % 50) || '/' || l_linenumber || '/' || (l_orderkey % 7) AS text
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey <= 4000) WHERE l_linenumber <= 6 AND l_orderkey % 7 <= 4"""
 
-_FIELDS = fx.Rows("field string, rank int, system string, column string", [("who", 0, "FACETS", "o_orderstatus"), ("who", 1, "CBS", "o_orderpriority"), ("when", 0, "DOC360", "missing"), ("when", 1, "NPI", "o_orderdate"), ("what", 0, "CBD", "o_comment")])
+_FIELDS = fx.Rows("field string, rank int, system string, column string", [("who", 0, "CORE", "o_orderstatus"), ("who", 1, "BILLING", "o_orderpriority"), ("when", 0, "IMAGE", "missing"), ("when", 1, "REGISTRY", "o_orderdate"), ("what", 0, "BENEFITS", "o_comment")])
 
 
 def field_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +147,8 @@ def field_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.field_priority(_FIELDS.spark(spark), found)
 
 
-_FIELD = """SELECT o_orderkey AS claim_id, 'who' AS field, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'CBS:o_orderpriority' ELSE 'FACETS:o_orderstatus' END AS source FROM orders
-UNION ALL SELECT o_orderkey, 'when', strftime(o_orderdate, '%Y-%m-%d'), 'NPI:o_orderdate' FROM orders"""
+_FIELD = """SELECT o_orderkey AS claim_id, 'who' AS field, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'BILLING:o_orderpriority' ELSE 'CORE:o_orderstatus' END AS source FROM orders
+UNION ALL SELECT o_orderkey, 'when', strftime(o_orderdate, '%Y-%m-%d'), 'REGISTRY:o_orderdate' FROM orders"""
 
 
 def tool_scope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.table(spark, sf_dir, "part")
-    names = ["Optum Behavioral Gold", "Standard Medicare", "Community Medicaid", "Choice Plus Commercial"]
-    asked = F.element_at(F.array(*map(F.lit, ("Optim Behavoral Gold plan $5", "community medicaid HMO west", "zzz", "plus choice", ""))), (c("p_partkey") % 5 + 1).cast("int"))
+    names = ["Harbor Behavioral Gold", "Standard Medicare", "Community Medicaid", "Choice Plus Commercial"]
+    asked = F.element_at(F.array(*map(F.lit, ("Harbour Behavoral Gold plan $5", "community medicaid HMO west", "zzz", "plus choice", ""))), (c("p_partkey") % 5 + 1).cast("int"))
     m = fuzzy.match_name(asked, names)
     return p.select("p_partkey", m["name"].alias("name"), (m["similarity"] >= 80).alias("close"))
 
@@ -46,5 +46,5 @@ QUERIES = {
     "deep_find": (deep_find, "SELECT o_orderkey, o_orderstatus AS last_first, 'first' AS first, '99213,99213GT' AS codes, '1' || lpad(o_orderkey::VARCHAR, 9, '0') AS npi FROM orders"),
     "json_prune": (json_prune, """SELECT o_orderkey, '{"a": {"cpt": "99213GT", "k": "first"}, "list": [{"k": "' || o_orderstatus || '"}, {}], "npi": "1' || lpad(o_orderkey::VARCHAR, 9, '0') || '"}' AS pruned FROM orders"""),
     "json_salvage": (json_salvage, """SELECT event_id, '[{"k": ' || regexp_extract(props, '([0-9]+)', 1) || '}, {"k": ' || regexp_extract(props, '([0-9]+)', 1) || '}]' AS kept, '{"k": ' || regexp_extract(props, '([0-9]+)', 1) || '}' AS found FROM events"""),
-    "fuzzy_match": (fuzzy_match, "SELECT p_partkey, ['Optum Behavioral Gold', 'Community Medicaid', 'Standard Medicare', 'Choice Plus Commercial', 'Standard Medicare'][p_partkey % 5 + 1] AS name, p_partkey % 5 NOT IN (2, 4) AS close FROM part"),
+    "fuzzy_match": (fuzzy_match, "SELECT p_partkey, ['Harbor Behavioral Gold', 'Community Medicaid', 'Standard Medicare', 'Choice Plus Commercial', 'Standard Medicare'][p_partkey % 5 + 1] AS name, p_partkey % 5 NOT IN (2, 4) AS close FROM part"),
 }
