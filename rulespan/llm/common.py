@@ -160,6 +160,11 @@ def split_words(data: np.ndarray, offsets: np.ndarray, plain: bool = True) -> Sl
     return Slab(data, np.searchsorted(start, offsets), start, end, hashed)
 
 
+def byte_ranges(slab: Slab) -> RangeHash:
+    """Hashes of byte ranges of a slab, as its words have them."""
+    return RangeHash(_BYTE_CODES[slab.data], _BYTE_POWERS)
+
+
 def slabs(text: pa.Array, limit: int = SLAB_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string array into runs of whole documents of about ``limit`` bytes.
 

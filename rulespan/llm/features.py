@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import SLAB_BYTES, U64, Slab, slabs, split_words
+from rulespan.llm.common import SLAB_BYTES, U64, Slab, byte_ranges, slabs, split_words
 from rulespan.llm.quality_rules import _IS_BLANK, _IS_SYMBOL, repeated_words, stutter_words
 
 STATS = ("log_words", "word_length", "symbols", "marks", "capitals", "digits", "repeats", "line_length", "stutter")
@@ -76,16 +76,27 @@ def quality_scores(text: pa.Array, weights: np.ndarray, bias: float, dims: int)
     return np.concatenate(out) if out else np.zeros(0)
 
 
+PREFIXES = (4, 5, 6, 7)
+
+
 def word_buckets(text: pa.Array, dims: int):
-    """Yields (documents, owner, bucket): each bucket of lower-case words once a document.
+    """Yields (documents, owner, bucket): each bucket of lower-case words, and of
+    their first 4 to 7 bytes, once a document.
 
-    Punctuation separates words, so marks stuck to a word do not hide it.
+    Punctuation separates words, so marks stuck to a word do not hide it;
+    beginnings catch the inflected and joined forms of a word.
     """
+    shift = U64(65 - int(dims).bit_length())
     lowered = pc.utf8_lower(text.cast(pa.large_string()).fill_null(""))
     for _, _, data, offsets in slabs(lowered, SLAB_BYTES):
         slab = split_words(data, offsets, plain=False)
-        bucket = (slab.hash >> U64(65 - int(dims).bit_length())).astype(np.int64)
-        pair = np.unique(slab.owner * dims + bucket)
+        ranges, owner, size = byte_ranges(slab), slab.owner, slab.end - slab.start
+        pairs = [owner * dims + (slab.hash >> shift).astype(np.int64)]
+        for n in PREFIXES:
+            long = np.flatnonzero(size > n)
+            h = ranges(slab.start[long], slab.start[long] + n) ^ U64(0x9E3779B97F4A7C15 * n % (1 << 64))
+            pairs.append(owner[long] * dims + (h >> shift).astype(np.int64))
+        pair = np.unique(np.concatenate(pairs))
         yield len(offsets) - 1, pair // dims, pair % dims
 
 

@@ -24,7 +24,7 @@ DIMS = 1 << 18
 ROWS = 8000
 FOLDS = 5
 GRADES = 4
-FEATURES = 400
+FEATURES = 600
 MIN_DOCUMENTS = 5
 
 
