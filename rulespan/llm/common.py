@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLAB_BYTES = 1 << 21
+SLAB_BYTES = 1 << 19
+BATCH_ROWS = 1000
 U64 = np.uint64
 # Fixed odd multipliers; every executor must agree on them.
 BYTE_BASE = U64(0x9E3779B97F4A7C13)
@@ -58,6 +59,14 @@ def stage(df: DataFrame, name: str = "table", cluster_by: list[str] | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches at ``BATCH_ROWS`` rows or fewer: texts
+    have no bound, and a task holds a batch in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m

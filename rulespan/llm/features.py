@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import SLAB_BYTES, U64, Slab, byte_ranges, slabs, split_words
+from rulespan.llm.common import SLAB_BYTES, U64, Slab, byte_ranges, slabs, small_batches, split_words
 from rulespan.llm.quality_rules import _IS_BLANK, _IS_SYMBOL, repeated_words, stutter_words
 
 STATS = ("log_words", "word_length", "symbols", "marks", "capitals", "digits", "repeats", "line_length", "stutter")
@@ -106,5 +106,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, keep: Column,
     Of several labels of one id the least counts; null ids and labels do not.
     The result is at most a small multiple of ``rows`` and may be broadcast.
     """
+    small_batches(docs.sparkSession)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).filter("doc_id is not null and y is not null").filter(keep)
     return labels.filter(share_below(F.col("doc_id"), rows, labels.count(), seed)).groupBy("doc_id").agg(F.min("y").alias("y"))

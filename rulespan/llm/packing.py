@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import numbered, stage
+from rulespan.llm.common import numbered, small_batches, stage
 
 CAPACITY = 1024
 END_ID = 2
@@ -187,6 +187,7 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, key, piece, start, length, ids_crc32) of every document."""
+    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import U64, WORD_POWERS, RangeHash, Slab, mix, stage, windows, word_slabs
+from rulespan.llm.common import U64, WORD_POWERS, RangeHash, Slab, mix, small_batches, stage, windows, word_slabs
 
 LENGTH = 35
 SEED = 8
@@ -72,6 +72,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     """(did, tid, spans) for rows of ``docs`` (did, tid, text) with a repeat:
     spans are [first word, words] of overlapping runs of repeated windows."""
 
+    small_batches(docs.sparkSession)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, slab in word_slabs(batch.column("text")):
