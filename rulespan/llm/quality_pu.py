@@ -79,10 +79,10 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, positives: int =
     known = labels.filter(fold).filter("quality is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("quality") == 1).cast("int")), F.lit(0)).alias("good")).first()
     prior = min(0.98, max(0.02, (known["good"] + 1) / (known["n"] + 2)))
     trusted = training_rows(docs, labels.filter("quality = 1"), "quality", fold, positives, 11)
-    ids = F.col("doc_id")
+    ids, drawn = F.col("doc_id"), share_below(F.col("doc_id"), unlabelled, docs.count(), 12)
     pool = docs.select(ids, "text").join(F.broadcast(trusted), "doc_id", "left")
-    pool = pool.filter(F.col("y").isNotNull() | share_below(ids, unlabelled, docs.count(), 12))
-    pool = pool.select("text", F.col("y").isNotNull().alias("p"), F.coalesce(share_below(ids, unlabelled, docs.count(), 12), F.lit(False)).alias("u"))
+    pool = pool.filter(F.col("y").isNotNull() | drawn)
+    pool = pool.select("text", F.col("y").isNotNull().alias("p"), F.coalesce(drawn, F.lit(False)).alias("u"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
