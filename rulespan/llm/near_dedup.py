@@ -5,13 +5,16 @@
 2. Order MinHash: k-mers (five words) are labelled with their occurrence, and
    for each of ``entries`` hash functions the ``picks`` smallest labelled
    k-mers are kept in text order; their ordered tuple is a sketch entry.
-3. Texts that agree in an entry form a bucket.  Each member is a candidate of
-   the bucket's smallest and largest id: two pairs a member, never all pairs.
-4. Candidates are verified by banded alignment of their word sequences: a
-   link needs 1 - distance / longer length >= ``similarity``.
-5. Links are joined to classes by spreading the least id along them.  Buckets
-   that still hold several classes are then asked again, with a member of
-   another class as hub, until a round finds no new link.
+3. Texts that agree in an entry form a bucket.  Each member is first a
+   candidate of the bucket's smallest and largest id: two pairs a member.
+4. Candidates that lengths and word counts cannot rule out are verified by
+   banded alignment of their word sequences: a link needs
+   1 - distance / longer length >= ``similarity``.
+5. Links are joined to classes by spreading the least id along them.  In
+   buckets that still hold several classes, random members are hubs for
+   ``HUB_ROUNDS`` rounds, which joins large classes by few alignments; then all
+   pairs of a bucket that are still in different classes are asked, in blocks
+   of members, so no pair of a bucket that would link two classes stays unasked.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ ENTRIES = 24
 PICKS = 3
 SIMILARITY = 0.8
 CELLS = 1 << 20
+BAG = 64
+BLOCK = 512
+HUB_ROUNDS = 2
 _LOW = U64((1 << 24) - 1)
 _NONE = U64((1 << 64) - 1)
 
@@ -86,6 +92,32 @@ def order_sketch(slab: Slab, k: int, entries: int, picks: int) -> np.ndarray:
     return out
 
 
+def word_bags(slab: Slab) -> pa.Array:
+    """How many words of each document fall to each of ``BAG`` hash values, a
+    byte each, 255 at most."""
+    place = slab.owner * BAG + (slab.hash >> U64(58)).astype(np.int64)
+    n = len(slab.counts)
+    bags = np.minimum(np.bincount(place, minlength=BAG * n), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, BAG * n + 1, BAG, dtype=np.int32)), pa.py_buffer(bags)])
+
+
+def _bags(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BAG)
+
+
+def edit_limit(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """The largest edit distance of a link between texts of n and m words."""
+    return np.floor((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+
+
+def could_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """False only for pairs that are no links: an edit takes at most one word
+    from what either bag has more of."""
+    gap = x.astype(np.int16) - y
+    more = np.maximum(gap, 0).sum(1, dtype=np.int64)
+    return np.maximum(more, more - gap.sum(1, dtype=np.int64)) <= edit_limit(n, m, similarity)
+
+
 def band_distances(a: list[np.ndarray], b: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
     """Edit distances of word sequences, or limit + 1 where it is larger.
 
@@ -186,13 +218,80 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
                 batch = big.slice(s, 128)
                 a, b = _words(batch.column("ta")), _words(batch.column("tb"))
                 longer = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
-                limits = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+                limits = edit_limit(longer, longer, similarity)
                 ok = pa.array(band_distances(a, b, limits) <= limits)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(align, "a long, b long").distinct()
 
 
+def plausible(pairs: DataFrame, traits: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) without those that ``traits`` (doc_id, n, bag) rule out."""
+    for end in ("a", "b"):
+        pairs = pairs.join(traits.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("bag").alias(f"bag{end}")), end)
+    pairs = pairs.filter(F.abs(F.col("na") - F.col("nb")) <= F.floor((1 - similarity) * F.greatest("na", "nb") + 1e-9))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            ok = pa.array(could_link(n, m, _bags(batch.column("baga")), _bags(batch.column("bagb")), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    return pairs.select("a", "b", "na", "nb", "baga", "bagb").mapInArrow(keep, "a long, b long")
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their labels, and the buckets that hold several classes."""
+    known = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    apart = known.groupBy("e", "h").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).filter("l0 != l1")
+    return known, apart
+
+
+def pairs_apart(members: DataFrame, labels: DataFrame, traits: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of members of a bucket that are in different classes and
+    that ``traits`` do not rule out.
+
+    A bucket's members are dealt to blocks of about ``BLOCK``, and each pair of
+    blocks is one row, so no task holds a bucket and only what is left of the
+    pairs is written.
+    """
+    known, apart = labelled(members, labels)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = known.join(apart, ["e", "h"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(traits, "doc_id")
+    ends = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    groups = rows.select("e", "h", *ends, F.struct("doc_id", "n", "label", "own", "bag").alias("x")).groupBy("e", "h", "i", "j").agg(F.collect_list("x").alias("xs"))
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs = batch.column("xs")
+            sizes = xs.value_lengths().to_numpy().astype(np.int64)
+            flat = xs.flatten()
+            ids, n, label, own = (flat.field(c).to_numpy() for c in ("doc_id", "n", "label", "own"))
+            bags = _bags(flat.field("bag"))
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            two = np.repeat(batch.column("i").to_numpy() != batch.column("j").to_numpy(), sizes)
+            sizes = np.repeat(sizes, sizes)
+            ends = np.cumsum(sizes)
+            s = 0
+            while s < len(ids):  # as many rows together as CELLS pairs allow
+                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + CELLS, "right")))
+                k = sizes[s:e]
+                p = np.repeat(np.arange(s, e), k)
+                q = first[p] + np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)
+                ok = (ids[p] < ids[q]) & (label[p] != label[q]) & ~(two[p] & (own[p] == own[q]))
+                p, q = p[ok], q[ok]
+                ok = np.abs(n[p] - n[q]) <= edit_limit(n[p], n[q], similarity)
+                p, q = p[ok], q[ok]
+                for at in range(0, len(p), 1 << 16):
+                    a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                    ok = could_link(n[a], n[b], bags[a], bags[b], similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
+                s = e
+
+    return groups.select("i", "j", "xs").mapInArrow(cross, "a long, b long").distinct()
+
+
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(id, label) with the least id of each connected component of ``links`` (a, b).
 
@@ -256,10 +355,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
                 k1, k2 = np.where(none, 0, k1.astype(np.int64)), np.where(none, raw, k2.astype(np.int64))
                 entry = order_sketch(slab, k, entries, picks).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, entry.size + 1, entries, dtype=np.int32), pa.array(entry.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(k1), pa.array(k2), pa.array(slab.counts.astype(np.int32)), lists], names=["doc_id", "k1", "k2", "n", "entries"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(k1), pa.array(k2), pa.array(slab.counts.astype(np.int32)), lists, word_bags(slab)], names=["doc_id", "k1", "k2", "n", "entries", "bag"])
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"))
-    rows = stage(rows.mapInArrow(sketch, "doc_id long, k1 long, k2 long, n int, entries array<long>"), "sketches")
+    rows = stage(rows.mapInArrow(sketch, "doc_id long, k1 long, k2 long, n int, entries array<long>, bag binary"), "sketches")
     copies = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     # an id that carries several texts joins the classes of them all
     shared = rows.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"]).filter("doc_id != rep")
@@ -267,36 +366,36 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     twins = shared.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     distinct = rows.filter(f"n >= {k}").join(copies, ["k1", "k2"]).filter("doc_id = rep")
-    # a document's entry and its least hash tell a bucket; the length lets far-off pairs go early
-    buckets = distinct.select("doc_id", "n", F.posexplode("entries").alias("e", "h")).filter("h != 0")
+    traits = distinct.select("doc_id", "n", "bag")
+    buckets = distinct.select("doc_id", F.posexplode("entries").alias("e", "h")).filter("h != 0")
     ends = buckets.groupBy("e", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi")
     members = stage(buckets.join(ends, ["e", "h"]), "members")
-    room = F.lit(similarity) * F.greatest("n", "hn") <= F.least("n", "hn")
-    lengths = distinct.select(F.col("doc_id").alias("hub"), F.col("n").alias("hn"))
-    asked = members.select("doc_id", "n", F.explode(F.array("lo", "hi")).alias("hub")).filter("hub != doc_id").distinct()
-    pairs = asked.join(lengths, "hub").filter(room).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    pairs = stage(pairs, "pairs")
+    traits = stage(traits.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "traits")
+
+    def ordered(hubs: DataFrame) -> DataFrame:
+        return hubs.filter("hub != doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+
+    asked = ordered(members.select("doc_id", F.explode(F.array("lo", "hi")).alias("hub")))
+    pairs = stage(plausible(asked, traits, similarity), "pairs")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     links = stage(verify(pairs, texts, similarity), "links")
     labels = components(links.union(twins))
-    while True:
-        # buckets with several classes: the next hub is the least member outside the hub's class
-        known = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        apart = known.groupBy("e", "h").agg(F.min("label").alias("l0"), F.max(F.struct("label", "doc_id")).alias("top")).filter("l0 != top.label")
-        more = known.join(apart, ["e", "h"]).filter("label != top.label").select("doc_id", "n", F.col("top.doc_id").alias("hub")).distinct()
-        more = more.join(lengths, "hub").filter(room).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    members = members.select("e", "h", "doc_id")
+    for turn in range(HUB_ROUNDS + 1):
+        if turn < HUB_ROUNDS:  # a random member of each bucket with several classes is asked by those of other classes
+            known, apart = labelled(members, labels)
+            known = known.join(apart.select("e", "h"), ["e", "h"])
+            hubs = known.groupBy("e", "h").agg(F.min_by(F.struct("doc_id", "label"), F.xxhash64("doc_id", "e", F.lit(turn))).alias("top"))
+            more = plausible(ordered(known.join(hubs, ["e", "h"]).filter("label != top.label").select("doc_id", F.col("top.doc_id").alias("hub"))), traits, similarity)
+        else:
+            more = pairs_apart(members, labels, traits, similarity)
         more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
-            break
+            continue
         found = stage(verify(more, texts, similarity), "links")
-        if found.isEmpty():
-            break
-        pairs, links = pairs.union(more), links.union(found)
-        before, labels = labels.withColumnRenamed("label", "old"), components(found, labels)
-        # only a bucket in which a class changed has anything new to ask
-        changed = labels.join(before, "id", "left").filter(~F.col("label").eqNullSafe(F.col("old"))).select(F.col("id").alias("doc_id"))
-        touched = members.join(changed, "doc_id", "left_semi").select("e", "h").distinct()
-        members = stage(members.join(touched, ["e", "h"], "left_semi"), "members")
+        pairs = pairs.union(more)
+        if not found.isEmpty():
+            links, labels = links.union(found), components(found, labels)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     marked = copies.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
     marked = marked.select("k1", "k2", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

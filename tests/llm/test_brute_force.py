@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import prose
 
-from rulespan.llm import packing
+from rulespan.llm import near_dedup, packing
 from rulespan.llm.mixing import fit_budget, mix_sources
 from rulespan.llm.near_dedup import band_distances, near_duplicates
 from rulespan.llm.packing import default_tokenizer, pack, plan_packing, tokenizer
@@ -69,6 +70,38 @@ def test_near_duplicate_classes(spark):
     assert found[0]["n_links"] >= 1 and found[1]["n_links"] == 0
 
 
+def five_of_one_bucket():
+    """Five texts with one sketch entry: 2, 3 and 4 are near copies, 1 and 5 are near nothing."""
+    for seed in range(100):
+        passage, copy = prose(seed, 90), prose(1000 + seed, 60)
+        rows = {1: passage, 5: passage + " " + prose(2000 + seed, 40)} | {i: passage + " " + edited(copy, 0.05, i) for i in (2, 3, 4)}
+        slab = next(near_dedup.normalised(pa.array(list(rows.values()))))[2]
+        if len(set(near_dedup.order_sketch(slab, 5, 1, 1)[:, 0].tolist())) == 1:
+            return rows
+    raise AssertionError("no seed gives such a bucket")
+
+
+def test_a_bucket_asks_all_its_classes(spark):
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in five_of_one_bucket().items()], DOCS)
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs, k=5, entries=1, picks=1).collect()}
+    assert found == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5}
+
+
+def test_pairs_apart_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    texts = {i: edited(prose(i // 4, 40 + i // 4), 0.08, i) for i in range(60)}
+    words = {i: t.split() for i, t in texts.items()}
+    slab = next(near_dedup.normalised(pa.array(list(texts.values()))))[2]
+    bags = near_dedup.word_bags(slab).to_pylist()
+    traits = spark.createDataFrame([(i, len(words[i]), bytearray(bags[i])) for i in texts], "doc_id long, n int, bag binary")
+    labels = spark.createDataFrame([(i, i // 2 * 2) for i in texts], "id long, label long")
+    members = spark.createDataFrame([(e, e, i) for e in (0, 1) for i in texts if e == 0 or i < 9], "e int, h long, doc_id long")
+    got = {(r["a"], r["b"]) for r in near_dedup.pairs_apart(members, labels, traits, 0.8).collect()}
+    true = {(a, b) for a in texts for b in texts if a < b and a // 2 != b // 2 and distance(words[a], words[b]) <= 0.2 * max(len(words[a]), len(words[b]))}
+    assert true and true <= got and all(a < b and a // 2 != b // 2 for a, b in got)
+    assert len(got) < 3 * len(true)
+
+
 def test_repeats_equal_brute_force(spark):
     r = random.Random(5)
     words = [[f"w{r.randint(0, 30)}" for _ in range(r.randint(0, 90))] for _ in range(25)]
