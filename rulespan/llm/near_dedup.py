@@ -2,9 +2,11 @@
 
 1. Every text becomes lower-case words (punctuation separates words).  Equal
    word sequences are exact copies; one row of each such text goes on.
-2. Order MinHash: k-mers (five words) are labelled with their occurrence, and
+2. Order MinHash: k-mers (four words) are labelled with their occurrence, and
    for each of ``entries`` hash functions the ``picks`` smallest labelled
-   k-mers are kept in text order; their ordered tuple is a sketch entry.
+   k-mers are kept in text order; their ordered tuple is a sketch entry.  Two
+   texts whose labelled k-mers have Jaccard similarity J meet in some entry
+   with about 1 - (1 - J ** picks) ** entries (:func:`recall`).
 3. Texts that agree in an entry form a bucket.  Each member is first a
    candidate of the bucket's smallest and largest id: two pairs a member.
 4. Candidates that lengths and word counts cannot rule out are verified by
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 
 from rulespan.llm.common import U64, WORD_POWERS, WORD_POWERS_2, RangeHash, Slab, mix, per_document, slabs, small_batches, split_words, stage, windows
 
-K = 5
-ENTRIES = 24
-PICKS = 3
+K = 4
+ENTRIES = 48
+PICKS = 2
 SIMILARITY = 0.8
 CELLS = 1 << 20
 BAG = 64
@@ -92,6 +94,13 @@ def order_sketch(slab: Slab, k: int, entries: int, picks: int) -> np.ndarray:
     return out
 
 
+def recall(edits: float, k: int = K, entries: int = ENTRIES, picks: int = PICKS) -> float:
+    """The chance that two long texts with a share ``edits`` of scattered words
+    replaced meet in some entry."""
+    same = (1 - edits) ** k
+    return 1 - (1 - (same / (2 - same)) ** picks) ** entries
+
+
 def word_bags(slab: Slab) -> pa.Array:
     """How many words of each document fall to each of ``BAG`` hash values, a
     byte each, 255 at most."""

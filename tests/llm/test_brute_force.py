@@ -87,6 +87,18 @@ def test_a_bucket_asks_all_its_classes(spark):
     assert found == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5}
 
 
+@pytest.mark.parametrize("edits", [0.08, 0.12, 0.16, 0.2])
+def test_recall_down_to_the_threshold(edits):
+    meet, n = 0, 300
+    for i in range(n):
+        text = prose(i, 200)
+        slab = next(near_dedup.normalised(pa.array([text, edited(text, edits, i)])))[2]
+        x, y = near_dedup.order_sketch(slab, near_dedup.K, near_dedup.ENTRIES, near_dedup.PICKS)
+        meet += bool((x == y).any())
+    want = near_dedup.recall(edits)
+    assert want > 0.95 and abs(meet / n - want) < 0.04
+
+
 def test_pairs_apart_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
     texts = {i: edited(prose(i // 4, 40 + i // 4), 0.08, i) for i in range(60)}
