@@ -58,7 +58,12 @@ class ChunkTokenizer(dict):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, added = file["model"]["vocab"], file.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that match by more than their text are not read")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split if added else None
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in word): i for word, i in vocab.items() if all(c in letters for c in word)}
         special = {w for w in vocab if w.startswith("<|")}
@@ -78,6 +83,14 @@ class ChunkTokenizer(dict):
         head, *rest = self.parts(text) if self.uneven(text) else text.split(" ")
         return array("I", self.encode(head)).tobytes() + b"".join(map(self.__getitem__, rest))
 
+    def document_ids(self, text: str) -> bytes:
+        """As the library at its default settings: the file's added tokens
+        are found in the text first, what lies between them is tokenised."""
+        if self.at_added is None:
+            return self.ids(text)
+        first, *rest = self.at_added(text)
+        return self.ids(first) + b"".join(self.added[x] if i % 2 == 0 else self.ids(x) for i, x in enumerate(rest))
+
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
@@ -191,7 +204,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).ids
+        encode = tokenizer(path).document_ids
         for batch in batches:
             row, number, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):

@@ -205,6 +205,17 @@ def test_chunks_tokenise_like_the_library():
         assert np.frombuffer(mine.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_ids_are_the_library_s_by_default(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_tokenizer())
+    texts = ["<|endoftext|> b", "a <|endoftext|>", "x<|endoftext|><|endoftext|>  y ", "<|endoftext", "plain text", ""]
+    out = {r["doc_id"]: r for r in pack(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        assert (out[i]["length"], out[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_pieces_and_places(spark, monkeypatch):
     texts = [prose(i, n) for i, n in enumerate((1, 5, 40, 300, 900, 2000, 2, 2, 40))]
     docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
