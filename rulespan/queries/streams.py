@@ -27,7 +27,7 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.windowed(events(spark, sf_dir), "ts", "1 day", "1 hour", "event_type")
+    return p.windowed(events(spark, sf_dir), "ts", "1 day", None, "event_type")
 
 
 QUERIES = {

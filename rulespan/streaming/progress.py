@@ -64,9 +64,14 @@ def tail(events: DataFrame, cursor: str, after: int) -> DataFrame:
     return drain(events.filter(F.col(cursor) > after))
 
 
-def windowed(events: DataFrame, time: str, size: str, late: str, by: str) -> DataFrame:
-    """Counts in tumbling windows with a watermark: an addition of this engine."""
-    counts = events.withWatermark(time, late).groupBy(F.window(time, size), by).agg(F.count("*").alias("n"))
+def windowed(events: DataFrame, time: str, size: str, late: str | None, by: str) -> DataFrame:
+    """Counts in tumbling windows: an addition of this engine.
+
+    With ``late``, events of windows that ended that long before the newest
+    time of earlier batches are dropped and old windows leave the state;
+    without, every event counts in whatever order it comes.
+    """
+    counts = (events.withWatermark(time, late) if late else events).groupBy(F.window(time, size), by).agg(F.count("*").alias("n"))
     rows = drain(counts, "update").select(F.col("window.start").alias("start"), by, "n", "batch")
     last = rows.groupBy("start", by).agg(F.max("batch").alias("batch"))
     return rows.join(last, ["start", by, "batch"]).drop("batch")
