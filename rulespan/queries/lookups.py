@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,8 +126,8 @@ def tool_family_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FAMILY = f"""SELECT key, coalesce(arg_max(f.tools, length(f.family)), 'none') AS tools FROM (SELECT {_KEY} AS key FROM part) p LEFT JOIN {_FAMILIES.sql()} f ON p.key = f.family OR starts_with(p.key, f.family || '-') GROUP BY key"""
 
 
-def rule_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = fx.table(spark, sf_dir, "lineitem").filter("l_orderkey <= 4000").select("l_orderkey", "l_linenumber").distinct()
+def rule_hydration(spark: SparkSession, sf_dir: str, last: int | None = 4000) -> DataFrame:
+    l = fx.up_to(fx.table(spark, sf_dir, "lineitem"), "l_orderkey", last).select("l_orderkey", "l_linenumber").distinct()
     kind = F.when(c("l_linenumber") % 2 == 0, "pre").otherwise("step")
     bindings = l.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("canvas_pos"), F.concat_ws(":", kind, (c("l_orderkey") % 50).cast("string"), c("l_linenumber").cast("string"), (c("l_orderkey") % 7).cast("string")).alias("rule_key"))
     dims = spark.range(50).select(c("id").cast("int").alias("sop_id")).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("row_index", F.explode(F.sequence(F.lit(0), F.lit(4))))
@@ -172,6 +174,7 @@ QUERIES = {
     "eligibility_two_hop": (eligibility_two_hop, "SELECT o_orderkey, c_mktsegment, n_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 > 0) ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey"),
     "tool_family_map": (tool_family_map, _FAMILY),
     "rule_hydration": (rule_hydration, _HYDRATE),
+    "rule_hydration_all": (partial(rule_hydration, last=None), _HYDRATE.replace(" WHERE l_orderkey <= 4000", "")),
     "field_priority": (field_priority, _FIELD),
     "tool_scope": (tool_scope, _SCOPE),
 }

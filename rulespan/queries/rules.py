@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +68,9 @@ def ir_tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ir.tree_paths(nodes(spark, sf_dir)).groupBy("depth").agg(F.count("*").alias("n"))
 
 
-def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fx.table(spark, sf_dir, "orders").filter("o_orderkey <= 3000")
+def rule_rows(spark: SparkSession, sf_dir: str, last: int | None = 3000) -> DataFrame:
+    """Rules from orders up to key ``last``, or from all."""
+    o = fx.up_to(fx.table(spark, sf_dir, "orders"), "o_orderkey", last)
     return o.select(
         c("o_orderkey").cast("string").alias("rule_id"),
         (c("o_custkey") % 50).alias("sop_id"),
@@ -78,13 +81,13 @@ def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def child_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = fx.table(spark, sf_dir, "lineitem").filter("l_orderkey <= 3000").select("l_orderkey", "l_linenumber").distinct()
+def child_rows(spark: SparkSession, sf_dir: str, last: int | None = 3000) -> DataFrame:
+    l = fx.up_to(fx.table(spark, sf_dir, "lineitem"), "l_orderkey", last).select("l_orderkey", "l_linenumber").distinct()
     return l.select(c("l_orderkey").cast("string").alias("rule_id"), F.when(c("l_linenumber") != 5, F.concat_ws(".", "l_orderkey", "l_linenumber")).alias("node_id"), (c("l_linenumber") > 3).cast("int").alias("depth"), F.when(c("l_linenumber") == 6, (c("l_orderkey") % 2000).cast("int")).alias("goto_step"), F.when(c("l_orderkey") % 10 == 0, "w").alias("applicable_when"))
 
 
-def ir_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ir.validate_rules(rule_rows(spark, sf_dir), child_rows(spark, sf_dir))
+def ir_validate(spark: SparkSession, sf_dir: str, last: int | None = 3000) -> DataFrame:
+    return ir.validate_rules(rule_rows(spark, sf_dir, last), child_rows(spark, sf_dir, last))
 
 
 _R = "(SELECT o_orderkey, o_custkey % 50 AS sop_id, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 997 END AS step_number, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 1500 END AS goto_step FROM orders WHERE o_orderkey <= 3000)"
@@ -96,8 +99,8 @@ UNION ALL SELECT 'WARN', l_orderkey::VARCHAR, 'subrule without id' FROM l WHERE
 UNION ALL SELECT 'WARN', l_orderkey::VARCHAR, 'applicable_only without applicable_when' FROM l WHERE l_linenumber <= 3 AND l_orderkey % 5 = 0 AND l_orderkey % 10 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM r) GROUP BY l_orderkey"""
 
 
-def ir_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ir.repair_rules(rule_rows(spark, sf_dir)).select("rule_id", "step_number", "goto_step")
+def ir_repair(spark: SparkSession, sf_dir: str, last: int | None = 3000) -> DataFrame:
+    return ir.repair_rules(rule_rows(spark, sf_dir, last)).select("rule_id", "step_number", "goto_step")
 
 
 _REPAIR = f"""WITH r AS {_R}, m AS (SELECT *, (row_number() OVER (PARTITION BY sop_id, step_number ORDER BY o_orderkey) > 1)::INTEGER AS again, max(step_number) OVER (PARTITION BY sop_id) AS mx FROM r WHERE step_number IS NOT NULL),
@@ -115,8 +118,8 @@ def orphan_reattach(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORPHAN = "SELECT 'n' || lpad(c_custkey::VARCHAR, 7, '0') AS node_id, CASE WHEN c_custkey >= 20 AND c_custkey % 10 NOT IN (3, 7) THEN 'n' || lpad((c_custkey // 3)::VARCHAR, 7, '0') END AS parent_id FROM customer"
 
 
-def routing_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rule_rows(spark, sf_dir)
+def routing_patches(spark: SparkSession, sf_dir: str, last: int | None = 3000) -> DataFrame:
+    rows = rule_rows(spark, sf_dir, last)
     patch = rows.filter("source_order % 3 = 0").select("rule_id", (c("source_order") % 1200).alias("goto_step"))
     return ir.merge_routing(rows.select("rule_id", "goto_step"), patch, rows.filter("step_number is not null").select("step_number"))
 
@@ -138,11 +141,19 @@ def ir_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VERSION = """SELECT c_custkey AS sop_id, sha256(CASE WHEN c_custkey % 2 = 0 THEN '{"a":"1","b":"' || c_mktsegment || '"}' ELSE '{"a":"2","b":"x"}' END) AS digest, (c_custkey % 2 + 1)::INTEGER AS version FROM customer"""
 
+
+def _all(sql: str) -> str:
+    return sql.replace(" WHERE o_orderkey <= 3000", "").replace(" WHERE l_orderkey <= 3000", "")
+
+
 QUERIES = {
     "ir_plan": (ir_plan, _PLAN),
     "ir_tree_depth": (ir_tree_depth, f"WITH RECURSIVE {_NODES} SELECT depth, count(*) AS n FROM walk GROUP BY depth"),
     "ir_validate": (ir_validate, _VALID),
     "ir_repair": (ir_repair, _REPAIR),
+    "ir_validate_all": (partial(ir_validate, last=None), _all(_VALID)),
+    "ir_repair_all": (partial(ir_repair, last=None), _all(_REPAIR)),
+    "routing_patches_all": (partial(routing_patches, last=None), _all(_PATCH)),
     "orphan_reattach": (orphan_reattach, _ORPHAN),
     "routing_patches": (routing_patches, _PATCH),
     "decision_parts": (decision_parts, "SELECT o_custkey % 30 AS sop_id, o_orderstatus AS section, o_orderkey AS row_index, ((row_number() OVER (PARTITION BY o_custkey % 30, o_orderstatus ORDER BY o_orderkey) - 1) // 6)::INTEGER AS part FROM orders"),
