@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +62,11 @@ SELECT 'HARD' AS severity, 'duplicate keys' AS problem, count(*) AS n FROM nodes
 UNION ALL SELECT 'HARD', 'no document', 1 UNION ALL SELECT 'SOFT', 'dangling edges', count(*) FROM edges WHERE source NOT IN (SELECT key FROM k) OR target NOT IN (SELECT key FROM k)"""
 
 
-def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ancestors(spark: SparkSession, sf_dir: str, every: int = 3) -> DataFrame:
+    """Walks up from each ``every``-th customer's decision node."""
     _, edges = g.sanitise(*raw(spark, sf_dir))
     up = edges.select(c("target").alias("source"), c("source").alias("target"))
-    starts = fx.table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("dec:"), "c_custkey").alias("key"))
+    starts = fx.table(spark, sf_dir, "customer").filter(c("c_custkey") % every == 0).select(F.concat(F.lit("dec:"), "c_custkey").alias("key"))
     return g.reach(up, starts).select("start", "key", "depth", F.array_join("path", ">").alias("path"))
 
 
@@ -88,9 +91,10 @@ def node_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crawl_frontier(spark: SparkSession, sf_dir: str, pages: int | None = 997) -> DataFrame:
+    """A crawl whose links are folded to ``pages`` addresses, or to as many as there are pages."""
     p = fx.table(spark, sf_dir, "pages").select(c("page_id").alias("url"))
-    n = 997
+    n = pages or max(1, p.count())
     links = p.select(c("url").alias("source"), F.explode(F.array((c("url") * 2 + 1) % n, (c("url") * 3 + 2) % n, c("url"))).alias("target"))
     return g.crawl(links, p.filter("url = 0"), 6, 40)
 
@@ -105,7 +109,9 @@ QUERIES = {
     "graph_edges": (graph_edges, f"WITH {_NODES}, {_EDGES} SELECT e.*, a.type AS source_type, b.type AS target_type FROM edges e JOIN nodes a ON a.key = source JOIN nodes b ON b.key = target"),
     "graph_validate": (graph_validate, _VALID),
     "ancestors": (ancestors, _UP),
+    "ancestors_all": (partial(ancestors, every=1), _UP.replace(" WHERE c_custkey % 3 = 0", "")),
     "descendants": (descendants, _DOWN),
     "node_histogram": (node_histogram, f"WITH {_NODES} SELECT type, count(*) AS n FROM nodes GROUP BY type"),
     "crawl_frontier": (crawl_frontier, _CRAWL),
+    "crawl_frontier_all": (partial(crawl_frontier, pages=None), _CRAWL.replace("997", "(SELECT count(*) FROM pages)")),
 }

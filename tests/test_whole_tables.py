@@ -19,3 +19,19 @@ def test_rule_queries_read_all_keys(spark, tables):
     assert run["ir_repair_all"].count() == run["routing_patches_all"].count() == 300
     assert run["ir_validate_all"].filter("problem = 'subrule without id'").count() == 300
     assert run["rule_hydration_all"].count() == 6 * sum(k % 7 <= 4 for k in range(3900, 4200))
+
+
+def test_graph_queries_reach_all_nodes_and_pages(spark, tmp_path):
+    spark.range(1, 11).selectExpr("id AS c_custkey", "id % 2 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2).selectExpr("id AS n_nationkey", "0L AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1).selectExpr("id AS r_regionkey").write.parquet(f"{tmp_path}/region.parquet")
+    spark.range(1100).selectExpr("id AS page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    up = all_queries()["ancestors_all"][0](spark, str(tmp_path))
+    assert {r["start"] for r in up.collect()} == {f"dec:{i}" for i in range(1, 11)} and up.count() == 30
+    seen = {0: 0}
+    for depth in range(1, 7):
+        for t in {t % 1100 for s in list(seen) for t in (2 * s + 1, 3 * s + 2)}:
+            seen.setdefault(t, depth)
+    want = sorted(seen.items(), key=lambda x: (x[1], x[0]))[:40]
+    found = all_queries()["crawl_frontier_all"][0](spark, str(tmp_path)).collect()
+    assert sorted((r["url"], r["depth"]) for r in found) == sorted(want)
