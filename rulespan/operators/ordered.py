@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulespan.sources.staging import stage
+
 
 def first_missing(rows: DataFrame, by: str, number: str) -> DataFrame:
     """The least k >= 1 that is not among each group's numbers."""
@@ -51,20 +55,77 @@ def chunks(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
     return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("int"))
 
 
+def _closings(size: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums before and after each row, and where the batch that starts at a row
+    is closed (the number of rows if nowhere)."""
+    after = np.cumsum(size)
+    before = after - size
+    return before, after, np.maximum(np.searchsorted(before, before, "right"), np.searchsorted(after, before + budget, "right"))
+
+
 def budget_batches(rows: DataFrame, by: str, order: list[str], item: str, size: str, budget: int) -> DataFrame:
-    """Close a batch when its sizes would pass ``budget``; a fold for each group,
-    as the sum starts anew with every batch.  (by, item, batch)."""
-    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("i"), F.col(size).cast("long").alias("s")))).alias("xs"))
-    state = "struct<batch:int,sum:bigint,out:array<int>>"
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out")).cast(state)
-
-    def add(a: Column, x: Column) -> Column:
-        full = (a["sum"] > 0) & (a["sum"] + x["s"] > budget)
-        batch = a["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(full, F.lit(0)).otherwise(a["sum"]) + x["s"]).alias("sum"), F.concat(a["out"], F.array(batch)).alias("out")).cast(state)
-
-    folded = listed.select(by, "xs", F.aggregate("xs", start, add)["out"].alias("out"))
-    return folded.select(by, F.explode(F.arrays_zip(F.col("xs.i").alias("i"), "out")).alias("z")).select(by, F.col("z.i").alias(item), F.col("z.out").alias("batch"))
+    """Close a batch when its sizes would pass ``budget``.  (by, item, batch).
+
+    Rows are dealt in ordered ranges.  What a range makes of the open batch it
+    is entered with depends on that batch's sum alone and in few steps; these
+    steps are folded for each group, then each range numbers its own batches.
+    A null size counts as none.
+    """
+    keys = [*(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col(item).alias("_i"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_s")]
+    names = [*(f"_o{k}" for k in range(len(order))), "_i", "_s"]
+    dealt = stage(rows.select(F.col(by).alias("_by"), *keys).repartitionByRange("_by", *names).withColumn("_part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("_part", "_by").orderBy(*names))
+    placed = dealt.select("_by", "_part", place.alias("_n"), "_i", "_s")
+    group = dict(dealt.dtypes)["_by"]
+
+    def steps(table: pa.Table) -> pa.Table:
+        """What follows from entering with a sum over ``above`` (-1: with none)."""
+        table = table.sort_by("_n")
+        x = table["_s"].to_numpy()
+        before, after, closed = _closings(x, budget)
+        n = len(x)
+        count, tail = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i in range(n - 1, -1, -1):
+            j = closed[i]
+            count[i], tail[i] = (count[j] + 1, tail[j]) if j < n else (0, after[-1] - before[i])
+        last = np.concatenate([[-1], after[:-1]])
+        first = np.flatnonzero((last < budget) & (after > last))
+        above = np.concatenate([[-1], budget - after[first]])
+        made = {"above": above, "count": np.concatenate([count[:1], count[first] + 1]), "tail": np.concatenate([tail[:1], tail[first]]), "total": np.full(len(above), after[-1])}
+        return pa.table({"_by": table["_by"].take(pa.array([0] * len(above))), "_part": pa.array([table["_part"][0].as_py()] * len(above), pa.int32()), **{"start": pa.array([True] + [False] * len(first))}, **{k: pa.array(v) for k, v in made.items()}})
+
+    def enter(table: pa.Table) -> pa.Table:
+        """The sum and the batch with which each range of a group is entered."""
+        parts: dict = {}
+        for r in table.drop_columns(["_by"]).to_pylist():
+            parts.setdefault(r["_part"], []).append(r)
+        carry, batch, out = 0, 0, []
+        for part in sorted(parts):
+            out.append((part, carry, batch))
+            if carry:
+                hit = max((r for r in parts[part] if not r["start"] and r["above"] < carry), key=lambda r: r["above"], default=None)
+            else:
+                hit = next(r for r in parts[part] if r["start"])
+            carry, batch = (hit["tail"], batch + hit["count"]) if hit else (carry + parts[part][0]["total"], batch)
+        part, carries, batches = zip(*out)
+        return pa.table({"_by": table["_by"].take(pa.array([0] * len(out))), "_part": pa.array(part, pa.int32()), "carry": pa.array(carries, pa.int64()), "first": pa.array(batches, pa.int64())})
+
+    def number(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        _, after, closed = _closings(table["_s"].to_numpy(), budget)
+        carry, starts = table["carry"][0].as_py(), []
+        j = int(np.searchsorted(after, budget - carry, "right") if carry else closed[0])
+        while j < len(after):
+            starts.append(j)
+            j = int(closed[j])
+        batch = table["first"][0].as_py() + np.searchsorted(np.array(starts, np.int64), np.arange(len(after)), "right")
+        return pa.table({"_by": table["_by"], "_i": table["_i"], "batch": pa.array(batch.astype(np.int32))})
+
+    moves = placed.groupBy("_part", "_by").applyInArrow(steps, f"_by {group}, _part int, start boolean, above long, count long, tail long, total long")
+    entered = moves.groupBy("_by").applyInArrow(enter, f"_by {group}, _part int, carry long, first long").withColumnsRenamed({"_by": "_g", "_part": "_p"})
+    rows = placed.join(entered, (F.col("_part") == F.col("_p")) & F.col("_by").eqNullSafe(F.col("_g"))).drop("_g", "_p")
+    numbered = rows.groupBy("_part", "_by").applyInArrow(number, f"_by {group}, _i {dict(dealt.dtypes)['_i']}, batch int")
+    return numbered.select(F.col("_by").alias(by), F.col("_i").alias(item), "batch")
 
 
 def top_within_budget(rows: DataFrame, by: str, score: str, tie: str, cost: str, budget: int) -> DataFrame:
