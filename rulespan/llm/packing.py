@@ -2,10 +2,11 @@
 
 Documents are tokenised once, in tasks; what is shuffled is a slim row for
 each piece.  The packing plan is made from the counts of the at most
-``capacity`` piece lengths: combinations of one, two or three lengths that
-fill a gap exactly are consumed while the counts last, and the residue is
-packed best fit.  Pieces then find their place by their number within their
-length, which a salted count gives without sorting a whole length.
+``capacity`` piece lengths: from the longest down, a combination of one, two or
+three lengths that fills a gap exactly is consumed while the counts last, and
+what no combination takes is packed best fit.  Pieces then find their place by
+their number within their length, which a salted count gives without sorting a
+whole length.
 """
 
 from __future__ import annotations
@@ -106,31 +107,29 @@ def _fits(free: np.ndarray, parts: tuple[int, ...]) -> int:
     return min(int(free[p]) // n for p, n in Counter(parts).items())
 
 
-def _pair(free: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Two lengths that sum to ``gap``, the longest first part first."""
-    a = np.arange((gap + 1) // 2, gap)
-    ok = (free[a] > 0) & (free[gap - a] > 0) & ((2 * a != gap) | (free[a] > 1))
+def _pair(free: np.ndarray, total: int) -> tuple[int, int] | None:
+    """Two free lengths that sum to ``total``, as even as can be: short pieces
+    are what the rest will need most."""
+    a = np.arange((total + 1) // 2, total)
+    ok = (free[a] > 0) & (free[total - a] > 0) & ((2 * a != total) | (free[a] > 1))
     hit = a[ok]
-    return (int(hit[-1]), gap - int(hit[-1])) if len(hit) else None
+    return (int(hit[0]), total - int(hit[0])) if len(hit) else None
 
 
-def _complement(free: np.ndarray, length: int, gap: int, depth: int) -> tuple[int, ...] | None:
-    """Up to ``depth`` (three at most) free lengths that fill ``gap`` beside ``length``."""
+def _complement(free: np.ndarray, length: int, gaps: np.ndarray) -> tuple[int, tuple[int, ...]] | None:
+    """The least of ``gaps`` (ascending, all over ``length``) that ``length`` and
+    one more free piece fill exactly, or else with two more, and those parts.
+
+    Lengths over ``length`` are used up, so the parts found are shorter ones.
+    """
     free[length] -= 1
     try:
-        if gap > 0 and free[gap] > 0:
-            return (gap,)
-        if depth > 1 and (pair := _pair(free, gap)):
-            return pair
-        for a in np.flatnonzero(free[: max(0, gap - 1)])[::-1] if depth > 2 else ():
-            a = int(a)
-            if 3 * a < gap:
-                break
-            free[a] -= 1
-            pair = _pair(free, gap - a)
-            free[a] += 1
-            if pair:
-                return (a, *pair)
+        single = gaps[free[gaps - length] > 0]
+        if len(single):
+            return int(single[0]), (length, int(single[0]) - length)
+        for gap in gaps.tolist():
+            if pair := _pair(free, gap - length):
+                return gap, (length, *pair)
         return None
     finally:
         free[length] += 1
@@ -140,47 +139,48 @@ def plan_packing(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) for ``counts[length]``
     pieces; the capacity is the largest index.
 
-    Filling gaps with three parts can use up short pieces that the residue
-    would need, so plans of depth three, two and one are made from the counts
-    and the one of fewest sequences is taken.
+    Lengths are dealt from the longest down.  Each first looks for a gap that
+    it fills exactly, alone, with one or with two shorter pieces, as often as
+    the counts allow; only where no combination fits is it placed best fit, in
+    the least gap that holds it, and only where none does in a new sequence.
+    Lengths, not pieces, are visited, so the work has a bound.
     """
-    return min((_plan(counts, depth) for depth in (3, 2, 1)), key=lambda plan: sum(n for _, n in plan))
-
-
-def _plan(counts: np.ndarray, depth: int) -> list[tuple[tuple[int, ...], int]]:
     free, capacity = counts.astype(np.int64).copy(), len(counts) - 1
-    out: list[tuple[tuple[int, ...], int]] = []
+    bins: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]  # by gap
+    open_gaps = np.zeros(capacity + 1, np.int64)
 
-    def use(parts: tuple[int, ...], n: int) -> None:
-        for p in parts:
+    def fill(gap: int, added: tuple[int, ...], n: int) -> None:
+        """Put ``added`` in ``n`` sequences that have this gap."""
+        for p in added:
             free[p] -= n
-        out.append((parts, n))
-
-    if free[capacity]:
-        use((capacity,), int(free[capacity]))
-    for length in range(capacity - 1, 0, -1):
-        while free[length] > 0 and (rest := _complement(free, length, capacity - length, depth)):
-            parts = (length, *rest)
-            use(parts, _fits(free, parts))
-    # best fit of the residue, longest first
-    open_bins: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
+        rest = gap - sum(added)
+        open_gaps[gap] -= n
+        open_gaps[rest] += n
+        while n:
+            parts, many = bins[gap].pop()
+            used = min(n, many)
+            if many > used:
+                bins[gap].append((parts, many - used))
+            bins[rest].append(((*parts, *added), used))
+            n -= used
+
     for length in range(capacity, 0, -1):
-        left = int(free[length])
-        for gap in range(length, capacity):
-            while left and gap >= length and open_bins[gap]:
-                parts, n = open_bins[gap].pop()
-                used = min(n, left)
-                if n > used:
-                    open_bins[gap].append((parts, n - used))
-                open_bins[gap - length].append(((*parts, length), used))
-                left -= used
-            if not left:
-                break
-        each = capacity // length
-        for copies, n in ((each, left // each), (left % each, 1)):
-            if copies and n:
-                open_bins[capacity - copies * length].append(((length,) * copies, n))
-    return out + [x for bins in open_bins for x in bins]
+        while free[length] > 0:
+            if open_gaps[length] > 0:
+                fill(length, (length,), min(int(open_gaps[length]), int(free[length])))
+                continue
+            gaps = np.flatnonzero(open_gaps[length + 1 :]) + length + 1
+            if len(gaps) and (found := _complement(free, length, gaps)):
+                gap, parts = found
+                fill(gap, parts, min(int(open_gaps[gap]), _fits(free, parts)))
+            elif len(gaps):
+                fill(int(gaps[0]), (length,), min(int(open_gaps[gaps[0]]), int(free[length])))
+            else:  # new sequences; one that takes copies is filled before the next opens
+                n = max(1, int(free[length]) // (capacity // length))
+                bins[capacity - length].append(((length,), n))
+                open_gaps[capacity - length] += n
+                free[length] -= n
+    return [x for gap in bins for x in gap]
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -195,6 +195,26 @@ def test_plan_uses_every_piece_once():
         assert sum(n for _, n in plan) <= 1.04 * need + 1
 
 
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [g for g in gaps if g >= n]
+        if fitting:
+            gaps.remove(min(fitting))
+        gaps.append((min(fitting) if fitting else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("mean", [4.0, 5.0, 5.5, 6.0])
+def test_complements_are_used_and_cost_nothing(mean):
+    r = np.random.default_rng(int(mean * 10))
+    lengths = np.clip(np.exp(r.normal(mean, 0.9, 900)).astype(int), 1, 1024)
+    plan = plan_packing(np.bincount(lengths, minlength=1025))
+    full = Counter(len(parts) for parts, n in plan for _ in range(n) if sum(parts) == 1024)
+    assert sum(full.values()) > 20 and sum(v for k, v in full.items() if k >= 3) > 5
+    assert sum(n for _, n in plan) <= best_fit_decreasing(lengths.tolist(), 1024) + 1
+
+
 def test_chunks_tokenise_like_the_library():
     from tokenizers import Tokenizer
 
