@@ -30,6 +30,7 @@ from rulespan.llm.common import shared_dir, stage
 LEAST_PAYLOAD = 100
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 20
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -153,13 +154,20 @@ def revisits(made: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     return later.select("file", "seq", F.col("first.page_id").alias("refers_to"))
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """``files`` (staged, a row each) dealt in turn to as many tasks as rows, up
+    to ``MOST_TASKS``, whatever their names hash to."""
+    return files.repartition(min(MOST_TASKS, max(1, files.count())))
+
+
 def normalise(made: DataFrame, again: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite each file of ``source`` record by record; a row for each file.
 
-    A task holds the revisit list of one file, which ``FILE_BYTES`` bounds.
+    Files are dealt out one to a task; a task holds the revisit list of its
+    file, which ``FILE_BYTES`` bounds.
     """
     per_file = again.groupBy("file").agg(F.collect_list(F.struct("seq", "refers_to")).alias("revisits"))
-    files = made.groupBy("file").agg(F.count("*").alias("n")).join(per_file, "file", "left")
+    files = dealt(stage(made.groupBy("file").agg(F.count("*").alias("n")).join(per_file, "file", "left"), "listed"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(source)
@@ -229,5 +237,4 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = LEAS
     folder = folder or shared_dir(pages.sparkSession)
     made = stage(write_monolithic(pages, f"{folder}/monolithic", file_bytes), "records")
     files = stage(normalise(made, revisits(made, least), f"{folder}/monolithic", f"{folder}/archives"), "files")
-    n = max(1, files.count())
-    return read_back(files.repartition(n, "file"), f"{folder}/archives")
+    return read_back(dealt(files), f"{folder}/archives")
