@@ -67,6 +67,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def free_name(table: DataFrame, stem: str = "marks") -> str:
+    """A column name that ``table`` does not have, whatever its case."""
+    taken = {c.lower() for c in table.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
@@ -111,6 +119,20 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
 
 
+class Places:
+    """A fixed random factor for each byte position of a word, grown on demand."""
+
+    def __init__(self):
+        self.factors = np.zeros(0, U64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if len(self.factors) < n:
+            at = np.arange(1, max(n, 2 * len(self.factors), 1 << 12) + 1, dtype=U64)
+            self.factors = mix(mix(at * U64(0xD1342543DE82EF95)) + U64(0xAEF17502108EF2D9))
+        return self.factors
+
+
+_PLACES = Places()
 _BYTE_POWERS, WORD_POWERS, WORD_POWERS_2 = Powers(BYTE_BASE), Powers(WORD_BASE), Powers(WORD_BASE_2)
 _BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 
@@ -130,6 +152,9 @@ class Slab:
 
     ``first[i]:first[i + 1]`` are the words of document i; ``start`` and
     ``end`` are byte positions in ``data``; ``hash`` has one value a word.
+    Equal hashes of a slab's words are checked by :meth:`equal`, words of
+    different tables meet by ``hash`` and ``hash2`` together, which come from
+    unlike families, or by a digest.
     """
 
     data: np.ndarray
@@ -147,6 +172,24 @@ class Slab:
         """The document of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    @property
+    def hash2(self) -> np.ndarray:
+        """A second hash of each word: a polynomial in its bytes."""
+        return RangeHash(_BYTE_CODES[self.data], _BYTE_POWERS)(self.start, self.end)
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words numbered ``a`` and ``b`` have the same bytes."""
+        size = self.end[a] - self.start[a]
+        same = size == self.end[b] - self.start[b]
+        some = np.flatnonzero(same)
+        if len(some):
+            n = size[some]
+            heads = np.cumsum(n) - n
+            step = np.arange(n.sum()) - np.repeat(heads, n)
+            match = self.data[np.repeat(self.start[a[some]], n) + step] == self.data[np.repeat(self.start[b[some]], n) + step]
+            same[some] = np.logical_and.reduceat(match, heads)
+        return same
+
 
 def split_words(data: np.ndarray, offsets: np.ndarray, plain: bool = True) -> Slab:
     """Find and hash the words of documents at ``data[offsets[i]:offsets[i+1]]``.
@@ -165,12 +208,24 @@ def split_words(data: np.ndarray, offsets: np.ndarray, plain: bool = True) -> Sl
         at = cut[cut > 0] - 1
         ends[at] |= inside[at + 1] == 1
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashed = RangeHash(_BYTE_CODES[data], _BYTE_POWERS)(start, end)
-    return Slab(data, np.searchsorted(start, offsets), start, end, hashed)
+    return Slab(data, np.searchsorted(start, offsets), start, end, hash_words(data, start, end))
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each word: its bytes' codes times a random factor for their
+    place, so no pattern within a word makes words collide."""
+    if not len(start):
+        return np.zeros(0, U64)
+    size = end - start
+    heads = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(heads, size)
+    codes = _BYTE_CODES[data[np.repeat(start, size) + place]]
+    codes *= _PLACES(int(size.max()))[place]
+    return mix(np.add.reduceat(codes, heads) + size.astype(U64))
 
 
 def byte_ranges(slab: Slab) -> RangeHash:
-    """Hashes of byte ranges of a slab, as its words have them."""
+    """Hashes of byte ranges of a slab."""
     return RangeHash(_BYTE_CODES[slab.data], _BYTE_POWERS)
 
 

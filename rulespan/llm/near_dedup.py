@@ -1,7 +1,8 @@
 """Operator 1: near-duplicate classes by Order MinHash and banded alignment.
 
 1. Every text becomes lower-case words (punctuation separates words).  Equal
-   word sequences are exact copies; one row of each such text goes on.
+   word sequences, told by a digest of the words, are exact copies; one row of
+   each such text goes on.
 2. Order MinHash: k-mers (four words) are labelled with their occurrence, and
    for each of ``entries`` hash functions the ``picks`` smallest labelled
    k-mers are kept in text order; their ordered tuple is a sketch entry.  Two
@@ -21,6 +22,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import U64, WORD_POWERS, WORD_POWERS_2, RangeHash, Slab, mix, per_document, slabs, small_batches, split_words, stage, windows
+from rulespan.llm.common import U64, WORD_POWERS, RangeHash, Slab, mix, per_document, slabs, small_batches, split_words, stage, windows
 
 K = 4
 ENTRIES = 48
@@ -51,6 +53,21 @@ def normalised(text: pa.Array) -> Iterator[tuple[int, int, Slab]]:
         yield at, to, split_words(data, offsets, plain=False)
 
 
+def copy_keys(slab: Slab, text: pa.Array) -> np.ndarray:
+    """Two numbers for each document, half a SHA-256 of its words; of its raw
+    text where it has no word."""
+    size = slab.end - slab.start
+    heads = np.cumsum(size + 1) - size - 1
+    joined = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    joined[np.repeat(heads, size) + step] = slab.data[np.repeat(slab.start, size) + step]
+    ends = np.append(heads, len(joined))[slab.first]
+    found = [hashlib.sha256(joined[a:b]).digest()[:16] for a, b in zip(ends[:-1], ends[1:])]
+    for i in np.flatnonzero(slab.counts == 0).tolist():
+        found[i] = hashlib.sha256(b"\0" + (text[i].as_py() or "").encode()).digest()[:16]
+    return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+
+
 def labelled_kmers(slab: Slab, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Start words of all k-mers, and hashes that differ between occurrences
     of one k-mer within a document."""
@@ -356,18 +373,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, slab in normalised(batch.column("text")):
-                ends = slab.first
-                k1 = RangeHash(slab.hash, WORD_POWERS)(ends[:-1], ends[1:])
-                k2 = RangeHash(slab.hash, WORD_POWERS_2)(ends[:-1], ends[1:])
-                none = slab.counts == 0
-                raw = batch.column("raw").slice(at, to - at).to_numpy(zero_copy_only=False).astype(np.int64)
-                k1, k2 = np.where(none, 0, k1.astype(np.int64)), np.where(none, raw, k2.astype(np.int64))
+                keys = copy_keys(slab, batch.column("text").slice(at, to - at))
                 entry = order_sketch(slab, k, entries, picks).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, entry.size + 1, entries, dtype=np.int32), pa.array(entry.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(k1), pa.array(k2), pa.array(slab.counts.astype(np.int32)), lists, word_bags(slab)], names=["doc_id", "k1", "k2", "n", "entries", "bag"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(slab.counts.astype(np.int32)), lists, word_bags(slab)], names=["doc_id", "k1", "k2", "n", "entries", "bag"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"))
-    rows = stage(rows.mapInArrow(sketch, "doc_id long, k1 long, k2 long, n int, entries array<long>, bag binary"), "sketches")
+    rows = stage(docs.mapInArrow(sketch, "doc_id long, k1 long, k2 long, n int, entries array<long>, bag binary"), "sketches")
     copies = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     # an id that carries several texts joins the classes of them all
     shared = rows.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"]).filter("doc_id != rep")

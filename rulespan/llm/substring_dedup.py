@@ -2,19 +2,26 @@
 
 A window is ``length`` consecutive words.  Winnowing picks, for every window,
 the least hash of the seed-word runs inside it (the rightmost of equals), so
-two places with one window agree on its seed and on where it lies.  The
-windows of one seed are consecutive; together they span a *stretch* of words.
-
-1. Seeds: stretches are joined on their seed's hash; a seed that occurs once
-   settles all its windows as unique.
-2. Extend: where all stretches of a seed are equal, the match reaches both
-   ends of each and they are repeats as a whole.  Where they differ, one
-   stretch of each kind is cut into its windows, and equal windows mark how
-   far the match reaches to either side.
-3. Overlapping and adjoining repeats of a document merge to maximal spans.
-
-Windows are judged on the input alone.  Copies of a stretch never meet in
-pairs; counts are partial before each shuffle.
+two places with one window agree on its anchor and on where it lies.  The
+windows of one anchor are consecutive; together they span a *stretch*: the
+anchor with an arm of words to either side.
+
+1. Seeds: equal stretches are counted before anything is joined, so a passage
+   that many documents share is one row from then on.  Stretches meet at their
+   anchor's hash; an anchor with a single stretch that occurs once settles all
+   its windows as unique.
+2. Extend: a stretch that occurs more than once matches over both of its whole
+   arms.  Where an anchor has several stretches, each is extended by itself:
+   from the anchor ``o`` words to the left and the rest of ``length`` to the
+   right, for every ``o`` that its arms allow; what meets another stretch at
+   equal words is a match that far to either side.
+3. Matches of a document that overlap or adjoin merge to maximal repeats.
+
+Words of different documents are compared by 128 bits: two 64-bit sums over
+word hashes of unlike families.  Windows are judged on the input alone.
+Copies of a stretch never meet in pairs; counts are partial before each
+shuffle, and tables are written before they are joined to a count, so that
+Spark can split a hot key's rows.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import U64, WORD_POWERS, RangeHash, Slab, mix, small_batches, stage, windows, word_slabs
+from rulespan.llm.common import U64, WORD_POWERS, WORD_POWERS_2, RangeHash, Slab, free_name, mix, small_batches, stage, windows, word_slabs
 
 LENGTH = 35
 SEED = 8
@@ -39,14 +46,12 @@ def row_keys(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(did, F.lit(0).cast("long")).alias("did"), F.xxhash64(did.isNull(), text).alias("tid")]
 
 
-def stretches(slab: Slab, length: int, seed: int) -> dict[str, np.ndarray]:
-    """All stretches of a slab: document, seed hash, stretch hash, first window, windows."""
+def anchors(slab: Slab, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of all windows of a slab, the first word of each one's
+    anchor and that anchor's hash."""
     at = windows(slab, length)
-    if not len(at):
-        return {}
-    ranges = RangeHash(slab.hash, WORD_POWERS)
     grams = np.arange(len(slab.hash) - seed + 1)
-    seeds = mix(ranges(grams, grams + seed) ^ U64(0x5851F42D4C957F2D))
+    seeds = mix(RangeHash(slab.hash, WORD_POWERS)(grams, grams + seed) ^ U64(0x5851F42D4C957F2D))
     width = length - seed + 1
     # the rightmost least seed of each window, slab-wide; only windows within a document are used
     best, value = grams[: len(grams) - width + 1].copy(), seeds[: len(grams) - width + 1].copy()
@@ -55,42 +60,48 @@ def stretches(slab: Slab, length: int, seed: int) -> dict[str, np.ndarray]:
         better = other <= value
         value = np.where(better, other, value)
         best[better] = np.flatnonzero(better) + step
-    best, value = best[at], value[at]
-    owner = slab.owner[at]
-    new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])]))
-    count = np.diff(np.append(new, len(at)))
-    first = at[new]
-    return {"doc": owner[new], "seed": value[new], "hash": ranges(first, first + count - 1 + length), "lo": first - slab.first[owner[new]], "count": count}
+    return at, best[at], value[at]
 
 
-def _emit(batch: pa.RecordBatch, at: int, to: int, doc: np.ndarray, names: tuple[str, ...]) -> list[pa.Array]:
+class Fingerprint:
+    """128 bits, as two columns, of runs of a slab's words."""
+
+    def __init__(self, slab: Slab):
+        self.one, self.two = RangeHash(slab.hash, WORD_POWERS), RangeHash(slab.hash2, WORD_POWERS_2)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+        return [pa.array(f(start, end).astype(np.int64)) for f in (self.one, self.two)]
+
+
+def _emit(batch: pa.RecordBatch, at: int, doc: np.ndarray, names: tuple[str, ...]) -> list[pa.Array]:
     rows = pa.array(doc + at)
     return [batch.column(c).take(rows) for c in names]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(did, tid, spans) for rows of ``docs`` (did, tid, text) with a repeat:
-    spans are [first word, words] of overlapping runs of repeated windows."""
-
-    small_batches(docs.sparkSession)
+def stretches(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """All stretches of ``docs`` (did, tid, text): did, tid, seed, h, g (their
+    words' fingerprint), lo (first word) and n (windows)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, slab in word_slabs(batch.column("text")):
-                s = stretches(slab, length, seed)
-                if s:
-                    keys = _emit(batch, at, to, s["doc"], ("did", "tid"))
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(s["seed"].astype(np.int64)), pa.array(s["hash"].astype(np.int64)), pa.array(s["lo"].astype(np.int32)), pa.array(s["count"].astype(np.int32))], names=["did", "tid", "seed", "h", "lo", "n"])
+                if slab.counts.max(initial=0) < length:
+                    continue
+                window, anchor, value = anchors(slab, length, seed)
+                owner = slab.owner[window]
+                new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
+                n = np.diff(np.append(new, len(window)))
+                first, doc = window[new], owner[new]
+                arrays = [pa.array(value[new].astype(np.int64)), *Fingerprint(slab)(first, first + n - 1 + length), pa.array((first - slab.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*_emit(batch, at, doc, ("did", "tid")), *arrays], names=["did", "tid", "seed", "h", "g", "lo", "n"])
+
+    return docs.mapInArrow(find, "did long, tid long, seed long, h long, g long, lo int, n int")
 
-    placed = stage(docs.mapInArrow(find, "did long, tid long, seed long, h long, lo int, n int"), "stretches")
-    seeds = placed.groupBy("seed").agg(F.count("*").alias("c"), F.min("h").alias("h0"), F.max("h").alias("h1")).filter("c > 1")
-    met = stage(placed.join(seeds.select("seed", (F.col("h0") == F.col("h1")).alias("same")), "seed"), "met")
-    mixed = met.filter("not same").drop("same")
-    kinds = stage(mixed.groupBy("seed", "h").agg(F.count("*").alias("c"), F.min(F.struct("did", "tid", "lo", "n")).alias("one")), "kinds")
-    whole = met.filter("same").select("did", "tid", "lo", "n").union(mixed.join(kinds.filter("c > 1").select("seed", "h"), ["seed", "h"]).select("did", "tid", "lo", "n"))
 
-    # one stretch of each kind is cut into windows; a text is fetched once however many it has
-    asked = kinds.select("one.*", (F.col("c") > 1).alias("done")).groupBy("did", "tid").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "done"))).alias("asked"))
+def extended(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """The windows of the stretches ``asked`` (did, tid, lo, n, done) of ``docs``:
+    did, tid, w, v (fingerprint), lo, done.  A text is fetched once however
+    many stretches it has."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,18 +112,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
             edges = np.concatenate([[0], np.cumsum(sizes)])
             for at, to, slab in word_slabs(batch.column("text")):
                 part = slice(edges[at], edges[to])
-                doc = np.repeat(np.arange(to - at), sizes[at:to])
                 count = n[part].astype(np.int64)
+                doc = np.repeat(np.repeat(np.arange(to - at), sizes[at:to]), count)
                 start = np.repeat(lo[part], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                doc = np.repeat(doc, count)
                 first = start + slab.first[doc]
-                h = RangeHash(slab.hash, WORD_POWERS)(first, first + length).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*_emit(batch, at, to, doc, ("did", "tid")), pa.array(h), pa.array(start.astype(np.int32)), pa.array(np.repeat(done[part], count))], names=["did", "tid", "w", "lo", "done"])
+                arrays = [*Fingerprint(slab)(first, first + length), pa.array(start.astype(np.int32)), pa.array(np.repeat(done[part], count))]
+                yield pa.RecordBatch.from_arrays([*_emit(batch, at, doc, ("did", "tid")), *arrays], names=["did", "tid", "w", "v", "lo", "done"])
+
+    each = asked.groupBy("did", "tid").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "done"))).alias("asked"))
+    texts = docs.join(each, ["did", "tid"]).select("did", "tid", "text", "asked")
+    return texts.mapInArrow(cut, "did long, tid long, w long, v long, lo int, done boolean")
+
 
-    texts = docs.join(asked, ["did", "tid"]).select("did", "tid", "text", "asked")
-    pieces = stage(texts.mapInArrow(cut, "did long, tid long, w long, lo int, done boolean"), "windows")
-    again = pieces.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    parts = pieces.filter("not done").join(again, "w").select("did", "tid", "lo", F.lit(1).alias("n"))
+def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """(did, tid, spans) for rows of ``docs`` (did, tid, text) with a repeat:
+    spans are [first word, windows] of overlapping runs of repeated windows."""
+    small_batches(docs.sparkSession)
+    placed = stage(stretches(docs, length, seed), "stretches")
+    # any of the equal stretches stands for all of them: their words are the same
+    kinds = stage(placed.groupBy("seed", "h", "g").agg(F.count("*").alias("c"), *(F.first(k).alias(k) for k in ("did", "tid", "lo", "n"))), "kinds")
+    repeats = stage(kinds.filter("c > 1").select("seed", "h", "g"), "repeats")
+    whole = placed.join(repeats, ["seed", "h", "g"]).select("did", "tid", "lo", "n")
+
+    mixed = stage(kinds.groupBy("seed").agg(F.count("*").alias("k")).filter("k > 1").select("seed"), "mixed")
+    asked = kinds.join(mixed, "seed").select("did", "tid", "lo", "n", (F.col("c") > 1).alias("done"))
+    pieces = stage(extended(docs, asked, length), "windows")
+    again = stage(pieces.groupBy("w", "v").agg(F.count("*").alias("c")).filter("c > 1").select("w", "v"), "again")
+    parts = pieces.filter("not done").join(again, ["w", "v"]).select("did", "tid", "lo", F.lit(1).alias("n"))
     return whole.union(parts).groupBy("did", "tid").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
 
 
@@ -160,25 +186,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
 
 def strip_documents(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``docs`` with the text and n_chars that stay; documents that lose their
-    last word go.  A text that loses nothing is left as it was."""
-    names, keys = docs.columns, row_keys(F.col("doc_id"), F.col("text"))
-    held = docs.select(*docs.columns, *(k.alias(f"_{n}") for k, n in zip(keys, ("did", "tid"))))
-    spans = repeated_spans(docs.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), length, seed)
-    spans = spans.select(F.col("did").alias("_did"), F.col("tid").alias("_tid"), F.col("spans").alias("_spans"))
-    joined = held.join(spans, ["_did", "_tid"], "left").select(*docs.columns, "_spans")
+    last word go.  A text that loses nothing is left as it was.  Columns of
+    any name pass through."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    held = docs.select(*row_keys(F.col("doc_id"), F.col("text")), whole)
+    spans = repeated_spans(held.select("did", "tid", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")), length, seed)
+    joined = held.join(spans, ["did", "tid"], "left").select("row.*", F.col("spans").alias(free_name(docs)))
+    names = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, stay = batch.column("text").to_pylist(), []
-            for i, found in enumerate(batch.column("_spans").to_pylist()):
+            texts, stay = batch.column(names.index("text")).to_pylist(), []
+            for i, found in enumerate(batch.column(len(names)).to_pylist()):
                 if found:
                     words, lo = texts[i].encode().split(), np.array([x["lo"] for x in found])
                     for s, e in reversed(_merge(lo, np.array([x["n"] for x in found]) - 1 + length)):
                         del words[s:e]
                     texts[i] = b" ".join(words).decode()
                 stay.append(not found or bool(texts[i]))
-            columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(stay, pa.bool_()))
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
     out = joined.mapInArrow(strip, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -17,6 +17,7 @@ from rulespan.llm.mixing import fit_budget, mix_sources
 from rulespan.llm.near_dedup import band_distances, near_duplicates
 from rulespan.llm.packing import default_tokenizer, pack, plan_packing, tokenizer
 from rulespan.llm.quality_pu import quality_classifier
+from rulespan.llm.quality_rules import quality_rules
 from rulespan.llm.substring_dedup import remove_repeats
 from rulespan.llm.topk import top_k
 from rulespan.llm.toxicity import toxicity
@@ -132,6 +133,34 @@ def test_repeats_equal_brute_force(spark):
         assert (found[i]["n_removed"], found[i]["kept_sha256"]) == (len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def mirror_words() -> tuple[str, str]:
+    """Two different 1,024-letter words whose polynomial hashes are equal modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart_not_only_their_hashes(spark):
+    x, y = mirror_words()
+    around = prose(1, 40).split()
+    docs = spark.createDataFrame([(i, " ".join([*around[:20], w, *around[20:]]), None, None) for i, w in ((1, x), (2, y))], DOCS)
+    assert {r["n_removed"] for r in remove_repeats(docs).collect()} == {0}
+    alone = spark.createDataFrame([(1, x, None, None), (2, y, None, None), (3, x.upper(), None, None)], DOCS)
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(alone).collect()} == {1: 1, 2: 2, 3: 1}
+    text = " ".join([*around[:8], x, *around[8:15], *around[:8], y, *around[8:15]])
+    judged = quality_rules(spark.createDataFrame([(1, text, None, None)], DOCS)).first()
+    assert judged["n_repeat_words"] == 16  # the eight words before, and none with the mirrored one
+
+
+def test_colliding_words_are_compared(monkeypatch):
+    from rulespan.llm import common, quality_rules as rules
+
+    monkeypatch.setattr(common, "hash_words", lambda data, start, end: np.ones(len(start), np.uint64))
+    words = prose(3, 60).split()
+    text = " ".join(words + words[:9] + ["x", "x"])
+    slab = common.split_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert rules.repeated_words(slab).tolist() == [18] and rules.stutter_words(slab).tolist() == [1]
+
+
 def test_budget_search_finds_the_best_sum():
     r = random.Random(8)
     for _ in range(60):
