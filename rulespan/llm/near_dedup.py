@@ -10,11 +10,11 @@
    with about 1 - (1 - J ** picks) ** entries (:func:`recall`).
 3. Texts that agree in an entry form a bucket.  Each member is first a
    candidate of the bucket's smallest and largest id: two pairs a member.
-4. Candidates that lengths and word counts cannot rule out are verified by
-   banded alignment of their word sequences: a link needs
-   1 - distance / longer length >= ``similarity``.
+4. Candidates that lengths and word counts (hashed ones first, then the words
+   themselves) cannot rule out are verified by banded alignment of their word
+   sequences: a link needs 1 - distance / longer length >= ``similarity``.
 5. Links are joined to classes by spreading the least id along them.  In
-   buckets that still hold several classes, random members are hubs for
+   buckets that still hold several classes, a random member is a hub for
    ``HUB_ROUNDS`` rounds, which joins large classes by few alignments; then all
    pairs of a bucket that are still in different classes are asked, in blocks
    of members, so no pair of a bucket that would link two classes stays unasked.
@@ -38,9 +38,9 @@ ENTRIES = 48
 PICKS = 2
 SIMILARITY = 0.8
 CELLS = 1 << 20
-BAG = 64
-BLOCK = 512
-HUB_ROUNDS = 2
+BAG, FINE_BAG = 64, 1024
+BLOCK = 128
+HUB_ROUNDS = 1
 _LOW = U64((1 << 24) - 1)
 _NONE = U64((1 << 64) - 1)
 
@@ -118,17 +118,34 @@ def recall(edits: float, k: int = K, entries: int = ENTRIES, picks: int = PICKS)
     return 1 - (1 - (same / (2 - same)) ** picks) ** entries
 
 
-def word_bags(slab: Slab) -> pa.Array:
-    """How many words of each document fall to each of ``BAG`` hash values, a
-    byte each, 255 at most."""
-    place = slab.owner * BAG + (slab.hash >> U64(58)).astype(np.int64)
+def word_bags(slab: Slab, size: int) -> pa.Array:
+    """How many words of each document fall to each of ``size`` (a power of
+    two) hash values, a byte each, 255 at most."""
+    place = slab.owner * size + (slab.hash >> U64(65 - size.bit_length())).astype(np.int64)
     n = len(slab.counts)
-    bags = np.minimum(np.bincount(place, minlength=BAG * n), 255).astype(np.uint8)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, BAG * n + 1, BAG, dtype=np.int32)), pa.py_buffer(bags)])
+    bags = np.minimum(np.bincount(place, minlength=size * n), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, size * n + 1, size, dtype=np.int32)), pa.py_buffer(bags)])
 
 
-def _bags(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BAG)
+def _bags(column: pa.Array, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
+
+
+def word_gaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each pair of word sequences, how many words one side has more than
+    the other, the larger side: no alignment costs less."""
+    n = len(a)
+    pair = np.concatenate([np.repeat(np.arange(n), [len(x) for x in side]) for side in (a, b)])
+    key = pair.astype(U64) << U64(32) | np.concatenate([*a, *b, np.zeros(0, np.uint32)]).astype(U64)
+    side = np.ones(len(key), np.int64)
+    side[sum(map(len, a)) :] = -1
+    order = np.argsort(key, kind="stable")
+    key, side = key[order], side[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    more = np.add.reduceat(side, heads) if len(heads) else side
+    owner = (key[heads] >> U64(32)).astype(np.int64)
+    over, under = (np.bincount(owner, np.maximum(sign * more, 0), minlength=n) for sign in (1, -1))
+    return np.maximum(over, under).astype(np.int64)
 
 
 def edit_limit(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -245,7 +262,10 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
                 a, b = _words(batch.column("ta")), _words(batch.column("tb"))
                 longer = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
                 limits = edit_limit(longer, longer, similarity)
-                ok = pa.array(band_distances(a, b, limits) <= limits)
+                close = word_gaps(a, b) <= limits
+                some = np.flatnonzero(close)
+                close[some] = band_distances([a[i] for i in some], [b[i] for i in some], limits[some]) <= limits[some]
+                ok = pa.array(close)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(align, "a long, b long").distinct()
@@ -260,7 +280,7 @@ def plausible(pairs: DataFrame, traits: DataFrame, similarity: float) -> DataFra
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ok = pa.array(could_link(n, m, _bags(batch.column("baga")), _bags(batch.column("bagb")), similarity))
+            ok = pa.array(could_link(n, m, _bags(batch.column("baga"), BAG), _bags(batch.column("bagb"), BAG), similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return pairs.select("a", "b", "na", "nb", "baga", "bagb").mapInArrow(keep, "a long, b long")
@@ -284,9 +304,9 @@ def pairs_apart(members: DataFrame, labels: DataFrame, traits: DataFrame, simila
     known, apart = labelled(members, labels)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = known.join(apart, ["e", "h"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(traits, "doc_id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(traits.select("doc_id", "n", "bag", "fine"), "doc_id")
     ends = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    groups = rows.select("e", "h", *ends, F.struct("doc_id", "n", "label", "own", "bag").alias("x")).groupBy("e", "h", "i", "j").agg(F.collect_list("x").alias("xs"))
+    groups = rows.select("e", "h", *ends, F.struct("doc_id", "n", "label", "own", "bag", "fine").alias("x")).groupBy("e", "h", "i", "j").agg(F.collect_list("x").alias("xs"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +314,7 @@ def pairs_apart(members: DataFrame, labels: DataFrame, traits: DataFrame, simila
             sizes = xs.value_lengths().to_numpy().astype(np.int64)
             flat = xs.flatten()
             ids, n, label, own = (flat.field(c).to_numpy() for c in ("doc_id", "n", "label", "own"))
-            bags = _bags(flat.field("bag"))
+            coarse, fine = _bags(flat.field("bag"), BAG), _bags(flat.field("fine"), FINE_BAG)
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
             two = np.repeat(batch.column("i").to_numpy() != batch.column("j").to_numpy(), sizes)
             sizes = np.repeat(sizes, sizes)
@@ -309,9 +329,11 @@ def pairs_apart(members: DataFrame, labels: DataFrame, traits: DataFrame, simila
                 p, q = p[ok], q[ok]
                 ok = np.abs(n[p] - n[q]) <= edit_limit(n[p], n[q], similarity)
                 p, q = p[ok], q[ok]
-                for at in range(0, len(p), 1 << 16):
-                    a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-                    ok = could_link(n[a], n[b], bags[a], bags[b], similarity)
+                for at in range(0, len(p), 1 << 14):
+                    a, b = p[at : at + (1 << 14)], q[at : at + (1 << 14)]
+                    ok = could_link(n[a], n[b], coarse[a], coarse[b], similarity)
+                    a, b = a[ok], b[ok]
+                    ok = could_link(n[a], n[b], fine[a], fine[b], similarity)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
                 s = e
 
@@ -324,8 +346,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     Each round every vertex is merged into the least vertex around it, and
     that one's own choice, and the edges are drawn anew between what is left;
     settled ones vanish, so the edges of a star are read once.  ``labels``
-    carries on from earlier links.  Every round is written out, so none
-    recomputes another.
+    carries on from earlier links.  Every round's edges and moves are written
+    out, so none recomputes another; the moves are applied at the end.
     """
     edges = links.select("a", "b").filter("a != b")
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -334,17 +356,17 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     else:
         edges = _redraw(edges, labels)
         labels = ends.join(labels, "id", "full").select("id", F.coalesce("label", "id").alias("label"))
-    labels, edges = stage(labels, "labels"), stage(edges, "edges")
+    edges, moves = stage(edges, "edges"), []
     while not edges.isEmpty():
         around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = around.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).select("id", F.least("id", "label").alias("label"))
-        near = stage(near, "parents")
         beyond = near.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        parents = stage(near.join(beyond, "label").select("id", F.col("far").alias("label")), "parents")
-        moved = parents.select(F.col("id").alias("label"), F.col("label").alias("new"))
-        labels = stage(labels.join(moved, "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
-        edges = stage(_redraw(edges, parents), "edges")
-    return labels
+        moves.append(stage(near.join(beyond, "label").select("id", F.col("far").alias("label")), "parents"))
+        edges = stage(_redraw(edges, moves[-1]), "edges")
+    for moved in moves:
+        moved = moved.select(F.col("id").alias("label"), F.col("label").alias("new"))
+        labels = labels.join(moved, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+    return stage(labels, "labels")
 
 
 def _redraw(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -376,9 +398,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
                 keys = copy_keys(slab, batch.column("text").slice(at, to - at))
                 entry = order_sketch(slab, k, entries, picks).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, entry.size + 1, entries, dtype=np.int32), pa.array(entry.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(slab.counts.astype(np.int32)), lists, word_bags(slab)], names=["doc_id", "k1", "k2", "n", "entries", "bag"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(slab.counts.astype(np.int32)), lists, word_bags(slab, BAG), word_bags(slab, FINE_BAG)], names=["doc_id", "k1", "k2", "n", "entries", "bag", "fine"])
 
-    rows = stage(docs.mapInArrow(sketch, "doc_id long, k1 long, k2 long, n int, entries array<long>, bag binary"), "sketches")
+    rows = stage(docs.mapInArrow(sketch, "doc_id long, k1 long, k2 long, n int, entries array<long>, bag binary, fine binary"), "sketches")
     copies = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     # an id that carries several texts joins the classes of them all
     shared = rows.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"]).filter("doc_id != rep")
@@ -386,7 +408,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     twins = shared.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     distinct = rows.filter(f"n >= {k}").join(copies, ["k1", "k2"]).filter("doc_id = rep")
-    traits = distinct.select("doc_id", "n", "bag")
+    traits = distinct.select("doc_id", "n", "bag", "fine")
     buckets = distinct.select("doc_id", F.posexplode("entries").alias("e", "h")).filter("h != 0")
     ends = buckets.groupBy("e", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi")
     members = stage(buckets.join(ends, ["e", "h"]), "members")

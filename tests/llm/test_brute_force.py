@@ -52,6 +52,8 @@ def test_alignment_equals_full_table():
         a.append(np.array(x, np.uint32)), b.append(np.array(y, np.uint32)), limits.append(r.randint(0, 25))
     want = [min(distance(x, y), n + 1) for x, y, n in zip(a, b, limits)]
     assert band_distances(a, b, np.array(limits)).tolist() == want
+    gaps = [max(sum((Counter(x.tolist()) - Counter(y.tolist())).values()), sum((Counter(y.tolist()) - Counter(x.tolist())).values())) for x, y in zip(a, b)]
+    assert near_dedup.word_gaps(a, b).tolist() == gaps and near_dedup.word_gaps([], []).tolist() == []
 
 
 def test_near_duplicate_classes(spark):
@@ -105,8 +107,8 @@ def test_pairs_apart_equal_brute_force(spark, monkeypatch):
     texts = {i: edited(prose(i // 4, 40 + i // 4), 0.08, i) for i in range(60)}
     words = {i: t.split() for i, t in texts.items()}
     slab = next(near_dedup.normalised(pa.array(list(texts.values()))))[2]
-    bags = near_dedup.word_bags(slab).to_pylist()
-    traits = spark.createDataFrame([(i, len(words[i]), bytearray(bags[i])) for i in texts], "doc_id long, n int, bag binary")
+    bags, fine = (near_dedup.word_bags(slab, n).to_pylist() for n in (near_dedup.BAG, near_dedup.FINE_BAG))
+    traits = spark.createDataFrame([(i, len(words[i]), bytearray(bags[i]), bytearray(fine[i])) for i in texts], "doc_id long, n int, bag binary, fine binary")
     labels = spark.createDataFrame([(i, i // 2 * 2) for i in texts], "id long, label long")
     members = spark.createDataFrame([(e, e, i) for e in (0, 1) for i in texts if e == 0 or i < 9], "e int, h long, doc_id long")
     got = {(r["a"], r["b"]) for r in near_dedup.pairs_apart(members, labels, traits, 0.8).collect()}
