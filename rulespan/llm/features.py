@@ -8,18 +8,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import SLAB_BYTES, U64, Slab, byte_ranges, slabs, small_batches, split_words
+from rulespan.llm.common import SLAB_BYTES, U64, Slab, byte_ranges, share_below, slabs, small_batches, split_words
 from rulespan.llm.quality_rules import _IS_BLANK, _IS_SYMBOL, repeated_words, stutter_words
 
 STATS = ("log_words", "word_length", "symbols", "marks", "capitals", "digits", "repeats", "line_length", "stutter")
 
 
-def share_below(key: Column, rows: int, of: int, seed: int) -> Column:
-    """Keeps about ``rows`` of ``of`` rows, the same ones on every run."""
-    share = min(1.0, rows / max(1, of))
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(share * (1 << 30))
-
-
 def trigrams(data: np.ndarray, dims: int) -> np.ndarray:
     """The bucket of the byte trigram that starts at each byte (edges wrap to zero)."""
     wide = data.astype(np.uint32)
@@ -55,25 +49,30 @@ def text_stats(slab: Slab, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-def quality_vectors(text: pa.Array, dims: int) -> np.ndarray:
-    """Trigram shares and STATS of each document, dense; for samples only."""
-    out = []
-    for _, _, data, offsets in slabs(text):
-        slab, size = split_words(data, offsets), np.diff(offsets)
-        owner = np.repeat(np.arange(len(size)), size)
-        counts = np.bincount(owner * dims + trigrams(data, dims), minlength=len(size) * dims).reshape(len(size), dims)
-        out.append(np.hstack([counts / np.maximum(1, size)[:, None], text_stats(slab, offsets)]))
-    return np.concatenate(out).astype(np.float32) if out else np.zeros((0, dims + len(STATS)), np.float32)
+#: Features are whole numbers, this many to the unit, so sums over any number
+#: of rows are exact whatever their order.
+ONE = 1024
+
+
+def quality_size(dims: int) -> int:
+    return dims + 3 * len(STATS) + 1
 
 
-def quality_scores(text: pa.Array, weights: np.ndarray, bias: float, dims: int) -> np.ndarray:
-    """The linear score of each document, without making its vector."""
+def quality_features(text: pa.Array, dims: int) -> np.ndarray:
+    """A row for each document: roots of its trigrams' shares of ``dims``
+    buckets, STATS brought to about 0 to 1 with their roots and squares, and a
+    constant; each between 0 and 4 * ``ONE``."""
+    scale = np.array([0.1, 0.1, 1, 1, 1, 1, 1, 0.2, 1])
     out = []
     for _, _, data, offsets in slabs(text):
         slab, size = split_words(data, offsets), np.diff(offsets)
-        share = sums(weights[:dims][trigrams(data, dims)], offsets) / np.maximum(1, size)
-        out.append(share + text_stats(slab, offsets) @ weights[dims:] + bias)
-    return np.concatenate(out) if out else np.zeros(0)
+        owner = np.repeat(np.arange(len(size)), size)
+        counts = np.bincount(owner * dims + trigrams(data, dims), minlength=len(size) * dims).reshape(len(size), dims)
+        stats = text_stats(slab, offsets) * scale
+        stats[:, 1] = np.tanh(stats[:, 1])
+        stats = np.clip(stats, 0, 2)
+        out.append(np.hstack([np.sqrt(counts / np.maximum(1, size)[:, None]), stats, np.sqrt(stats), stats**2, np.ones((len(size), 1))]))
+    return np.rint(np.concatenate(out) * ONE) if out else np.zeros((0, quality_size(dims)))
 
 
 PREFIXES = (4, 5, 6, 7)

@@ -1,12 +1,14 @@
 """Operator 3: a quality classifier from positive and unlabelled documents.
 
-Trusted positives are the training documents labelled good; the unlabelled
-set is a sample of all web text.  The class prior comes from the labelled
-training rows.  A linear model minimises the non-negative unbiased risk
+Trusted positives are training documents labelled good; the unlabelled set is
+every document of the table.  A linear model f minimises the non-negative
+unbiased risk with the squared loss l(z) = (1 - z)^2 / 4,
 
     prior * E_pos[l(f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)])
 
-with the logistic loss, so its sigmoid estimates the chance of label 1.
+whose minimum is 2 P(good) - 1.  Both expectations need only first and second
+moments of the features, so one pass of tasks sums them over all rows, in
+whole numbers, and the driver sees two small matrices at every size.
 """
 
 from __future__ import annotations
@@ -19,20 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import crc_mod
-from rulespan.llm.features import STATS, quality_scores, quality_vectors, share_below, training_rows
+from rulespan.llm.common import crc_mod, free_name
+from rulespan.llm.features import ONE, quality_features, quality_size, training_rows
 
-DIMS = 2048
+DIMS = 16
 POSITIVES = 3000
-UNLABELLED = 6000
 FOLDS = 5
 THRESHOLD = 0.3
+RIDGE = 1e-4
+TOLERANCE = 0.2
 
 
 @dataclass(frozen=True)
 class LinearModel:
+    """f = features @ weights; the last feature is constant."""
+
     weights: np.ndarray
-    bias: float
     prior: float
 
 
@@ -40,85 +44,92 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> LinearModel:
-    """Adam on the whole sample; deterministic.
+def chance(f: np.ndarray, edge: float = 0.02) -> np.ndarray:
+    """The chance (1 + f) / 2 of label 1, bent to stay within 0 and 1 beyond ``edge``."""
+    p = (1 + f) / 2
+    low, high = np.minimum(p, edge), np.maximum(p, 1 - edge)
+    return np.where(p < edge, edge * np.exp(np.maximum(low / edge - 1, -50)), np.where(p > 1 - edge, 1 - edge * np.exp(np.maximum((1 - high) / edge - 1, -50)), p))
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, trusted: int, ridge: float = RIDGE, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Weights of least risk from the mean outer products of the features.
 
-    While the negative part of the risk is below zero its gradient is turned
-    round, which is the correction that keeps the estimate from over-fitting.
+    With the squared loss the unbiased risk is a quadratic form with one
+    minimum.  A negative estimate of the risk on negatives, beyond an
+    allowance for the draw of ``trusted`` rows, means the weights fit the
+    sample and not the classes; the ridge, in units of each feature's
+    variance, then grows until the estimate is back.
     """
-    mean, scale = unlabelled.mean(0), unlabelled.std(0)
-    scale = np.where(scale > 1e-9, scale, np.inf)
-    p, u = (np.clip((x - mean) / scale, -8, 8).astype(np.float32) for x in (positive, unlabelled))
-    w, b = np.zeros(p.shape[1] + 1), np.log(prior / (1 - prior))
-    w[-1] = b
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    softplus = lambda x: np.logaddexp(0, x)
-    for t in range(1, steps + 1):
-        fp, fu = p @ w[:-1].astype(np.float32) + w[-1], u @ w[:-1].astype(np.float32) + w[-1]
-        negative = softplus(fu).mean() - prior * softplus(fp).mean()
-        gp, gu = -prior * sigmoid(-fp) / len(fp), np.zeros(len(fu))
-        if negative >= 0:
-            gp, gu = gp - prior * sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
-        else:
-            gp, gu = prior * sigmoid(fp) / len(fp), -sigmoid(fu) / len(fu)
-        g = np.append(p.T @ gp.astype(np.float32) + u.T @ gu.astype(np.float32) + ridge * w[:-1], gp.sum() + gu.sum())
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w -= rate / (1 + t / 100) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    raw = w[:-1] / scale
-    return LinearModel(raw, float(w[-1] - mean @ raw), prior)
-
-
-def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> LinearModel:
-    """Fit on at most about ``positives`` trusted and ``unlabelled`` other rows.
+    least = -tolerance * len(positive) / trusted
+    p, u = positive[-1], unlabelled[-1]
+    spread = np.maximum(np.diag(unlabelled) - u * u, 1e-12)
+    spread[-1] = 0
+    while True:
+        # prior E_p[l(f) - l(-f)] = -prior w.p, and E_u[l(-f)] = (1 + 2 w.u + w'Uw) / 4
+        w = np.linalg.solve(unlabelled / 2 + np.diag(2 * ridge * spread + 1e-12), prior * p - u / 2)
+        negative = (1 + 2 * w @ u + w @ unlabelled @ w) / 4 - prior * (1 + 2 * w @ p + w @ positive @ w) / 4
+        if negative >= least or ridge > 1e3:
+            return w
+        ridge *= 2
+
+
+def moments(rows: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Summed outer products of the features of the rows of ``rows`` (text, p)
+    that are positive, and of all rows."""
+    size = quality_size(dims)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size, size), np.int64)
+        for batch in batches:
+            x = quality_features(batch.column("text"), dims)
+            p = x[batch.column("p").to_numpy(zero_copy_only=False)]
+            total += np.stack([p.T @ p, x.T @ x]).astype(np.int64)  # whole numbers below 2**53: exact
+        cell = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[0].ravel()[cell]), pa.array(total[1].ravel()[cell])], names=["cell", "p", "u"])
+
+    found = rows.mapInArrow(sums, "cell int, p long, u long").groupBy("cell").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    out = np.zeros((2, size * size))
+    for i, c in enumerate(("p", "u")):
+        out[i, found.column("cell").to_numpy()] = found.column(c).to_numpy()
+    return out[0].reshape(size, size), out[1].reshape(size, size)
+
+
+def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, positives: int = POSITIVES) -> LinearModel:
+    """Fit on all rows as unlabelled and about ``positives`` trusted ids.
 
     Labels are read for training only, and never those of the held-out fold.
-    Without a trusted positive the model is constant at the prior.
+    The prior is the share of good ones among the labelled training rows,
+    which takes these for a random draw of the table.  Without a trusted
+    positive the model is constant at the prior.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     fold = crc_mod(F.col("doc_id"), FOLDS) != 0
     known = labels.filter(fold).filter("quality is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("quality") == 1).cast("int")), F.lit(0)).alias("good")).first()
     prior = min(0.98, max(0.02, (known["good"] + 1) / (known["n"] + 2)))
     trusted = training_rows(docs, labels.filter("quality = 1"), "quality", fold, positives, 11)
-    ids, drawn = F.col("doc_id"), share_below(F.col("doc_id"), unlabelled, docs.count(), 12)
-    pool = docs.select(ids, "text").join(F.broadcast(trusted), "doc_id", "left")
-    pool = pool.filter(F.col("y").isNotNull() | drawn)
-    pool = pool.select("text", F.col("y").isNotNull().alias("p"), F.coalesce(drawn, F.lit(False)).alias("u"))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = quality_vectors(batch.column("text"), dims).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("u"), pa.array([r.tobytes() for r in x], pa.binary())], names=["p", "u", "x"])
-
-    sample = pool.mapInArrow(vectors, "p boolean, u boolean, x binary").toArrow()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float16).reshape(sample.num_rows, dims + len(STATS)).astype(np.float32)
-    p, u = (np.array(sample.column(c).to_pylist(), bool) for c in ("p", "u"))
-    if not p.any() or not u.any():
-        return LinearModel(np.zeros(x.shape[1]), float(np.log(prior / (1 - prior))), prior)
-    order = np.lexsort(x[:, :16].T)  # rows arrive in any order; sums should not depend on it
-    x, p, u = x[order], p[order], u[order]
-    return fit_nnpu(x[p], x[u], prior)
-
-
-def _scorer(model: LinearModel, dims: int):
-    """Scores of the ``text`` column of a batch."""
-    weights, bias = model.weights, model.bias
-    return lambda batch: sigmoid(quality_scores(batch.column("text"), weights, bias, dims))
+    rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left").select("text", F.col("y").isNotNull().alias("p"))
+    positive, unlabelled = moments(rows, dims)
+    if not positive[-1, -1]:
+        weights = np.zeros(len(positive))
+        weights[-1] = (2 * prior - 1) / ONE
+        return LinearModel(weights, prior)
+    return LinearModel(fit_nnpu(positive / positive[-1, -1], unlabelled / unlabelled[-1, -1], prior, int(positive[-1, -1] / ONE**2)) / ONE, prior)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, dims: int = DIMS) -> DataFrame:
-    """Score every whole text of ``docs`` (doc_id, text); one narrow pass, no shuffle.
+    """Score every whole text of ``docs`` (doc_id, text) in one narrow pass.
 
-    Returns doc_id, held_out, score, predicted.  Null and empty texts score by
-    the bias alone; repeated rows are scored alike; a null id counts as the
-    empty text when folds are told apart; an empty table gives an empty
-    result; other columns are not read.
+    Returns doc_id, held_out, score, predicted.  Null and empty texts score as
+    texts without any feature; repeated rows are scored alike; a null id
+    counts as the empty text when folds are told apart; an empty table gives
+    an empty result; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scores = _scorer(train(docs, labels, dims), dims)
+    weights = train(docs, labels, dims).weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = scores(batch)
+            s = chance(quality_features(batch.column("text"), dims) @ weights)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     folds = docs.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
@@ -126,11 +137,15 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = TH
 
 
 def quality_rejects(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, dims: int = DIMS) -> DataFrame:
-    """``docs`` without the rows that the classifier scores below ``threshold``."""
-    scores = _scorer(train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, dims), dims)
+    """``docs`` without the rows that the classifier scores below ``threshold``.
+    Columns of any name pass through."""
+    text = F.col("text").cast("string")
+    weights = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), labels, dims).weights
+    names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(batch) >= threshold))
+            s = chance(quality_features(batch.column(len(names)), dims) @ weights)
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.withColumn(free_name(docs), text).mapInArrow(keep, docs.schema)
