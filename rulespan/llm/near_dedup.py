@@ -9,7 +9,7 @@
    texts whose labelled k-mers have Jaccard similarity J meet in some entry
    with about 1 - (1 - J ** picks) ** entries (:func:`recall`).
 3. Texts that agree in an entry form a bucket.  Each member is first a
-   candidate of the bucket's smallest and largest id: two pairs a member.
+   candidate of the bucket's smallest id: one pair a member.
 4. Candidates that lengths and word counts (hashed ones first, then the words
    themselves) cannot rule out are verified by banded alignment of their word
    sequences: a link needs 1 - distance / longer length >= ``similarity``.
@@ -236,30 +236,25 @@ def _one_band(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray, w: in
     return back
 
 
-def _words(text: pa.Array) -> list[np.ndarray]:
-    """Word hashes of each document."""
-    out: list[np.ndarray] = []
-    for _, _, slab in normalised(text):
-        h = (slab.hash >> U64(32)).astype(np.uint32)
-        out += [h[i:j] for i, j in zip(slab.first[:-1], slab.first[1:])]
-    return out
+def word_codes(slab: Slab) -> pa.Array:
+    """The words of each document, 32 bits of their hash each."""
+    codes = (slab.hash >> U64(32)).astype("<u4")
+    return pa.Array.from_buffers(pa.binary(), len(slab.counts), [None, pa.py_buffer((4 * slab.first).astype(np.int32)), pa.py_buffer(codes)])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts in ``docs`` (id, text) align well
-    enough.  Joins on ids only; a hot id is one row on its side, so Spark can
-    split the other side.  The joins are sort-merge joins at every size, as
+def verify(pairs: DataFrame, traits: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose words in ``traits`` (doc_id, words) align
+    well enough.  Joins on ids only; a hot id is one row on its side, so Spark
+    can split the other side.  The joins are sort-merge joins at every size, as
     neither ids nor texts have a bound."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(ids.hint("merge"), "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(traits.select(F.col("doc_id").alias(end), F.col("words").alias(f"w{end}")).hint("merge"), end)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for s in range(0, big.num_rows, 128):
                 batch = big.slice(s, 128)
-                a, b = _words(batch.column("ta")), _words(batch.column("tb"))
+                a, b = ([np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()] for c in ("wa", "wb"))
                 longer = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
                 limits = edit_limit(longer, longer, similarity)
                 close = word_gaps(a, b) <= limits
@@ -268,7 +263,7 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
                 ok = pa.array(close)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(align, "a long, b long").distinct()
+    return pairs.select("a", "b", "wa", "wb").mapInArrow(align, "a long, b long").distinct()
 
 
 def plausible(pairs: DataFrame, traits: DataFrame, similarity: float) -> DataFrame:
@@ -398,9 +393,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
                 keys = copy_keys(slab, batch.column("text").slice(at, to - at))
                 entry = order_sketch(slab, k, entries, picks).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, entry.size + 1, entries, dtype=np.int32), pa.array(entry.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(slab.counts.astype(np.int32)), lists, word_bags(slab, BAG), word_bags(slab, FINE_BAG)], names=["doc_id", "k1", "k2", "n", "entries", "bag", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(slab.counts.astype(np.int32)), lists, word_bags(slab, BAG), word_bags(slab, FINE_BAG), word_codes(slab)], names=["doc_id", "k1", "k2", "n", "entries", "bag", "fine", "words"])
 
-    rows = stage(docs.mapInArrow(sketch, "doc_id long, k1 long, k2 long, n int, entries array<long>, bag binary, fine binary"), "sketches")
+    rows = stage(docs.mapInArrow(sketch, "doc_id long, k1 long, k2 long, n int, entries array<long>, bag binary, fine binary, words binary"), "sketches")
     copies = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     # an id that carries several texts joins the classes of them all
     shared = rows.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"]).filter("doc_id != rep")
@@ -408,19 +403,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     twins = shared.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     distinct = rows.filter(f"n >= {k}").join(copies, ["k1", "k2"]).filter("doc_id = rep")
-    traits = distinct.select("doc_id", "n", "bag", "fine")
+    traits = distinct.select("doc_id", "n", "bag", "fine", "words")
     buckets = distinct.select("doc_id", F.posexplode("entries").alias("e", "h")).filter("h != 0")
-    ends = buckets.groupBy("e", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi")
+    ends = buckets.groupBy("e", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi").select("e", "h", "lo")
     members = stage(buckets.join(ends, ["e", "h"]), "members")
     traits = stage(traits.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "traits")
 
     def ordered(hubs: DataFrame) -> DataFrame:
         return hubs.filter("hub != doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
 
-    asked = ordered(members.select("doc_id", F.explode(F.array("lo", "hi")).alias("hub")))
+    asked = ordered(members.select("doc_id", F.col("lo").alias("hub")))
     pairs = stage(plausible(asked, traits, similarity), "pairs")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    links = stage(verify(pairs, texts, similarity), "links")
+    links = stage(verify(pairs, traits, similarity), "links")
     labels = components(links.union(twins))
     members = members.select("e", "h", "doc_id")
     for turn in range(HUB_ROUNDS + 1):
@@ -434,7 +428,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
         more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        found = stage(verify(more, texts, similarity), "links")
+        found = stage(verify(more, traits, similarity), "links")
         pairs = pairs.union(more)
         if not found.isEmpty():
             links, labels = links.union(found), components(found, labels)
