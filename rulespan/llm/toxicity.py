@@ -3,7 +3,9 @@
 P(grade > k) = sigmoid(w.x - theta_k): one weight vector over sparse word
 features serves all ordered thresholds.  Where the labels know only two
 grades, the toxic training documents are graded 1, 2, 3 by thirds of the
-density of words that mark toxic ones, so the model still learns an order.
+density of words that mark toxic ones.  These grades order documents by the
+evidence in them, not by a judge's severity; P(grade > 0) rests on the labels
+alone.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import crc_mod
+from rulespan.llm.common import crc_mod, stage
 from rulespan.llm.features import training_rows, word_buckets
 from rulespan.llm.quality_pu import sigmoid
 
@@ -81,64 +83,93 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.
     return w[:n], w[n] + np.concatenate([[0.0], np.cumsum(np.logaddexp(0, w[n + 1 :]))])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, dims: int = DIMS, grades: int = GRADES, features: int = FEATURES) -> OrdinalModel:
-    """Pick the buckets that tell toxic rows best, then fit the ordinal model.
+def evidence_odds(hits: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the log odds that it speaks for a toxic document, and
+    that over its standard error; ``hits`` (clean, toxic) x buckets counts the
+    documents that have it, ``documents`` both kinds."""
+    rate = (hits + 0.5) / (documents[:, None] + 1)
+    odds = np.log(rate[1] / (1 - rate[1])) - np.log(rate[0] / (1 - rate[0]))
+    return odds, odds / np.sqrt((1 / (hits + 0.5)).sum(0))
+
+
+def bucket_counts(sample: DataFrame, dims: int, least: int = MIN_DOCUMENTS) -> np.ndarray:
+    """Clean and toxic documents of ``sample`` (text, y) that have each bucket,
+    where ``least`` have it: at most two numbers a bucket come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, dims), np.int64)
+        for batch in batches:
+            side, at = batch.column("y").to_numpy() > 0, 0
+            for n, owner, bucket in word_buckets(batch.column("text"), dims):
+                mine = side[at : at + n][owner]
+                total += np.stack([np.bincount(bucket[mine == s], minlength=dims) for s in (False, True)])
+                at += n
+        some = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0, some]), pa.array(total[1, some])], names=["bucket", "clean", "toxic"])
+
+    sums = sample.mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = sums.filter(F.col("clean") + F.col("toxic") >= least).toArrow()
+    out = np.zeros((2, dims))
+    for i, c in enumerate(("clean", "toxic")):
+        out[i, found.column("bucket").to_numpy()] = found.column(c).to_numpy()
+    return out
+
+
+def picked_features(sample: DataFrame, picked: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, distinct buckets, y) of the rows of ``sample``, sorted; a row
+    brings one bit for each picked bucket to the driver."""
+    column = np.full(dims, -1)
+    column[picked] = np.arange(len(picked))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, sizes = [], []
+            for n, owner, bucket in word_buckets(batch.column("text"), dims):
+                x, at = np.zeros((n, len(picked)), bool), column[bucket]
+                x[owner[at >= 0], at[at >= 0]] = True
+                bits += [row.tobytes() for row in np.packbits(x, axis=1)]
+                sizes.append(np.bincount(owner, minlength=n))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)), pa.array(bits, pa.binary())], names=["y", "size", "x"])
+
+    found = sample.mapInArrow(look, "y int, size long, x binary").toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("y", "x", "size"))))  # in a fixed order
+    packed = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), (len(picked) + 7) // 8)
+    x = np.unpackbits(packed, axis=1)[:, : len(picked)].astype(np.float32)
+    return x, np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
+
 
-    ``rows`` has the distinct buckets of each document.
+def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, rows: int = ROWS, grades: int = GRADES, features: int = FEATURES) -> OrdinalModel:
+    """Fit on about ``rows`` labelled ids outside the held-out fold.
+
+    Of several texts of one id the first in order counts, so ids that repeat
+    add no row.  The sample is written once, buckets are counted by tasks, and
+    the driver gets the bits of the ``features`` buckets that tell best.
     """
-    toxic = y > 0
-    if not toxic.any() or toxic.all():
-        base = (toxic.sum() + 1) / (len(y) + 2)
+    fold = crc_mod(F.col("doc_id"), FOLDS) != 0
+    known = training_rows(docs, labels, "toxic", fold, rows, 21)
+    pool = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    sample = stage(pool.groupBy("doc_id").agg(F.min("text").alias("text"), F.greatest(F.lit(0), F.min("y")).alias("y")).select("text", "y"), "sample")
+    kinds = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    documents = np.array([kinds.get(False, 0), kinds.get(True, 0)])
+    if not documents.all():
+        base = (documents[1] + 1) / (documents.sum() + 10)
         return OrdinalModel(np.zeros(dims, np.float32), np.array([np.log((1 - base) / base)]))
-    hits = np.zeros((2, dims))
-    for side in (0, 1):
-        chosen = [r for r, t in zip(rows, toxic) if t == side]
-        hits[side] = np.bincount(np.concatenate(chosen), minlength=dims) if chosen else 0
-    n = np.array([[(~toxic).sum()], [toxic.sum()]])
-    rate = (hits + 0.5) / (n + 1)
-    odds = np.log(rate[1] / (1 - rate[1])) - np.log(rate[0] / (1 - rate[0]))
-    spread = np.sqrt((1 / (hits + 0.5)).sum(0))
-    worth = np.where(hits.sum(0) >= MIN_DOCUMENTS, np.abs(odds) / spread, 0)
+    hits = bucket_counts(sample, dims)
+    odds, z = evidence_odds(hits, documents)
+    worth = np.where(hits.sum(0) >= MIN_DOCUMENTS, np.abs(z), 0)
     picked = np.argsort(-worth, kind="stable")[: min(features, int((worth > 0).sum()))]
-    column = np.full(dims, -1)
-    column[picked] = np.arange(len(picked))
-    x = np.zeros((len(rows), len(picked)), np.float32)
-    for i, r in enumerate(rows):
-        c = column[r]
-        x[i, c[c >= 0]] = 1
+    x, size, y = picked_features(sample, picked, dims)
     if y.max() == 1 and grades > 2:
         strong = np.where((odds[picked] > 0) & (worth[picked] > 4), odds[picked], 0)
-        evidence = x @ strong / np.log1p([len(r) for r in rows])
-        y = grade_two_levels(toxic, evidence, grades)
+        y = grade_two_levels(y > 0, x @ strong / np.maximum(np.log1p(size), 1e-9), grades)
+    else:
+        y = np.unique(y, return_inverse=True)[1]
     w, cuts = fit_ordinal(x, y)
     weights = np.zeros(dims, np.float32)
     weights[picked] = w
     return OrdinalModel(weights, cuts)
 
 
-def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, rows: int = ROWS, grades: int = GRADES) -> OrdinalModel:
-    """Fit on about ``rows`` labelled documents outside the held-out fold."""
-    fold = crc_mod(F.col("doc_id"), FOLDS) != 0
-    known = training_rows(docs, labels, "toxic", fold, rows, 21)
-    pool = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for n, owner, bucket in word_buckets(batch.column("text"), dims):
-                edges = np.searchsorted(owner, np.arange(n + 1))
-                found += [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], names=["y", "x"])
-
-    sample = pool.mapInArrow(vectors, "y int, x binary").toArrow()
-    packed = sorted(zip(sample.column("y").to_pylist(), sample.column("x").to_pylist()))
-    if not packed:
-        return OrdinalModel(np.zeros(dims, np.float32), np.array([np.log(9.0)]))
-    y = np.clip(np.array([k for k, _ in packed]), 0, None)
-    y = np.unique(y, return_inverse=True)[1] if y.max() > 1 else y
-    return fit([np.frombuffer(x, np.int32) for _, x in packed], y, dims, grades)
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, dims: int = DIMS) -> DataFrame:
     """Grade every whole text of ``docs`` (doc_id, text); one narrow pass, no shuffle.
 
