@@ -3,8 +3,10 @@
 Features are hashed character n-grams (orders 1 to 3).  Counting is a Spark
 job over the whole training fold: every task sums its own counts per language
 and bucket, so the shuffle carries at most languages x buckets rows a task.
-The log-probability matrix (languages x buckets) goes to the tasks, which
-score slabs of documents with sparse gathers in numpy.
+The log-probability matrix (buckets x languages) is broadcast, and tasks score
+slabs of documents by summing its rows at their n-grams, all languages at
+once.  Its size is checked: a ``lang`` column with more than ``MOST_LANGUAGES``
+values is no language column, and training says so instead of dropping some.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ DIMS = 1 << 14
 ORDERS = (1, 2, 3)
 FOLDS, HELD = 4, 2
 ALPHA = 0.5
+MOST_LANGUAGES = 1000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,10 @@ class BayesModel:
 
 def train(docs: DataFrame, dims: int = DIMS, alpha: float = ALPHA) -> BayesModel:
     """Count n-grams of all training rows (known lang, outside the held-out fold)."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD)).select("lang", "text")
+    learned = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD)
+    if (many := docs.filter(learned).select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{many} values of lang; a matrix of {MOST_LANGUAGES} languages at most is broadcast")
+    known = docs.filter(learned).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -127,27 +133,28 @@ def language_id(docs: DataFrame, dims: int = DIMS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(docs, dims)
     names = np.array([*model.languages, "und"], object)
-    limit = max(1 << 16, SLAB_BYTES * 8 // max(8, len(model.languages)))
+    limit = max(1 << 12, SLAB_BYTES // max(1, len(model.languages)))
+    sent = docs.sparkSession.sparkContext.broadcast((model.prior, model.table))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prior, table = sent.value
         for batch in batches:
             which, score = [], []
             for at, to, data, offsets in slabs(batch.column("text"), limit):
                 points, starts, letters = code_points(data, offsets)
-                log = np.tile(model.prior, (to - at, 1))
-                if not len(model.languages):
+                if len(names) == 1:
                     which.append(np.zeros(to - at, int))
                     score.append(np.zeros(to - at))
                     continue
+                log = np.tile(prior, (to - at, 1))
                 for bucket, edges in grams(points, starts, dims):
-                    for j in range(len(model.languages)):
-                        total = np.zeros(len(bucket) + 1)
-                        np.cumsum(model.table[bucket, j], out=total[1:], dtype=np.float64)
-                        log[:, j] += total[edges[1:]] - total[edges[:-1]]
+                    some = np.flatnonzero(np.diff(edges))
+                    if len(some):
+                        log[some] += np.add.reduceat(table[bucket], edges[:-1][some], axis=0, dtype=np.float64)
                 best = log.argmax(1)
                 with np.errstate(under="ignore"):
                     posterior = 1 / np.exp(log - log.max(1, keepdims=True)).sum(1)
-                which.append(np.where(letters, best, len(model.languages)))
+                which.append(np.where(letters, best, len(names) - 1))
                 score.append(np.where(letters, posterior, 0.0))
             label = names[np.concatenate(which)] if which else names[:0]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(label, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["doc_id", "held_out", "lang_pred", "score"])
