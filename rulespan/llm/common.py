@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SLAB_BYTES = 1 << 19
 BATCH_ROWS = 1000
@@ -67,12 +68,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def free_name(table: DataFrame, stem: str = "marks") -> str:
-    """A column name that ``table`` does not have, whatever its case."""
-    taken = {c.lower() for c in table.columns}
-    while stem in taken:
-        stem += "_"
-    return stem
+def plain_names(table: DataFrame) -> tuple[list[str], StructType]:
+    """Names for the columns of ``table`` that hold no dot, and their schema:
+    Python tasks look their columns up by name."""
+    names = [f"c{i}" for i in range(len(table.columns))]
+    return names, StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, table.schema.fields)])
+
+
+def packed(table: DataFrame) -> Column:
+    """All columns of ``table`` as one, ``row``, so that none meets a helper's."""
+    return F.struct(*(F.col(f"`{c}`") for c in table.columns)).alias("row")
+
+
+def unpacked(table: DataFrame) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in table.columns]
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:
@@ -273,18 +282,20 @@ def per_document(first: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(at, first))
 
 
-def numbered(rows: DataFrame, by: list[str], order: Column, salts: int = 1024) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: Column, weight: str | None = None, salts: int = 1024) -> DataFrame:
     """Number the rows of each group ``by`` from 0 in a fixed, seeded order.
 
-    Adds ``rank``.  A group is cut into ``salts`` parts by the 64-bit hash
-    ``order``; the parts' sizes are counted first, so a part starts its
+    Adds ``rank``; a row with a ``weight`` stands for that many, of which
+    ``rank`` is the first.  A group is cut into ``salts`` parts by the 64-bit
+    hash ``order``; the parts' sizes are counted first, so a part starts its
     numbers where the one before ended and no task sorts a whole group.
     Rows with equal hashes are interchangeable.
     """
+    many = F.col(weight) if weight else F.lit(1).cast("long")
     rows = rows.withColumn("_order", order).withColumn("_part", F.pmod("_order", F.lit(salts)))
     keys = [*by, "_part"]
-    parts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    parts = rows.groupBy(*keys).agg(F.sum(many).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(parts.select(*keys, before.alias("_before")), keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
-    return rows.withColumn("rank", F.col("_before") + place - 1).drop("_order", "_part", "_before")
+    place = F.sum(many).over(Window.partitionBy(*keys).orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)) - many
+    return rows.withColumn("rank", F.col("_before") + place).drop("_order", "_part", "_before")

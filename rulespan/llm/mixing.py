@@ -14,21 +14,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import WORD_PATTERN, numbered, stage
+from rulespan.llm.common import WORD_PATTERN, numbered, packed, stage, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 SLACK = 1 << 16
+RUN = 100_000
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their sum comes as
     close to ``budget`` from below as the search can bring it.
 
-    Most of the budget is spread evenly over the lengths, long ones fill it up
-    to ``SLACK`` words, and a bounded knapsack over the rest picks the largest
-    sum that fits.
+    Most of the budget is spread evenly over the lengths and long ones fill it
+    up to ``SLACK`` words, which bounds the table of the bounded knapsack that
+    then picks, of all documents left, the largest sum that fits.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -90,21 +91,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return levels.select("source", "source_size", F.least("cap", F.coalesce(F.col("water"), F.col("level")) * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, source): doc_id, source,
-    size, source_size, target, taken, times, and ``key``, which is equal for
-    rows equal in id and text.
-
-    ``times`` is how often the mix takes the row (0, 1 or 2), ``taken`` the
-    words that makes.  A null text has size 0, a null source is a source of
-    its own; equal rows are told apart by number only; empty documents are
-    taken once in sources taken whole; an empty table gives an empty result.
-    """
+def mix_groups(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17) -> DataFrame:
+    """One row for all rows of ``docs`` (doc_id, text, source) that are equal in
+    these three: doc_id, source, size, key (a hash of id and text), m (how many
+    they are), more (how many of them the mix takes once more than the
+    others), whole (how often it takes the others), source_size, target."""
     size = F.size(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_PATTERN), F.lit(0))).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("key"))
+    rows = rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("m"))
     # the null source gets a key that no other source can have
     rows = stage(rows.withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "sizes")
-    lengths = stage(rows.groupBy("of", "source", "size").agg(F.count("*").alias("n")), "lengths")
+    lengths = stage(rows.groupBy("of", "source", "size").agg(F.sum("m").alias("n")), "lengths")
     goals = stage(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most), "goals")
     goals = goals.withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
     whole = F.when(F.col("target") >= F.col("source_size"), 1).otherwise(0)
@@ -116,20 +113,45 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         return pd.DataFrame({"of": part["of"], "size": part["size"], "take": take})
 
     picks = lengths.join(goals, "of").select("of", "size", "n", "budget").groupBy("of").applyInPandas(fit, "of string, size long, take long")
-    placed = numbered(rows, ["of", "size"], F.xxhash64(F.lit(seed + 1), "key"))
+    placed = numbered(rows, ["of", "size"], F.xxhash64(F.lit(seed + 1), "key"), "m")
     chosen = placed.join(stage(picks, "picks"), ["of", "size"]).join(goals, "of")
-    times = F.col("whole") + F.when(F.col("rank") < F.col("take"), 1).otherwise(0)
-    return chosen.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"), "key")
+    more = F.greatest(F.lit(0), F.least("m", F.col("take") - F.col("rank"))).cast("long")
+    return chosen.select("doc_id", "source", "size", "key", "m", more.alias("more"), "whole", "source_size", "target")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text, source): doc_id, source,
+    size, source_size, target, taken, times.
+
+    ``times`` is how often the mix takes the row (0, 1 or 2), ``taken`` the
+    words that makes.  A null text has size 0, a null source is a source of
+    its own; equal rows are counted together and told apart by number only;
+    empty documents are taken once in sources taken whole; an empty table
+    gives an empty result.
+    """
+    groups = mix_groups(docs, weights, share, most, seed).withColumn("first", F.lit(0).cast("long")).withColumn("last", F.col("m") - 1)
+    # a row that stands for very many is dealt out in runs before it is spread
+    few = groups.filter(F.col("m") <= RUN)
+    runs = groups.filter(F.col("m") > RUN).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(RUN).cast("long"))))
+    runs = runs.withColumn("last", F.least("last", F.col("first") + RUN - 1)).repartition(F.col("key"), F.col("first"))
+    each = few.unionByName(runs).withColumn("number", F.explode(F.sequence("first", "last")))
+    times = F.col("whole") + F.when(F.col("number") < F.col("more"), 1).otherwise(0)
+    return each.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"))
 
 
 def apply_mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """``docs`` as mixed: rows that the mix takes twice come twice, those it leaves go.
 
-    Equal rows share a key, so their draws are added up and dealt to them anew.
+    Rows equal in id, text and source fare alike but for the one group of a
+    length in which the number to take runs out; only its rows are numbered.
+    Columns of any name pass through.
     """
-    marks = mix_sources(docs, seed=seed, **options).filter("times > 0").groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list("times"), asc=False).alias("_draws"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text"))
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    taken = keyed.join(marks, "_key").withColumn("_place", place)
-    times = F.coalesce(F.get("_draws", F.col("_place") - 1), F.lit(0))
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_again")).drop("_again")
+    groups = mix_groups(docs, seed=seed, **options).filter("whole > 0 or more > 0").select("key", F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), "m", "more", "whole")
+    own_key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text"))
+    held = docs.select(own_key.alias("key"), packed(docs))
+    same = F.col("row").getField("doc_id").cast("long").eqNullSafe(F.col("of_id")) & F.col("row").getField("source").cast("string").eqNullSafe(F.col("of_source"))
+    taken = held.join(groups, "key").filter(same).drop("of_id", "of_source")
+    alike = taken.filter("more = 0 or more = m").select("row", (F.col("whole") + F.when(F.col("more") > 0, 1).otherwise(0)).alias("times"))
+    split = stage(taken.filter("more > 0 and more < m").withColumn("uid", F.monotonically_increasing_id()), "split")
+    split = numbered(split, ["key"], F.xxhash64("uid")).select("row", (F.col("whole") + F.when(F.col("rank") < F.col("more"), 1).otherwise(0)).alias("times"))
+    return alike.union(split).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select(*unpacked(docs))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import crc_mod, free_name
+from rulespan.llm.common import crc_mod, plain_names
 from rulespan.llm.features import ONE, quality_features, quality_size, training_rows
 
 DIMS = 16
@@ -141,11 +141,12 @@ def quality_rejects(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     Columns of any name pass through."""
     text = F.col("text").cast("string")
     weights = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), labels, dims).weights
-    names = docs.columns
+    names, schema = plain_names(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = chance(quality_features(batch.column(len(names)), dims) @ weights)
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(s >= threshold))
 
-    return docs.withColumn(free_name(docs), text).mapInArrow(keep, docs.schema)
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), text).toDF(*names, "text")
+    return rows.mapInArrow(keep, schema).toDF(*docs.columns)

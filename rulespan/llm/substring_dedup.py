@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import U64, WORD_POWERS, WORD_POWERS_2, RangeHash, Slab, free_name, mix, small_batches, stage, windows, word_slabs
+from rulespan.llm.common import U64, WORD_POWERS, WORD_POWERS_2, RangeHash, Slab, mix, packed, plain_names, small_batches, stage, unpacked, windows, word_slabs
 
 LENGTH = 35
 SEED = 8
@@ -188,11 +188,10 @@ def strip_documents(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     """``docs`` with the text and n_chars that stay; documents that lose their
     last word go.  A text that loses nothing is left as it was.  Columns of
     any name pass through."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    held = docs.select(*row_keys(F.col("doc_id"), F.col("text")), whole)
-    spans = repeated_spans(held.select("did", "tid", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")), length, seed)
-    joined = held.join(spans, ["did", "tid"], "left").select("row.*", F.col("spans").alias(free_name(docs)))
-    names = docs.columns
+    held = docs.select(*row_keys(F.col("doc_id"), F.col("text")), packed(docs))
+    spans = repeated_spans(held.select("did", "tid", F.coalesce(F.col("row").getField("text").cast("string"), F.lit("")).alias("text")), length, seed)
+    joined = held.join(spans, ["did", "tid"], "left").select(*unpacked(docs), "spans")
+    names, (plain, schema) = docs.columns, plain_names(docs)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,10 +204,10 @@ def strip_documents(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
                     texts[i] = b" ".join(words).decode()
                 stay.append(not found or bool(texts[i]))
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=plain).filter(pa.array(stay, pa.bool_()))
 
-    out = joined.mapInArrow(strip, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    out = joined.toDF(*plain, "spans").mapInArrow(strip, schema).toDF(*names)
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names))
 
 
 def _merge(lo: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import no_docs, odd_docs, odd_rows, prose
 
 from rulespan.llm.language_id import language_id
@@ -58,6 +59,14 @@ def test_row_stages_keep_the_columns(spark):
         assert out.columns == docs.columns
 
 
+def test_row_stages_take_columns_of_any_name(spark):
+    names = ("_key", "_draws", "_place", "_again", "_did", "_tid", "_spans", "marks", "row", "times", "did", "tid", "spans", "a.b", "_part", "_order", "class_id", "keep")
+    docs = odd_docs(spark).select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    for out in (dedup(docs), strip_documents(docs), apply_mix(docs), quality_rejects(docs, labels(spark))):
+        assert out.columns == docs.columns
+        assert all(r[n] == f"own {n}" for r in out.select(*(F.col(f"`{n}`") for n in names)).collect() for n in names)
+
+
 def test_null_and_wordless_texts(spark):
     docs = odd_docs(spark)
     rules = {r["doc_id"]: r for r in quality_rules(docs).collect()}
