@@ -14,12 +14,17 @@ from rulespan.llm.quality_rules import _IS_BLANK, _IS_SYMBOL, repeated_words, st
 STATS = ("log_words", "word_length", "symbols", "marks", "capitals", "digits", "repeats", "line_length", "stutter")
 
 
-def trigrams(data: np.ndarray, dims: int) -> np.ndarray:
-    """The bucket of the byte trigram that starts at each byte (edges wrap to zero)."""
-    wide = data.astype(np.uint32)
-    code = wide.copy()
-    code[:-1] |= wide[1:] << np.uint32(8)
-    code[:-2] |= wide[2:] << np.uint32(16)
+def trigrams(data: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
+    """The bucket of the byte trigram that starts at each byte; none reaches
+    beyond its document, zeros stand in there."""
+    code = data.astype(np.uint32)
+    ends = offsets[1:][np.diff(offsets) > 0]
+    for step in (1, 2):
+        later = np.zeros(len(data), np.uint32)
+        later[:-step] = data[step:]
+        for back in range(1, step + 1):
+            later[np.maximum(ends - back, 0)] = 0
+        code |= later << np.uint32(8 * step)
     code *= np.uint32(0x9E3779B1)
     return (code >> np.uint32(32 - int(dims).bit_length() + 1)).astype(np.int64)
 
@@ -67,7 +72,7 @@ def quality_features(text: pa.Array, dims: int) -> np.ndarray:
     for _, _, data, offsets in slabs(text):
         slab, size = split_words(data, offsets), np.diff(offsets)
         owner = np.repeat(np.arange(len(size)), size)
-        counts = np.bincount(owner * dims + trigrams(data, dims), minlength=len(size) * dims).reshape(len(size), dims)
+        counts = np.bincount(owner * dims + trigrams(data, offsets, dims), minlength=len(size) * dims).reshape(len(size), dims)
         stats = text_stats(slab, offsets) * scale
         stats[:, 1] = np.tanh(stats[:, 1])
         stats = np.clip(stats, 0, 2)
