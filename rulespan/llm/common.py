@@ -137,17 +137,17 @@ class RangeHash:
 class Places:
     """A fixed random factor for each byte position of a word, grown on demand."""
 
-    def __init__(self):
-        self.factors = np.zeros(0, U64)
+    def __init__(self, seed: int):
+        self.seed, self.factors = U64(seed), np.zeros(0, U64)
 
     def __call__(self, n: int) -> np.ndarray:
         if len(self.factors) < n:
             at = np.arange(1, max(n, 2 * len(self.factors), 1 << 12) + 1, dtype=U64)
-            self.factors = mix(mix(at * U64(0xD1342543DE82EF95)) + U64(0xAEF17502108EF2D9))
+            self.factors = mix(mix(at * U64(0xD1342543DE82EF95)) + self.seed)
         return self.factors
 
 
-_PLACES = Places()
+_PLACES, _PLACES_2 = Places(0xAEF17502108EF2D9), Places(0x5A2D63F29B8C1E47)
 _BYTE_POWERS, WORD_POWERS, WORD_POWERS_2 = Powers(BYTE_BASE), Powers(WORD_BASE), Powers(WORD_BASE_2)
 _BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 
@@ -168,8 +168,8 @@ class Slab:
     ``first[i]:first[i + 1]`` are the words of document i; ``start`` and
     ``end`` are byte positions in ``data``; ``hash`` has one value a word.
     Equal hashes of a slab's words are checked by :meth:`equal`, words of
-    different tables meet by ``hash`` and ``hash2`` together, which come from
-    unlike families, or by a digest.
+    different tables meet by ``hash`` and ``hash2`` together, which have
+    factors of their own, or by a digest.
     """
 
     data: np.ndarray
@@ -189,8 +189,8 @@ class Slab:
 
     @property
     def hash2(self) -> np.ndarray:
-        """A second hash of each word: a polynomial in its bytes."""
-        return RangeHash(_BYTE_CODES[self.data], _BYTE_POWERS)(self.start, self.end)
+        """A second hash of each word, with other factors."""
+        return hash_words(self.data, self.start, self.end, _PLACES_2)
 
     def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the words numbered ``a`` and ``b`` have the same bytes."""
@@ -226,7 +226,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, plain: bool = True) -> Sl
     return Slab(data, np.searchsorted(start, offsets), start, end, hash_words(data, start, end))
 
 
-def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, places: Places = _PLACES) -> np.ndarray:
     """A hash for each word: its bytes' codes times a random factor for their
     place, so no pattern within a word makes words collide."""
     if not len(start):
@@ -235,7 +235,7 @@ def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     heads = np.cumsum(size) - size
     place = np.arange(size.sum()) - np.repeat(heads, size)
     codes = _BYTE_CODES[data[np.repeat(start, size) + place]]
-    codes *= _PLACES(int(size.max()))[place]
+    codes *= places(int(size.max()))[place]
     return mix(np.add.reduceat(codes, heads) + size.astype(U64))
 
 

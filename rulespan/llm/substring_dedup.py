@@ -6,10 +6,9 @@ two places with one window agree on its anchor and on where it lies.  The
 windows of one anchor are consecutive; together they span a *stretch*: the
 anchor with an arm of words to either side.
 
-1. Seeds: equal stretches are counted before anything is joined, so a passage
-   that many documents share is one row from then on.  Stretches meet at their
-   anchor's hash; an anchor with a single stretch that occurs once settles all
-   its windows as unique.
+1. Seeds: stretches are joined on their anchor's hash; an anchor that occurs
+   once settles all its windows as unique.  Equal stretches are then counted,
+   so a passage that many documents share is one row from there on.
 2. Extend: a stretch that occurs more than once matches over both of its whole
    arms.  Where an anchor has several stretches, each is extended by itself:
    from the anchor ``o`` words to the left and the rest of ``length`` to the
@@ -17,8 +16,9 @@ anchor with an arm of words to either side.
    equal words is a match that far to either side.
 3. Matches of a document that overlap or adjoin merge to maximal repeats.
 
-Words of different documents are compared by 128 bits: two 64-bit sums over
-word hashes of unlike families.  Windows are judged on the input alone.
+Words of different documents are compared by 128 bits: the anchor's hash and
+the stretch's, or two of a window, each over word hashes with factors of
+their own.  Windows are judged on the input alone.
 Copies of a stretch never meet in pairs; counts are partial before each
 shuffle, and tables are written before they are joined to a count, so that
 Spark can split a hot key's rows.
@@ -63,24 +63,15 @@ def anchors(slab: Slab, length: int, seed: int) -> tuple[np.ndarray, np.ndarray,
     return at, best[at], value[at]
 
 
-class Fingerprint:
-    """128 bits, as two columns, of runs of a slab's words."""
-
-    def __init__(self, slab: Slab):
-        self.one, self.two = RangeHash(slab.hash, WORD_POWERS), RangeHash(slab.hash2, WORD_POWERS_2)
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
-        return [pa.array(f(start, end).astype(np.int64)) for f in (self.one, self.two)]
-
-
 def _emit(batch: pa.RecordBatch, at: int, doc: np.ndarray, names: tuple[str, ...]) -> list[pa.Array]:
     rows = pa.array(doc + at)
     return [batch.column(c).take(rows) for c in names]
 
 
 def stretches(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """All stretches of ``docs`` (did, tid, text): did, tid, seed, h, g (their
-    words' fingerprint), lo (first word) and n (windows)."""
+    """All stretches of ``docs`` (did, tid, text): did, tid, seed (the anchor's
+    hash), h (that of all their words, by the second word hash), lo (first word)
+    and n (windows)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,16 +83,16 @@ def stretches(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
                 n = np.diff(np.append(new, len(window)))
                 first, doc = window[new], owner[new]
-                arrays = [pa.array(value[new].astype(np.int64)), *Fingerprint(slab)(first, first + n - 1 + length), pa.array((first - slab.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*_emit(batch, at, doc, ("did", "tid")), *arrays], names=["did", "tid", "seed", "h", "g", "lo", "n"])
+                arrays = [pa.array(value[new].astype(np.int64)), pa.array(RangeHash(slab.hash2, WORD_POWERS_2)(first, first + n - 1 + length).astype(np.int64)), pa.array((first - slab.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*_emit(batch, at, doc, ("did", "tid")), *arrays], names=["did", "tid", "seed", "h", "lo", "n"])
 
-    return docs.mapInArrow(find, "did long, tid long, seed long, h long, g long, lo int, n int")
+    return docs.mapInArrow(find, "did long, tid long, seed long, h long, lo int, n int")
 
 
 def extended(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """The windows of the stretches ``asked`` (did, tid, lo, n, done) of ``docs``:
-    did, tid, w, v (fingerprint), lo, done.  A text is fetched once however
-    many stretches it has."""
+    did, tid, w and v (by both word hashes), lo, done.  A text is fetched
+    once however many stretches it has."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +107,8 @@ def extended(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 doc = np.repeat(np.repeat(np.arange(to - at), sizes[at:to]), count)
                 start = np.repeat(lo[part], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 first = start + slab.first[doc]
-                arrays = [*Fingerprint(slab)(first, first + length), pa.array(start.astype(np.int32)), pa.array(np.repeat(done[part], count))]
+                hashed = (RangeHash(slab.hash, WORD_POWERS)(first, first + length), RangeHash(slab.hash2, WORD_POWERS_2)(first, first + length))
+                arrays = [*(pa.array(x.astype(np.int64)) for x in hashed), pa.array(start.astype(np.int32)), pa.array(np.repeat(done[part], count))]
                 yield pa.RecordBatch.from_arrays([*_emit(batch, at, doc, ("did", "tid")), *arrays], names=["did", "tid", "w", "v", "lo", "done"])
 
     each = asked.groupBy("did", "tid").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "done"))).alias("asked"))
@@ -129,10 +121,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     spans are [first word, windows] of overlapping runs of repeated windows."""
     small_batches(docs.sparkSession)
     placed = stage(stretches(docs, length, seed), "stretches")
+    seeds = stage(placed.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed"), "seeds")
+    met = stage(placed.join(seeds, "seed"), "met")
     # any of the equal stretches stands for all of them: their words are the same
-    kinds = stage(placed.groupBy("seed", "h", "g").agg(F.count("*").alias("c"), *(F.first(k).alias(k) for k in ("did", "tid", "lo", "n"))), "kinds")
-    repeats = stage(kinds.filter("c > 1").select("seed", "h", "g"), "repeats")
-    whole = placed.join(repeats, ["seed", "h", "g"]).select("did", "tid", "lo", "n")
+    kinds = stage(met.groupBy("seed", "h").agg(F.count("*").alias("c"), *(F.first(k).alias(k) for k in ("did", "tid", "lo", "n"))), "kinds")
+    repeats = stage(kinds.filter("c > 1").select("seed", "h"), "repeats")
+    whole = met.join(repeats, ["seed", "h"]).select("did", "tid", "lo", "n")
 
     mixed = stage(kinds.groupBy("seed").agg(F.count("*").alias("k")).filter("k > 1").select("seed"), "mixed")
     asked = kinds.join(mixed, "seed").select("did", "tid", "lo", "n", (F.col("c") > 1).alias("done"))

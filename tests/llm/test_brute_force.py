@@ -156,7 +156,7 @@ def test_words_are_told_apart_not_only_their_hashes(spark):
 def test_colliding_words_are_compared(monkeypatch):
     from rulespan.llm import common, quality_rules as rules
 
-    monkeypatch.setattr(common, "hash_words", lambda data, start, end: np.ones(len(start), np.uint64))
+    monkeypatch.setattr(common, "hash_words", lambda data, start, end, places=None: np.ones(len(start), np.uint64))
     words = prose(3, 60).split()
     text = " ".join(words + words[:9] + ["x", "x"])
     slab = common.split_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
@@ -319,6 +319,167 @@ def test_archive_round_trip():
         list(records(iter([made[1][:-3]])))
 
 
+def labelled_rows(n, bad_every=7, toxic_every=5):
+    rows, labels = [], []
+    for i in range(n):
+        text = prose(i, 40 + i % 25)
+        if i % bad_every == 0:
+            text = " ".join(w.upper() + "!!" for w in text.split())
+        if i % toxic_every == 0:
+            text = text.replace(" ", " vile ", 2 + i % 3)
+        rows.append((i, text, ("en", "de", None)[i % 3], "a"))
+        labels.append((i, int(i % bad_every > 0), int(i % toxic_every == 0)))
+    return rows, labels
+
+
+def test_quality_scores_minimise_the_risk_over_all_rows(spark):
+    """The model against a risk summed row by row over the whole table."""
+    from rulespan.llm import quality_pu as pu
+    from rulespan.llm.features import ONE, quality_features
+
+    rows, labels = labelled_rows(300)
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = pu.train(docs, known)
+    x = quality_features(pa.array([r[1] for r in rows]), pu.DIMS)
+    learn = np.array([zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows])
+    good = learn & np.array([q == 1 for _, q, _ in labels])
+    assert model.prior == pytest.approx((good.sum() + 1) / (learn.sum() + 2))
+
+    def risk(w):
+        p, u = x[good] @ w, x @ w
+        loss = lambda z: (1 - z) ** 2 / 4
+        return model.prior * (loss(p) - loss(-p)).mean() + loss(-u).mean(), loss(-u).mean() - model.prior * loss(-p).mean()
+
+    value, negative = risk(model.weights)
+    assert negative >= -pu.TOLERANCE * len(model.weights) / good.sum() - 1e-6
+    spread = x.std(0) * ONE
+    r = np.random.default_rng(1)
+    for size in (0.01, 0.1, 1.0):  # what the ridge gives away apart, no weights nearby are better
+        for _ in range(20):
+            other = model.weights + size * r.normal(size=len(model.weights)) / np.maximum(spread, ONE)
+            assert risk(other)[0] > value - 0.02
+    out = {r["doc_id"]: r for r in quality_classifier(docs, known).collect()}
+    for i, row in enumerate(rows):
+        f = float(x[i] @ model.weights)
+        assert out[i]["score"] == pytest.approx(float(pu.chance(np.array([f]))[0]))
+        assert out[i]["predicted"] == int(out[i]["score"] >= 0.3)
+    repeated = docs.union(docs.filter("doc_id = 1")).union(docs.filter("doc_id = 1"))
+    again = {r["doc_id"]: r["predicted"] for r in quality_classifier(repeated, known).collect()}  # ids may repeat
+    assert np.mean([again[i] == out[i]["predicted"] for i in again]) > 0.98
+
+
+def test_chance_is_monotone_within_bounds():
+    from rulespan.llm.quality_pu import chance
+
+    f = np.linspace(-4, 4, 2001)
+    p = chance(f)
+    assert (np.diff(p) >= 0).all() and p.min() >= 0 and p.max() <= 1 and chance(np.array([-0.4]))[0] == pytest.approx(0.3)
+
+
+def test_ordinal_fit_is_the_most_likely_one():
+    """Against the likelihood written out row by row."""
+    from rulespan.llm.toxicity import fit_ordinal
+
+    r = np.random.default_rng(2)
+    x = (r.random((200, 3)) < 0.5).astype(np.float32)
+    y = np.clip(np.floor(x @ [1.5, -1.0, 0.3] + r.logistic(size=200)), 0, 3).astype(int)
+
+    def loss(w, cuts):
+        total = 0.0
+        for row, k in zip(x, y):
+            above = [1.0, *(1 / (1 + np.exp(c - row @ w)) for c in cuts), 0.0]
+            total -= np.log(above[k] - above[k + 1])
+        return total / len(y) + 0.5e-3 * float(w @ w)
+
+    w, cuts = fit_ordinal(x, y)
+    assert list(cuts) == sorted(cuts)
+    for _ in range(60):
+        near, cuts_near = w + 0.1 * r.normal(size=3), np.sort(cuts + 0.1 * r.normal(size=3))
+        assert loss(near, cuts_near) > loss(w, cuts) - 1e-4
+
+
+def test_toxicity_sums_the_weights_of_each_text(spark):
+    from rulespan.llm import toxicity as tox
+    from rulespan.llm.features import word_buckets
+
+    rows, labels = labelled_rows(250)
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = tox.train(docs, known)
+    out = {r["doc_id"]: r for r in toxicity(docs, known).collect()}
+    for i, text, *_ in rows:
+        (n, _, bucket), *_ = word_buckets(pa.array([text]), tox.DIMS)
+        assert n == 1 and len(set(bucket.tolist())) == len(bucket)
+        score = sum(float(model.weights[b]) for b in bucket)
+        above = [1 / (1 + np.exp(c - score)) for c in model.cuts]
+        levels = [a - b for a, b in zip([1.0, *above], [*above, 0.0])]
+        assert out[i]["severity"] == pytest.approx(sum(above)) and out[i]["score"] == pytest.approx(above[0])
+        assert out[i]["grade"] == int(np.argmax(levels)) and out[i]["toxic"] == (above[0] >= 0.5)
+    repeated = docs.union(docs.filter("doc_id < 40")).union(docs.filter("doc_id < 40"))
+    assert np.array_equal(tox.train(repeated, known).weights, model.weights)  # an id counts once
+
+
+def test_languages_equal_a_plain_naive_bayes(spark):
+    from rulespan.llm import language_id as li
+
+    letters = {"en": "etaoin shrdlu", "de": "ßüäö enisratd", "fr": "éèçà esaitn"}
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice(letters[k]) for _ in range(r.randint(5, 60))), k, None) for i in range(240) for k in [r.choice(sorted(letters))]]
+    rows += [(900, "Éé ES", "fr", None), (901, "12 .", "en", None), (902, None, "en", None), (903, "", None, None), (904, "𝔘𝔫𝔦 en", None, None)]
+
+    def buckets(text):
+        points = [ord(c.lower()) if len(c.lower()) == 1 and ord(c) < 65536 else ord(c) for c in text]
+        shift = 64 - li.DIMS.bit_length() + 1
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                code = 0
+                for k in range(n):
+                    code = (code * 0x100000001B3 + points[i + k] + k + 1) % (1 << 64)
+                yield (code * 0x9E3779B97F4A7C15 % (1 << 64)) >> shift
+
+    counts, seen = {k: Counter() for k in letters}, Counter()
+    for i, text, k, _ in rows:
+        if text is not None and k and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[k].update(buckets(text)), seen.update([k])
+    names, total = sorted(counts), {k: sum(c.values()) + li.ALPHA * li.DIMS for k, c in counts.items()}
+    out = {x["doc_id"]: x for x in li.language_id(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    right = []
+    for i, text, k, _ in rows:
+        assert out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in text or ""):
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0.0)
+            continue
+        log = [np.log((seen[n] + 1) / (sum(seen.values()) + len(names))) + sum(np.log((counts[n][b] + li.ALPHA) / total[n]) for b in buckets(text)) for n in names]
+        best = int(np.argmax(log))
+        assert out[i]["lang_pred"] == names[best]
+        assert out[i]["score"] == pytest.approx(1 / sum(np.exp(v - log[best]) for v in log), abs=1e-4)
+        right += [out[i]["lang_pred"] == k] if out[i]["held_out"] else []
+    assert np.mean(right) > 0.9
+
+
+def test_a_column_that_is_no_language_is_refused(spark, monkeypatch):
+    from rulespan.llm import language_id as li
+
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "abc", f"l{i}", None) for i in range(20)], DOCS)
+    with pytest.raises(ValueError, match="values of lang"):
+        li.language_id(docs)
+
+
+def test_equal_rows_share_the_draws_of_their_key(spark):
+    from rulespan.llm.mixing import apply_mix
+
+    rows = [(7, "a b c", None, "x")] * 9 + [(i, prose(i, 3), None, "x") for i in range(20)] + [(50 + i, prose(i, 40), None, "y") for i in range(9)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    marks, mixed = mix_sources(docs).collect(), apply_mix(docs).collect()
+    assert len(marks) == len(rows)
+    want = Counter()
+    for m in marks:
+        want[m["doc_id"]] += m["times"]
+    assert Counter(r["doc_id"] for r in mixed) == +want
+
+
 def test_classifiers_on_held_out_rows(spark):
     rows, labels = [], []
     for i in range(600):
