@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulespan.sources.staging import stage
+
 # Aliases of node types and relations, and prefixes of keys.
 TYPE_ALIASES = {"DOC": "DOCUMENT", "SOP": "DOCUMENT", "PRECONDITION": "PRE_SECTION", "PRESECTION": "PRE_SECTION", "PROCEDURE_STEP": "STEP", "DECISION_ROW": "DECISION", "NOTE": "ANNOTATION", "CODE": "CODE_REF", "REF": "REFERENCE"}
 TYPES = ("DOCUMENT", "META", "PRE_SECTION", "RULE", "STEP", "DECISION", "ANNOTATION", "GROUP_LIMIT", "CODE_REF", "DATE_COND", "REFERENCE")
@@ -71,34 +73,61 @@ def edge_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
     """(start, key, depth, path) of all walks along ``edges`` (source, target)
-    from ``starts`` (key), without visiting a node twice."""
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(start, key, depth, path) AS (
-          SELECT key, key, 0, array(key) FROM {{starts}}
-          UNION ALL
-          SELECT w.start, e.target, w.depth + 1, concat(w.path, array(e.target)) FROM walk w JOIN {{edges}} e ON e.source = w.key
-          WHERE w.depth < {most} AND NOT array_contains(w.path, e.target)
-        ) SELECT * FROM walk""",
-        starts=starts,
-        edges=edges,
-    )
+    from ``starts`` (key), without visiting a node twice, ``most`` steps long.
+
+    A driver loop over depths; each turn joins the ends of the newest walks
+    only and is written out, so the number of walks has no limit.
+    """
+    walks = newest = stage(starts.select(F.col("key").alias("start"), "key", F.lit(0).alias("depth"), F.array("key").alias("path")))
+    for depth in range(1, most + 1):
+        ahead = newest.join(edges.select(F.col("source").alias("key"), "target"), "key").filter(~F.array_contains("path", F.col("target")))
+        newest = stage(ahead.select("start", F.col("target").alias("key"), F.lit(depth).alias("depth"), F.concat("path", F.array("target")).alias("path")))
+        if newest.isEmpty():
+            break
+        walks = walks.union(newest)
+    return walks
+
+
+def descendants(edges: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
+    """(start, key, depth) of every node within ``most`` steps of each of
+    ``starts`` (key), once, at its least depth; the start itself at 0."""
+    seen = newest = stage(starts.select(F.col("key").alias("start"), "key", F.lit(0).alias("depth")).distinct())
+    for depth in range(1, most + 1):
+        ahead = newest.join(edges.select(F.col("source").alias("key"), "target"), "key").select("start", F.col("target").alias("key")).distinct()
+        newest = stage(ahead.join(seen, ["start", "key"], "left_anti").withColumn("depth", F.lit(depth)))
+        if newest.isEmpty():
+            break
+        seen = seen.union(newest)
+    return seen
 
 
 def crawl(links: DataFrame, seeds: DataFrame, max_depth: int = 4, max_documents: int = 200) -> DataFrame:
-    """(url, depth) in reach of ``seeds`` (url) over ``links`` (source, target),
-    breadth first, at most ``max_documents`` by depth and address.
+    """(url, depth, found) in reach of ``seeds`` (url, position) over ``links``
+    (source, position, target), breadth first, the first ``max_documents``.
 
+    ``found`` numbers pages from 0 as a reader of one page after the other
+    finds them: the links of earlier pages first, those of a page by position.
     A driver loop over depths; each turn joins the newest pages only and drops
-    those seen before, and is written out before the next.
+    those seen before, and is written out before the next; it ends when enough
+    pages are found, so no turn has more than ``max_documents`` pages to open.
     """
-    from rulespan.sources.staging import stage
-
-    seen = stage(seeds.select("url", F.lit(0).alias("depth")).distinct())
-    newest = seen
+    first = seeds.groupBy("url").agg(F.min("position").alias("at")).select("url", F.lit(0).alias("depth"), F.struct(F.lit(0).cast("long").alias("by"), F.col("at").cast("long").alias("at")).alias("via"))
+    seen = newest = stage(_numbered(first, 0, max_documents))
     for depth in range(1, max_depth + 1):
-        ahead = links.join(newest, links["source"] == newest["url"], "left_semi").select(F.col("target").alias("url")).distinct()
-        newest = stage(ahead.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth")))
+        so_far = seen.count()
+        if so_far >= max_documents:
+            break
+        ahead = links.join(newest.select(F.col("url").alias("source"), F.col("found").alias("by")), "source")
+        via = F.min(F.struct(F.col("by").cast("long").alias("by"), F.col("position").cast("long").alias("at"))).alias("via")
+        ahead = ahead.groupBy(F.col("target").alias("url")).agg(via).join(seen.select("url"), "url", "left_anti")
+        newest = stage(_numbered(ahead.select("url", F.lit(depth).alias("depth"), "via"), so_far, max_documents))
         if newest.isEmpty():
             break
         seen = seen.union(newest)
-    return seen.orderBy("depth", "url").limit(max_documents)
+    return seen
+
+
+def _numbered(pages: DataFrame, base: int, most: int) -> DataFrame:
+    """The first pages by ``via`` up to ``most`` in all, numbered from ``base``."""
+    first = pages.orderBy("via", "url").limit(most - base)
+    return first.select("url", "depth", (F.row_number().over(Window.orderBy("via", "url")) - 1 + base).alias("found"))

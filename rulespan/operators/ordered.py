@@ -148,10 +148,21 @@ def first_seen(rows: DataFrame, by: str, position: str, item: str) -> DataFrame:
 
 
 def renumber_duplicates(rows: DataFrame, by: str, position: str, number: str) -> DataFrame:
-    """Colliding numbers of a group get the next unused integers, in order: the
-    first holder of a number keeps it, later ones go behind the largest."""
+    """Colliding numbers of a group get the least unused positive integers, in
+    order: the first holder of a number keeps it.  Missing numbers collide like
+    any other, so but for the first each gets one.
+
+    The k-th repeat gets k plus the used numbers that have fewer than k unused
+    ones below them, which one running count over both tells.
+    """
     same = Window.partitionBy(by, number).orderBy(position)
-    marked = rows.withColumn("again", (F.row_number().over(same) > 1).cast("int"))
     order = Window.partitionBy(by).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    behind = F.max(number).over(Window.partitionBy(by)) + F.sum("again").over(order)
-    return marked.withColumn(number, F.when(F.col("again") == 1, behind).otherwise(F.col(number)).cast("int")).drop("again")
+    marked = rows.withColumn("_again", (F.row_number().over(same) > 1).cast("int"))
+    marked = marked.withColumn("_k", F.when(F.col("_again") == 1, F.sum("_again").over(order)))
+    used = rows.filter(F.col(number) >= 1).select(by, number).distinct()
+    unused_below = F.col(number) - F.row_number().over(Window.partitionBy(by).orderBy(number))
+    used = used.select(by, (unused_below + 1).alias("_k"), F.lit(1).alias("_used"))
+    repeats = marked.filter("_again = 1").select(by, "_k", F.lit(0).alias("_used"))
+    counted = Window.partitionBy(by).orderBy("_k", F.desc("_used")).rowsBetween(Window.unboundedPreceding, 0)
+    fresh = used.unionByName(repeats).withColumn("_fresh", F.col("_k") + F.sum("_used").over(counted)).filter("_used = 0").drop("_used")
+    return marked.join(fresh, [by, "_k"], "left").withColumn(number, F.when(F.col("_again") == 1, F.col("_fresh")).otherwise(F.col(number)).cast("int")).select(*rows.columns)

@@ -71,14 +71,18 @@ def job_status(errors: Column, processed: Column) -> Column:
     return F.when((errors > 0) & (processed == 0), "FAILED").when(errors > 0, "PARTIAL").otherwise("COMPLETED")
 
 
-def build_phase(status: Column) -> Column:
-    """Aggregate: phase of a build from the states of its jobs."""
+def build_phase(auto_build: Column, built: Column, status: Column) -> Column:
+    """Aggregate: phase of a workflow's build from its flags (equal in all rows
+    of a workflow) and its jobs' states; a workflow without jobs has one row
+    with a null state."""
+    jobs = F.count(status) > 0
     return (
-        F.when(F.count(status) == 0, "EMPTY")
-        .when(F.bool_or(status == "RUNNING"), "RUNNING")
-        .when(F.bool_and(status == "FAILED"), "FAILED")
-        .when(F.bool_and(status.isin("COMPLETED", "PARTIAL")), "READY")
-        .otherwise("MIXED")
+        F.when(~F.bool_and(auto_build), "idle")
+        .when(F.bool_and(built), "done")
+        .when(jobs & F.bool_and(status == "FAILED"), "failed")
+        .when(F.bool_or(status == "RUNNING"), "ingesting")
+        .when(jobs & F.bool_and(status.isin("COMPLETED", "FAILED", "PARTIAL")), "building")
+        .otherwise("queued")
     )
 
 

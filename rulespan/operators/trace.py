@@ -33,15 +33,21 @@ def node_rollup(results: DataFrame, halting: tuple[str, ...] = d.HALTING) -> Dat
     return nodes.withColumn("terminated_here", F.col("early") & (F.col("first_index") == F.coalesce(first_halt, F.lit(-1)))).drop("early", "halts")
 
 
+def step_key(rule: Column, section: Column, key: Column) -> Column:
+    """What evaluations of one step share: the source rule, else the section,
+    else the rule key; blank values do not count."""
+    return F.coalesce(F.nullif(rule, F.lit("")), F.nullif(section, F.lit("")), key)
+
+
 def trace_steps(results: DataFrame, tools: DataFrame | None = None) -> DataFrame:
-    """A row for each (claim, node, procedure, step): status, codes and the
-    order it was first seen in.
+    """A row for each (claim, node, procedure, ``step_key``) of ``results``:
+    status, codes and the order it was first seen in.
 
     ``tools`` (claim_id, binding_id, tool_name, ok) are those the evaluations
     name in ``tool_results_used``.  A failed coverage tool makes a step
     Not-Met, another failed tool makes it Inconclusive unless it is Not-Met.
     """
-    keys = ["claim_id", "shape_id", "sop_id", "step"]
+    keys = ["claim_id", "shape_id", "sop_id", "step_key"]
     steps = results.groupBy(*keys).agg(
         F.min("order_index").alias("first_index"),
         F.count("*").alias("n_rules"),
@@ -69,7 +75,7 @@ def explainability(steps: DataFrame) -> DataFrame:
     return steps.groupBy("claim_id", "shape_id", "sop_id").agg(
         d.fold_audit_status(F.col("status")).alias("final_status"),
         F.count("*").alias("n_steps"),
-        F.min_by("step", F.when(bad, F.col("first_index"))).alias("first_failing"),
+        F.min_by("step_key", F.when(bad, F.col("first_index"))).alias("first_failing"),
     )
 
 

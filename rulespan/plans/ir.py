@@ -1,7 +1,7 @@
 """Rule trees as adjacency rows: planning, validation, repair, versions.
 
 A tree is (rule_id, node_id, parent_id or null, ord, ...).  Depth, paths and
-inherited flags come from one recursive query; everything else is columns.
+inherited flags come from one join a level; everything else is columns.
 """
 
 from __future__ import annotations
@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 
 from rulespan.functions import decisions as d
 from rulespan.functions import extract as x
+from rulespan.sources.staging import stage
 
 
-def tree_paths(nodes: DataFrame, flag: str | None = None, most: int = 50) -> DataFrame:
+def tree_paths(nodes: DataFrame, flag: str | None = None) -> DataFrame:
     """Add depth, path (sortable in depth-first order) and, for a boolean
     column ``flag``, ``inherited``: whether the node or one above has it.
 
-    Nodes whose parent is missing are not reached.
+    A driver loop over depths: each turn joins the newest level's children only
+    and is written out, so neither depth nor the number of nodes has a limit.
+    Nodes whose parent is missing, or that are above themselves, are not reached.
     """
-    own = flag or "false"
-    walked = nodes.sparkSession.sql(
-        f"""WITH RECURSIVE walk(node_id, depth, path, inherited) AS (
-          SELECT node_id, 0, array(struct(ord, node_id)), coalesce({own}, false) FROM {{nodes}} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.node_id, w.depth + 1, concat(w.path, array(struct(n.ord, n.node_id))), w.inherited OR coalesce(n.{own}, false)
-          FROM walk w JOIN {{nodes}} n ON n.parent_id = w.node_id WHERE w.depth < {most}
-        ) SELECT * FROM walk""".replace("n.false", "false"),
-        nodes=nodes,
-    )
+    own = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    step = F.struct("ord", "node_id")
+    tree = nodes.select("node_id", "parent_id", step.alias("step"), own.alias("own"))
+    level = stage(tree.filter("parent_id is null").select("node_id", F.lit(0).alias("depth"), F.array("step").alias("path"), F.col("own").alias("inherited")))
+    walked = level
+    while not level.isEmpty():
+        above = level.select(F.col("node_id").alias("parent_id"), "depth", "path", "inherited")
+        level = stage(tree.join(above, "parent_id").select("node_id", F.col("depth") + 1, F.concat("path", F.array("step")), F.col("inherited") | F.col("own")).toDF("node_id", "depth", "path", "inherited"))
+        walked = walked.union(level)
     return nodes.join(walked, "node_id")
 
 
@@ -78,18 +80,19 @@ def plan_leaf_rules(rules: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def validate_rules(rules: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(severity, rule_id, problem) of rules (rule_id, step_number, source_order,
-    goto_step, aggregation_rule) and nodes (rule_id, node_id, depth, goto_step,
-    applicable_when)."""
-    declared = rules.select(F.coalesce("step_number", "source_order").alias("goto_step")).distinct()
-    step = Window.partitionBy("step_number").orderBy("source_order")
+    """(sop_id, severity, rule_id, problem) of rules (sop_id, rule_id,
+    step_number, source_order, goto_step, aggregation_rule) and nodes (sop_id,
+    rule_id, node_id, depth, goto_step, applicable_when).  Steps are declared
+    and may collide within a procedure only."""
+    declared = rules.select("sop_id", F.coalesce("step_number", "source_order").alias("goto_step")).distinct()
+    step = Window.partitionBy("sop_id", "step_number").orderBy("source_order")
     twice = rules.filter("step_number is not null").withColumn("n", F.row_number().over(step)).filter("n > 1")
-    targets = rules.select("rule_id", "goto_step").union(nodes.select("rule_id", "goto_step")).filter("goto_step is not null")
-    dangling = targets.join(declared, "goto_step", "left_anti")
+    targets = rules.select("sop_id", "rule_id", "goto_step").union(nodes.select("sop_id", "rule_id", "goto_step")).filter("goto_step is not null")
+    dangling = targets.join(declared, ["sop_id", "goto_step"], "left_anti")
     nameless = nodes.filter("depth > 0 and coalesce(node_id, '') = ''")
-    any_when = nodes.filter("depth = 0").groupBy("rule_id").agg(F.bool_or(F.coalesce("applicable_when", F.lit("")) != "").alias("any"))
-    unmet = rules.filter(d.map_aggregation(F.col("aggregation_rule")) == "APPLICABLE_ONLY").join(any_when, "rule_id").filter(~F.col("any"))
-    report = lambda df, severity, text: df.select(F.lit(severity).alias("severity"), "rule_id", text.alias("problem"))
+    any_when = nodes.filter("depth = 0").groupBy("sop_id", "rule_id").agg(F.bool_or(F.coalesce("applicable_when", F.lit("")) != "").alias("any"))
+    unmet = rules.filter(d.map_aggregation(F.col("aggregation_rule")) == "APPLICABLE_ONLY").join(any_when, ["sop_id", "rule_id"]).filter(~F.col("any"))
+    report = lambda df, severity, text: df.select("sop_id", F.lit(severity).alias("severity"), "rule_id", text.alias("problem"))
     return (
         report(twice, "ERROR", F.concat(F.lit("step_number used twice: "), F.col("step_number").cast("string")))
         .union(report(dangling, "ERROR", F.concat(F.lit("routes to undeclared step "), F.col("goto_step").cast("string"))))
@@ -102,7 +105,7 @@ def repair_rules(rules: DataFrame) -> DataFrame:
     """Strip targets that no rule declares; colliding step numbers move on."""
     from rulespan.operators.ordered import renumber_duplicates
 
-    numbered = renumber_duplicates(rules.filter("step_number is not null"), "sop_id", "source_order", "step_number").unionByName(rules.filter("step_number is null"))
+    numbered = renumber_duplicates(rules, "sop_id", "source_order", "step_number")
     declared = numbered.select("sop_id", F.col("step_number").alias("goto_step"), F.lit(True).alias("known")).distinct()
     kept = numbered.join(declared, ["sop_id", "goto_step"], "left")
     return kept.withColumn("goto_step", F.when(F.col("known"), F.col("goto_step"))).drop("known")
@@ -118,25 +121,39 @@ def apply_structure(nodes: DataFrame, structure: DataFrame) -> DataFrame:
 
 
 def merge_routing(draft: DataFrame, patch: DataFrame, declared: DataFrame) -> DataFrame:
-    """Fill blank targets of ``draft`` (rule_id, goto_step) from ``patch`` where
-    the patch names a declared step."""
-    ok = patch.select("rule_id", F.col("goto_step").alias("patched")).join(declared.select(F.col("step_number").alias("patched")).distinct(), "patched", "left_semi")
-    return draft.join(ok, "rule_id", "left").withColumn("goto_step", F.coalesce("goto_step", "patched")).drop("patched")
+    """Fill blank targets of ``draft`` (sop_id, rule_id, goto_step) from ``patch``
+    where the patch names a step that is declared in the rule's procedure."""
+    known = declared.select("sop_id", F.col("step_number").alias("patched")).distinct()
+    ok = patch.select("sop_id", "rule_id", F.col("goto_step").alias("patched")).join(known, ["sop_id", "patched"], "left_semi")
+    return draft.join(ok, ["sop_id", "rule_id"], "left").withColumn("goto_step", F.coalesce("goto_step", "patched")).drop("patched")
 
 
 def split_sections(decisions: DataFrame, size: int = 6) -> DataFrame:
-    """Canvas parts of flat decisions: sections, cut into chunks of ``size``."""
-    w = Window.partitionBy("sop_id", "section").orderBy("row_index")
-    return decisions.withColumn("part", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    """Canvas parts of the decisions (sop_id, step, section, depth, row_index) of
+    each step: ``label`` and ``part``, counted from 0.
+
+    Several sections are a part each, whole and in order of appearance.  One
+    section stays whole if any row of it is nested or it has at most ``size``
+    rows; a longer flat one is cut into numbered parts.
+    """
+    step, section = Window.partitionBy("sop_id", "step"), F.trim(F.coalesce("section", F.lit("")))
+    rows = decisions.withColumn("_first", F.min("row_index").over(Window.partitionBy("sop_id", "step", section)))
+    rows = rows.withColumns({"_place": F.row_number().over(step.orderBy("row_index")) - 1, "_group": F.dense_rank().over(step.orderBy("_first")) - 1})
+    several, nested, long = F.max("_group").over(step) > 0, F.max(F.coalesce("depth", F.lit(0))).over(step) > 0, F.count("*").over(step) > size
+    chunk = F.floor(F.col("_place") / size).cast("int")
+    part = F.when(several, F.col("_group")).when(~nested & long, chunk).otherwise(0).cast("int")
+    label = F.when(several, section).when(~nested & long, F.concat(F.lit("part "), (chunk + 1).cast("string"))).otherwise("")
+    return rows.withColumns({"label": label, "part": part}).drop("_first", "_place", "_group")
 
 
 def next_version(current: DataFrame, documents: DataFrame) -> DataFrame:
     """Version and digest of new documents (sop_id, body map) after the current
-    heads (sop_id, version, digest); an equal body keeps its version."""
+    heads (sop_id, version, ...).  Every save is a new version, even of an equal
+    body: the digest tells a reader that nothing changed."""
     digest = F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("body")))), 256)
-    heads = current.groupBy("sop_id").agg(F.max("version").alias("v"), F.max_by("digest", "version").alias("d"))
+    heads = current.groupBy("sop_id").agg(F.max("version").alias("v"))
     rows = documents.select("sop_id", digest.alias("digest")).join(heads, "sop_id", "left")
-    return rows.select("sop_id", "digest", F.when(F.col("d") == F.col("digest"), F.col("v")).otherwise(F.coalesce("v", F.lit(0)) + 1).cast("int").alias("version"))
+    return rows.select("sop_id", "digest", (F.coalesce("v", F.lit(0)) + 1).cast("int").alias("version"))
 
 
 def children_first(nodes: DataFrame, child: Column) -> DataFrame:

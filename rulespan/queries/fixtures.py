@@ -125,6 +125,18 @@ RULES = Rows(
     ],
 )
 
+#: Where each rule comes from: two source rules in one step, one over two steps,
+#: sections only, and neither.
+STEP_KEYS = Rows(
+    "rule_key string, yaml_rule_id string, section_id string",
+    [
+        ("step:100:1:0", "Y1", "1"), ("step:100:1:1", "Y2", "1"), ("step:100:2:0", "", "2"), ("step:100:2:1", None, "2"), ("step:100:2:2", "", "2b"),
+        ("step:100:3:0", None, "3"), ("step:100:4:0", "Y4", "4"), ("step:100:4:1", "Y4", "4"), ("step:100:5:0", "Y5", ""), ("step:100:6:0", "", None),
+        ("step:200:1:0", "Y7", "1"), ("step:200:2:0", "Y7", "2"), ("step:200:3:0", "Y8", "3"), ("custom:1", None, None), ("custom:2", "", ""),
+        ("step:300:1:0", "Y9", "1"), ("step:300:2:0", "Y9", "2"), ("pre:1", None, "0"), ("pre:2", None, "0"),
+    ],
+)
+
 CLAIMS_SQL = """(SELECT o_orderkey AS claim_id, o_totalprice AS total, CAST(count(l_orderkey) AS DOUBLE) AS lines,
   coalesce(sum(l_quantity), 0.0) AS qty, coalesce(max(l_discount), 0.0) AS disc,
   CAST(count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS DOUBLE) AS returned,

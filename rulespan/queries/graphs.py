@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,28 +60,37 @@ SELECT 'HARD' AS severity, 'duplicate keys' AS problem, count(*) AS n FROM nodes
 UNION ALL SELECT 'HARD', 'no document', 1 UNION ALL SELECT 'SOFT', 'dangling edges', count(*) FROM edges WHERE source NOT IN (SELECT key FROM k) OR target NOT IN (SELECT key FROM k)"""
 
 
-def ancestors(spark: SparkSession, sf_dir: str, every: int = 3) -> DataFrame:
-    """Walks up from each ``every``-th customer's decision node."""
+def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks up from every customer's decision node."""
     _, edges = g.sanitise(*raw(spark, sf_dir))
     up = edges.select(c("target").alias("source"), c("source").alias("target"))
-    starts = fx.table(spark, sf_dir, "customer").filter(c("c_custkey") % every == 0).select(F.concat(F.lit("dec:"), "c_custkey").alias("key"))
+    starts = fx.table(spark, sf_dir, "customer").select(F.concat(F.lit("dec:"), "c_custkey").alias("key"))
     return g.reach(up, starts).select("start", "key", "depth", F.array_join("path", ">").alias("path"))
 
 
-_UP = f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'dec:' || c_custkey AS start, 'dec:' || c_custkey AS key, 0 AS depth, 'dec:' || c_custkey AS path FROM customer WHERE c_custkey % 3 = 0
+_UP = f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'dec:' || c_custkey AS start, 'dec:' || c_custkey AS key, 0 AS depth, 'dec:' || c_custkey AS path FROM customer
   UNION ALL SELECT w.start, e.source, w.depth + 1, w.path || '>' || e.source FROM w JOIN edges e ON e.target = w.key WHERE w.depth < 10)
 SELECT * FROM w"""
 
 
 def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hangs below each document; some decisions lead on to others, so
+    nodes are met by several ways, and some ways are rings."""
     _, edges = g.sanitise(*raw(spark, sf_dir))
+    m = fx.table(spark, sf_dir, "customer")
+    onward = m.filter("c_custkey % 6 = 0").select(F.concat(F.lit("dec:"), "c_custkey").alias("source"), F.concat(F.lit("dec:"), c("c_custkey") + 1).alias("target"))
+    back = m.filter("c_custkey % 36 = 0").select(F.concat(F.lit("dec:"), c("c_custkey") + 1).alias("source"), F.concat(F.lit("dec:"), "c_custkey").alias("target"))
+    deeper = m.filter("c_custkey % 10 = 0").select(F.concat(F.lit("gone:"), c("c_custkey") * 2).alias("source"), F.concat(F.lit("far:"), "c_custkey").alias("target"))
     starts = fx.table(spark, sf_dir, "region").select(F.concat(F.lit("doc:"), "r_regionkey").alias("key"))
-    return g.reach(edges, starts).filter("depth > 0").groupBy("start", "depth").agg(F.count("*").alias("n"))
+    every = edges.select("source", "target").union(onward).union(back).union(deeper)
+    return g.descendants(every, starts).filter("depth > 0").groupBy("start", "depth").agg(F.count("*").alias("n"))
 
 
-_DOWN = f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'doc:' || r_regionkey AS start, 'doc:' || r_regionkey AS key, 0 AS depth FROM region
-  UNION ALL SELECT w.start, e.target, w.depth + 1 FROM w JOIN edges e ON e.source = w.key WHERE w.depth < 10)
-SELECT start, depth, count(*) AS n FROM w WHERE depth > 0 GROUP BY start, depth"""
+_DOWN = f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT source, target FROM edges UNION SELECT 'dec:' || c_custkey, 'dec:' || (c_custkey + 1) FROM customer WHERE c_custkey % 6 = 0
+  UNION SELECT 'dec:' || (c_custkey + 1), 'dec:' || c_custkey FROM customer WHERE c_custkey % 36 = 0 UNION SELECT 'gone:' || (c_custkey * 2), 'far:' || c_custkey FROM customer WHERE c_custkey % 10 = 0),
+w AS (SELECT 'doc:' || r_regionkey AS start, 'doc:' || r_regionkey AS key, 0 AS depth FROM region
+  UNION SELECT w.start, e.target, w.depth + 1 FROM w JOIN ways e ON e.source = w.key WHERE w.depth < 10)
+SELECT start, depth, count(*) AS n FROM (SELECT start, key, min(depth) AS depth FROM w GROUP BY ALL) WHERE depth > 0 GROUP BY start, depth"""
 
 
 def node_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,17 +98,19 @@ def node_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def crawl_frontier(spark: SparkSession, sf_dir: str, pages: int | None = 997) -> DataFrame:
-    """A crawl whose links are folded to ``pages`` addresses, or to as many as there are pages."""
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl over all pages; a link leads to the page of its number, round the
+    table.  Its limit is the feature."""
     p = fx.table(spark, sf_dir, "pages").select(c("page_id").alias("url"))
-    n = pages or max(1, p.count())
-    links = p.select(c("url").alias("source"), F.explode(F.array((c("url") * 2 + 1) % n, (c("url") * 3 + 2) % n, c("url"))).alias("target"))
-    return g.crawl(links, p.filter("url = 0"), 6, 40)
+    n = max(1, p.count())
+    ways = F.array(c("url") * 3 + 2, c("url") * 2 + 1, c("url"))
+    links = p.select(c("url").alias("source"), F.posexplode(ways).alias("position", "to")).select("source", "position", (c("to") % n).alias("target"))
+    return g.crawl(links, p.filter("url = 0").withColumn("position", F.lit(0)), 6, 40)
 
 
-_CRAWL = """WITH RECURSIVE e AS (SELECT page_id AS s, (page_id * 2 + 1) % 997 AS t FROM pages UNION SELECT page_id, (page_id * 3 + 2) % 997 FROM pages),
-w AS (SELECT 0::BIGINT AS url, 0 AS depth UNION SELECT e.t, w.depth + 1 FROM w JOIN e ON e.s = w.url WHERE w.depth < 6)
-SELECT url, min(depth) AS depth FROM w GROUP BY url ORDER BY 2, 1 LIMIT 40"""
+_CRAWL = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS s, 0 AS at, (page_id * 3 + 2) % n AS t FROM pages, n UNION ALL SELECT page_id, 1, (page_id * 2 + 1) % n FROM pages, n),
+w AS (SELECT 0::BIGINT AS url, 0 AS depth, '' AS path UNION ALL SELECT e.t, w.depth + 1, w.path || e.at FROM w JOIN e ON e.s = w.url WHERE w.depth < 6)
+SELECT url, depth, (row_number() OVER (ORDER BY depth, path) - 1)::INTEGER AS found FROM (SELECT url, min(depth) AS depth, min_by(path, (depth, path)) AS path FROM w GROUP BY url) ORDER BY 3 LIMIT 40"""
 
 QUERIES = {
     "graph_sanitize": (graph_sanitize, f"WITH {_NODES} SELECT * FROM nodes"),
@@ -109,9 +118,9 @@ QUERIES = {
     "graph_edges": (graph_edges, f"WITH {_NODES}, {_EDGES} SELECT e.*, a.type AS source_type, b.type AS target_type FROM edges e JOIN nodes a ON a.key = source JOIN nodes b ON b.key = target"),
     "graph_validate": (graph_validate, _VALID),
     "ancestors": (ancestors, _UP),
-    "ancestors_all": (partial(ancestors, every=1), _UP.replace(" WHERE c_custkey % 3 = 0", "")),
+    "ancestors_all": (ancestors, _UP),
     "descendants": (descendants, _DOWN),
     "node_histogram": (node_histogram, f"WITH {_NODES} SELECT type, count(*) AS n FROM nodes GROUP BY type"),
     "crawl_frontier": (crawl_frontier, _CRAWL),
-    "crawl_frontier_all": (partial(crawl_frontier, pages=None), _CRAWL.replace("997", "(SELECT count(*) FROM pages)")),
+    "crawl_frontier_all": (crawl_frontier, _CRAWL),
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +16,14 @@ def duplicate_claim_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from its date for 400 days."""
     o, l = fx.table(spark, sf_dir, "orders"), fx.table(spark, sf_dir, "lineitem")
     claims = o.select(c("o_orderkey").alias("l_orderkey"), "o_custkey")
-    lines = l.filter("l_returnflag = 'R'").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_seconds("l_shipdate"), c("l_quantity").cast("int"), F.round(c("l_extendedprice") * 100).cast("long"))).dropDuplicates(["line_id"]).join(claims, "l_orderkey")
+    lines = l.withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_seconds("l_shipdate"), c("l_quantity").cast("int"), F.round(c("l_extendedprice") * 100).cast("long"))).dropDuplicates(["line_id"]).join(claims, "l_orderkey")
     lines = lines.select("line_id", c("l_orderkey").alias("claim_id"), "o_custkey", c("l_shipdate").alias("from_date"), F.date_add("l_shipdate", 3).cast("timestamp").alias("to_date"))
     cands = o.select(c("o_orderkey").alias("cand_id"), "o_custkey", c("o_orderdate").alias("low_date"), F.date_add("o_orderdate", 400).cast("timestamp").alias("high_date"))
     found = k.duplicate_claims(lines, cands, ["o_custkey"])
     return found.groupBy("claim_id").agg(F.count("*").alias("lines"), F.sum("filtered_claims_count").alias("matches"))
 
 
-_DUP = """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity::INTEGER, round(l_extendedprice * 100)::BIGINT FROM lineitem WHERE l_returnflag = 'R'),
+_DUP = """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity::INTEGER, round(l_extendedprice * 100)::BIGINT FROM lineitem),
 x AS (SELECT l_orderkey AS claim_id, row_number() OVER () AS id, l_shipdate, o_custkey FROM l JOIN orders ON o_orderkey = l_orderkey),
 m AS (SELECT id, count(*) AS n FROM x JOIN orders o ON o.o_custkey = x.o_custkey AND l_shipdate >= o_orderdate AND CAST(l_shipdate AS DATE) + 3 <= CAST(o_orderdate AS DATE) + 400 GROUP BY id)
 SELECT claim_id, count(*) AS lines, sum(coalesce(n, 0))::BIGINT AS matches FROM x LEFT JOIN m USING (id) GROUP BY claim_id"""
@@ -126,8 +124,8 @@ def tool_family_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FAMILY = f"""SELECT key, coalesce(arg_max(f.tools, length(f.family)), 'none') AS tools FROM (SELECT {_KEY} AS key FROM part) p LEFT JOIN {_FAMILIES.sql()} f ON p.key = f.family OR starts_with(p.key, f.family || '-') GROUP BY key"""
 
 
-def rule_hydration(spark: SparkSession, sf_dir: str, last: int | None = 4000) -> DataFrame:
-    l = fx.up_to(fx.table(spark, sf_dir, "lineitem"), "l_orderkey", last).select("l_orderkey", "l_linenumber").distinct()
+def rule_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     kind = F.when(c("l_linenumber") % 2 == 0, "pre").otherwise("step")
     bindings = l.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("canvas_pos"), F.concat_ws(":", kind, (c("l_orderkey") % 50).cast("string"), c("l_linenumber").cast("string"), (c("l_orderkey") % 7).cast("string")).alias("rule_key"))
     dims = spark.range(50).select(c("id").cast("int").alias("sop_id")).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("row_index", F.explode(F.sequence(F.lit(0), F.lit(4))))
@@ -138,7 +136,7 @@ def rule_hydration(spark: SparkSession, sf_dir: str, last: int | None = 4000) ->
 
 _HYDRATE = """SELECT l_orderkey * 10 + l_linenumber AS canvas_pos, CASE WHEN l_linenumber % 2 = 0 THEN 'pre' ELSE 'step' END || ':' || (l_orderkey % 50) || ':' || l_linenumber || ':' || (l_orderkey % 7) AS rule_key,
   CASE WHEN l_linenumber % 2 = 0 THEN 'P' ELSE 'D' END || '/' || (l_orderkey % 50) || '/' || l_linenumber || '/' || (l_orderkey % 7) AS text
-FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey <= 4000) WHERE l_linenumber <= 6 AND l_orderkey % 7 <= 4"""
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_linenumber <= 6 AND l_orderkey % 7 <= 4"""
 
 _FIELDS = fx.Rows("field string, rank int, system string, column string", [("who", 0, "CORE", "o_orderstatus"), ("who", 1, "BILLING", "o_orderpriority"), ("when", 0, "IMAGE", "missing"), ("when", 1, "REGISTRY", "o_orderdate"), ("what", 0, "BENEFITS", "o_comment")])
 
@@ -174,7 +172,7 @@ QUERIES = {
     "eligibility_two_hop": (eligibility_two_hop, "SELECT o_orderkey, c_mktsegment, n_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 > 0) ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey"),
     "tool_family_map": (tool_family_map, _FAMILY),
     "rule_hydration": (rule_hydration, _HYDRATE),
-    "rule_hydration_all": (partial(rule_hydration, last=None), _HYDRATE.replace(" WHERE l_orderkey <= 4000", "")),
+    "rule_hydration_all": (rule_hydration, _HYDRATE),
     "field_priority": (field_priority, _FIELD),
     "tool_scope": (tool_scope, _SCOPE),
 }

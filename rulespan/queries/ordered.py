@@ -81,12 +81,16 @@ def sop_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def renumbered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fx.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (c("o_orderkey") % 5).cast("int").alias("step"))
+    """Steps 1, 5, 9 and none, so repeats fall into the gaps between them."""
+    step = F.when(c("o_orderkey") % 5 > 0, (c("o_orderkey") % 3 * 4 + 1).cast("int"))
+    o = fx.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", step.alias("step"))
     return w.renumber_duplicates(o, "o_custkey", "o_orderkey", "step")
 
 
-_RENUM = """SELECT o_custkey, o_orderkey, (CASE WHEN again = 1 THEN mx + sum(again) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) ELSE step END)::INTEGER AS step FROM (
-  SELECT o_custkey, o_orderkey, o_orderkey % 5 AS step, (row_number() OVER (PARTITION BY o_custkey, o_orderkey % 5 ORDER BY o_orderkey) > 1)::INTEGER AS again, max(o_orderkey % 5) OVER (PARTITION BY o_custkey) AS mx FROM orders)"""
+_RENUM = """WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 * 4 + 1 END AS step FROM orders),
+a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, step ORDER BY o_orderkey) > 1 AS again FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM a WHERE again),
+g AS (SELECT o_custkey, unnest(range(1, (count(*) + 10)::BIGINT)) AS free FROM o GROUP BY 1), f AS (SELECT o_custkey, free, row_number() OVER (PARTITION BY o_custkey ORDER BY free) AS k FROM g WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.o_custkey = g.o_custkey AND o.step = g.free))
+SELECT o_custkey, o_orderkey, step::INTEGER AS step FROM a WHERE NOT again UNION ALL SELECT k.o_custkey, o_orderkey, free::INTEGER FROM k JOIN f ON f.o_custkey = k.o_custkey AND f.k = k.k"""
 
 
 def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

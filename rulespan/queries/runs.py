@@ -52,7 +52,7 @@ def runs_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suspicious_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(c("l_orderkey").alias("run_id"))
+    lines = fx.table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("run_id"))
     calls = fx.table(spark, sf_dir, "events").select(c("user_id").alias("run_id"))
     return r.suspicious_runs(runs(spark, sf_dir), lines, calls).select("run_id", "status", "n_evaluations", "n_tools", "error_message")
 
@@ -89,15 +89,30 @@ def call_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = runs(spark, sf_dir).withColumn("part", c("run_id") % 977)
     ok = c("status").isin("COMPLETED", "TERMINATED_EARLY")
-    return rows.groupBy("part").agg(r.batch_status(ok).alias("batch_status"), r.job_status(F.count_if(~ok), F.count_if(ok)).alias("job_status"), r.build_phase(c("status")).alias("phase"))
+    return rows.groupBy("part").agg(r.batch_status(ok).alias("batch_status"), r.job_status(F.count_if(~ok), F.count_if(ok)).alias("job_status"))
 
 
 _BATCHES = """SELECT run_id % 977 AS part, CASE WHEN bool_and(ok) THEN 'COMPLETED' WHEN NOT bool_or(ok) THEN 'FAILED' ELSE 'PARTIAL' END AS batch_status,
-  CASE WHEN count(*) FILTER (NOT ok) > 0 AND count(*) FILTER (ok) = 0 THEN 'FAILED' WHEN count(*) FILTER (NOT ok) > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS job_status,
-  CASE WHEN bool_or(status = 'RUNNING') THEN 'RUNNING' WHEN bool_and(status = 'FAILED') THEN 'FAILED' WHEN bool_and(status IN ('COMPLETED', 'PARTIAL')) THEN 'READY' ELSE 'MIXED' END AS phase
+  CASE WHEN count(*) FILTER (NOT ok) > 0 AND count(*) FILTER (ok) = 0 THEN 'FAILED' WHEN count(*) FILTER (NOT ok) > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS job_status
 FROM (SELECT *, status IN ('COMPLETED', 'TERMINATED_EARLY') AS ok FROM RUNS) GROUP BY 1""".replace("RUNS", RUNS)
 
 
+def build_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as workflows, their orders as ingestion jobs; some have none."""
+    m, o = fx.table(spark, sf_dir, "customer"), fx.table(spark, sf_dir, "orders")
+    k, w = c("o_orderkey"), c("o_custkey") % 6
+    state = F.when(w == 0, "FAILED").when((w == 1) & (k % 4 == 0), "RUNNING").when((w == 2) & (k % 5 == 0), "QUEUED").when(k % 3 == 0, "PARTIAL").when(k % 3 == 1, "COMPLETED").otherwise("FAILED")
+    jobs = o.select(c("o_custkey").alias("c_custkey"), state.alias("status"))
+    rows = m.select("c_custkey").join(jobs, "c_custkey", "left")
+    return rows.groupBy(c("c_custkey").alias("workflow_id")).agg(r.build_phase(c("c_custkey") % 7 > 0, c("c_custkey") % 5 == 0, c("status")).alias("phase"))
+
+
+_PHASES = """WITH j AS (SELECT o_custkey AS w, CASE WHEN o_custkey % 6 = 0 THEN 'FAILED' WHEN o_custkey % 6 = 1 AND o_orderkey % 4 = 0 THEN 'RUNNING' WHEN o_custkey % 6 = 2 AND o_orderkey % 5 = 0 THEN 'QUEUED' ELSE ['PARTIAL', 'COMPLETED', 'FAILED'][o_orderkey % 3 + 1] END AS s FROM orders),
+n AS (SELECT w, count(*) AS jobs, count(*) FILTER (s = 'FAILED') AS failed, count(*) FILTER (s = 'RUNNING') AS running, count(*) FILTER (s = 'QUEUED') AS queued FROM j GROUP BY w)
+SELECT c_custkey AS workflow_id, CASE WHEN c_custkey % 7 = 0 THEN 'idle' WHEN c_custkey % 5 = 0 THEN 'done' WHEN jobs IS NULL THEN 'queued' WHEN failed = jobs THEN 'failed'
+  WHEN running > 0 THEN 'ingesting' WHEN queued = 0 THEN 'building' ELSE 'queued' END AS phase FROM customer LEFT JOIN n ON w = c_custkey"""
+
+
 def review_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = runs(spark, sf_dir).withColumns({"review_status": F.lit("PENDING"), "review_started_at": F.lit(None).cast("timestamp"), "reviewed_at": F.lit(None).cast("timestamp")})
     action = F.element_at(F.array(*map(F.lit, ("in_progress", "approve", "reject", "none"))), (c("run_id") % 4 + 1).cast("int"))
@@ -130,8 +145,14 @@ def _rollup_sql(types: str) -> str:
     early AND first_index = coalesce(min(CASE WHEN halts THEN first_index END) OVER (PARTITION BY claim_id), -1) AS terminated_here FROM n LEFT JOIN ty USING (claim_id, shape_id))"""
 
 
+def keyed(spark: SparkSession, done: DataFrame) -> DataFrame:
+    """Rule results with the key of their step; rules are few."""
+    keys = fx.STEP_KEYS.spark(spark).select("rule_key", t.step_key(c("yaml_rule_id"), c("section_id"), c("rule_key")).alias("step_key"))
+    return done.join(keys, "rule_key")
+
+
 def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.trace_steps(results(spark, sf_dir))
+    return t.trace_steps(keyed(spark, results(spark, sf_dir)))
 
 
 def trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,9 +161,10 @@ def trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ADV = "'DENY', 'STOP', 'REFER', 'REFERRAL', 'PEND', 'PENDED'"
 _STEPS = f""", keyed AS (
-  SELECT results.*, r.sop_id, ord.step FROM results JOIN {fx.RULES.sql()} r USING (rule_key) JOIN ord ON rk = rule_key
+  SELECT results.*, r.sop_id, CASE WHEN yaml_rule_id <> '' THEN yaml_rule_id WHEN section_id <> '' THEN section_id ELSE results.rule_key END AS step_key
+  FROM results JOIN {fx.RULES.sql()} r USING (rule_key) JOIN {fx.STEP_KEYS.sql()} k USING (rule_key)
 ), steps AS (
-  SELECT claim_id, shape_id, sop_id, step, min(order_index) AS first_index, count(*) AS n_rules,
+  SELECT claim_id, shape_id, sop_id, step_key, min(order_index) AS first_index, count(*) AS n_rules,
     CASE WHEN NOT bool_or(seen) THEN 'Skipped' WHEN bool_or(seen AND matched AND decision_type IN ({_ADV})) THEN 'Not-Met' WHEN bool_or(seen AND matched) THEN 'Met' ELSE 'Inconclusive' END AS status,
     arg_min(decision_type, order_index) AS decision_type, array_to_string(arg_min(codes, order_index), ',') AS codes
   FROM (SELECT *, NOT skipped AND NOT (is_out_of_scope AND len(codes) = 0) AS seen FROM keyed) GROUP BY ALL)"""
@@ -153,17 +175,17 @@ def trace_with_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = tool_runs(spark, sf_dir)
     used = tools.groupBy("claim_id").agg(F.collect_list("binding_id").alias("b"))
     done = results(spark, sf_dir).join(used, "claim_id", "left").withColumn("tool_results_used", F.when(c("order_index") == 1, c("b")))
-    steps = t.trace_steps(done, tools)
-    return steps.select("claim_id", "shape_id", "step", "status", F.array_join(F.coalesce("tools_failed", F.array().cast("array<string>")), ",").alias("tools_failed"))
+    steps = t.trace_steps(keyed(spark, done), tools)
+    return steps.select("claim_id", "shape_id", "sop_id", "step_key", "status", F.array_join(F.coalesce("tools_failed", F.array().cast("array<string>")), ",").alias("tools_failed"))
 
 
 _TRACE_TOOLS = """, fails AS (
   SELECT user_id AS claim_id, string_agg(DISTINCT ['cbd_coverage', 'npi_lookup', 'duplicate_claim'][event_id % 3 + 1], ',' ORDER BY ['cbd_coverage', 'npi_lookup', 'duplicate_claim'][event_id % 3 + 1]) FILTER (event_type = 'error') AS names FROM events GROUP BY user_id
-), onset AS (SELECT claim_id, shape_id, step FROM keyed WHERE order_index = 1)
-SELECT s.claim_id, s.shape_id, s.step, CASE WHEN o.claim_id IS NOT NULL AND contains(coalesce(names, ''), 'cbd_coverage') THEN 'Not-Met'
+), onset AS (SELECT claim_id, shape_id, sop_id, step_key FROM keyed WHERE order_index = 1)
+SELECT s.claim_id, s.shape_id, s.sop_id, s.step_key, CASE WHEN o.claim_id IS NOT NULL AND contains(coalesce(names, ''), 'cbd_coverage') THEN 'Not-Met'
     WHEN o.claim_id IS NOT NULL AND coalesce(names, '') <> '' AND status <> 'Not-Met' THEN 'Inconclusive' ELSE status END AS status,
   CASE WHEN o.claim_id IS NOT NULL THEN coalesce(names, '') ELSE '' END AS tools_failed
-FROM steps s LEFT JOIN onset o ON o.claim_id = s.claim_id AND o.shape_id = s.shape_id AND o.step = s.step LEFT JOIN fails ON fails.claim_id = s.claim_id"""
+FROM steps s LEFT JOIN onset o ON o.claim_id = s.claim_id AND o.shape_id = s.shape_id AND o.sop_id = s.sop_id AND o.step_key = s.step_key LEFT JOIN fails ON fails.claim_id = s.claim_id"""
 
 
 def explainability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +197,7 @@ def claim_audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = aggregate_verdicts(done)
     state = F.when(c("claim_id") % 13 == 0, "RUNNING").when(c("claim_id") % 17 == 0, "FAILED").otherwise(c("status"))
     decision = F.when(c("claim_id") % 3 == 0, "").otherwise(c("final_decision_type"))
-    return t.claim_status(verdict.select("claim_id", state.alias("status"), decision.alias("final_decision_type")), t.trace_steps(done))
+    return t.claim_status(verdict.select("claim_id", state.alias("status"), decision.alias("final_decision_type")), t.trace_steps(keyed(spark, done)))
 
 
 _CLAIM = f""", folded AS (SELECT claim_id, {_FOLD} AS f FROM steps GROUP BY claim_id), vd AS (
@@ -190,18 +212,19 @@ QUERIES = {
     "runs_filter_inconclusive": (runs_filter_inconclusive, f"SELECT run_id, status, final_decision_type FROM {RUNS} WHERE status IN ('FAILED', 'FETCH_FAILED') OR upper(final_decision_type) = 'INCONCLUSIVE' OR final_decision_type = ''"),
     "avg_processing_minutes": (avg_processing_minutes, f"SELECT batch_id, coalesce(round(avg(epoch(finished_at) - epoch(started_at)) / 60, 1), 0.0) AS avg_minutes, count(*) AS total FROM {RUNS} GROUP BY batch_id"),
     "runs_by_status": (runs_by_status, f"SELECT status, count(*) AS n FROM {RUNS} GROUP BY status"),
-    "suspicious_runs": (suspicious_runs, f"SELECT run_id, status, coalesce(e, 0) AS n_evaluations, coalesce(k, 0) AS n_tools, error_message FROM {RUNS} LEFT JOIN (SELECT l_orderkey AS run_id, count(*) AS e FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) USING (run_id) LEFT JOIN (SELECT user_id AS run_id, count(*) AS k FROM events GROUP BY 1) USING (run_id) WHERE (e IS NULL AND status IN ('COMPLETED', 'TERMINATED_EARLY')) OR starts_with(error_message, 'persist:')"),
+    "suspicious_runs": (suspicious_runs, f"SELECT run_id, status, coalesce(e, 0) AS n_evaluations, coalesce(k, 0) AS n_tools, error_message FROM {RUNS} LEFT JOIN (SELECT l_orderkey AS run_id, count(*) AS e FROM lineitem GROUP BY 1) USING (run_id) LEFT JOIN (SELECT user_id AS run_id, count(*) AS k FROM events GROUP BY 1) USING (run_id) WHERE (e IS NULL AND status IN ('COMPLETED', 'TERMINATED_EARLY')) OR starts_with(error_message, 'persist:')"),
     "latest_run_per_claim": (latest_run_per_claim, f"SELECT claim_id, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY started_at DESC, run_id DESC) AS n FROM {RUNS}) WHERE n = 1"),
     "llm_cost_by_model": (llm_cost_by_model, f"SELECT provider, model, {_TOTALS} FROM {_CALLS} GROUP BY provider, model"),
     "job_llm_totals": (job_llm_totals, f"SELECT job_id, {_TOTALS} FROM {_CALLS} GROUP BY job_id"),
     "tool_ok_rate": (tool_ok_rate, f"SELECT model, count(*) FILTER (ok) AS n_ok, round(avg(ok::INTEGER), 6) AS ok_rate, max(event_id) AS last_call FROM {_CALLS} GROUP BY model"),
     "call_history": (call_history, f"SELECT event_id, model, ms FROM {_CALLS} WHERE provider = 'click' ORDER BY ts DESC, event_id LIMIT 50"),
     "batch_statuses": (batch_statuses, _BATCHES),
+    "build_phases": (build_phases, _PHASES),
     "review_transitions": (review_transitions, _REVIEW),
     "node_rollup": (node_rollup, RESULTS_SQL + _rollup_sql("'DENY', 'STOP'") + " SELECT * FROM roll"),
     "summary_rollup": (summary_rollup, RESULTS_SQL + _rollup_sql(_ADV) + " SELECT claim_id, shape_id, terminated_here, matched_types FROM roll"),
     "trace_steps": (trace_steps, RESULTS_SQL + _STEPS + " SELECT * FROM steps"),
     "trace_with_tools": (trace_with_tools, RESULTS_SQL + _STEPS + _TRACE_TOOLS),
-    "explainability": (explainability, RESULTS_SQL + _STEPS + f" SELECT claim_id, shape_id, sop_id, {_FOLD} AS final_status, count(*) AS n_steps, arg_min(step, first_index) FILTER (status NOT IN ('Met', 'Skipped')) AS first_failing FROM steps GROUP BY claim_id, shape_id, sop_id"),
+    "explainability": (explainability, RESULTS_SQL + _STEPS + f" SELECT claim_id, shape_id, sop_id, {_FOLD} AS final_status, count(*) AS n_steps, arg_min(step_key, first_index) FILTER (status NOT IN ('Met', 'Skipped')) AS first_failing FROM steps GROUP BY claim_id, shape_id, sop_id"),
     "claim_audit_status": (claim_audit_status, RESULTS_SQL + _STEPS + _CLAIM),
 }
