@@ -291,18 +291,38 @@ def test_pieces_and_places(spark, monkeypatch):
         assert at <= 1024
 
 
-def test_search_equals_brute_force(spark):
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_search_equals_brute_force(spark, spread):
     r = np.random.default_rng(4)
-    x = np.round(r.normal(size=(600, 8)), 2).astype(np.float32)
+    centres = r.normal(size=(12, 8))
+    x = np.round(centres[r.integers(0, 12, 900)] + spread * r.normal(size=(900, 8)), 2).astype(np.float32)
     x[50:80] = x[50]  # many equal vectors
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
-    out = top_k(table, block=32, pack=2).collect()
+    seen = {}
+    out = top_k(table, block=32, pack=3, seen=seen).collect()
     ints = np.floor(1024 * x.astype(float)).astype(int)
-    for q in range(0, 600, 100):
+    for q in range(0, 900, 100):
         scores = ints @ ints[q]
         want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
         got = sorted((x["rank"], -x["score"], x["vec_id"]) for x in out if x["query_id"] == q)
         assert [(s, i) for _, s, i in got] == want
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "32"
+    assert seen["vectors"] == 900 and (spread == 1.0 or seen["second"] < 600)  # clusters are told apart
+
+
+def test_index_blocks_and_packs():
+    from rulespan.llm.topk import merge_annuli, pack_cells
+
+    rows, of = merge_annuli([(0, 1, 5), (0, 3, 4), (0, 4, 9), (2, 0, 30), (2, 1, 1)], 10)
+    assert rows.tolist() == [[0, 1, 3, 9], [0, 4, 4, 9], [2, 0, 0, 30], [2, 1, 1, 1]]
+    assert of == [(0, 1, 0, 1), (0, 3, 0, 1), (0, 4, 1, 1), (2, 0, 2, 3), (2, 1, 3, 1)]
+    packs = pack_cells({0: 3, 1: 3, 2: 9, 3: 1}, np.array([[0.0], [10.0], [1.0], [2.0]]), 4)
+    taken = {}
+    for cell, first, parts in packs:
+        for p in range(parts):
+            taken.setdefault(first + p, []).append(cell)
+    assert sorted(c for c, *_ in packs) == [0, 1, 2, 3] and dict((c, p) for c, _, p in packs) == {0: 1, 1: 1, 2: 3, 3: 1}
+    assert sorted(taken) == list(range(len(taken))) and pack_cells({}, np.zeros((0, 1)), 4) == []
 
 
 def test_archive_round_trip():
