@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("execution", "text", "runs", "lookups", "ordered", "rules", "graphs", "documents", "writes", "streams", "nested")
+FAMILIES = ("execution", "text", "runs", "lookups", "ordered", "rules", "graphs", "documents", "writes", "streams", "nested", "scope")
 
 
 def all_queries() -> dict:
