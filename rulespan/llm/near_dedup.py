@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespan.llm.common import U64, WORD_POWERS, RangeHash, Slab, mix, per_document, slabs, small_batches, split_words, stage, windows
+from rulespan.llm.common import BATCH_ROWS, U64, WORD_POWERS, RangeHash, Slab, arrow_batches, mix, per_document, slabs, small_batches, split_words, stage, windows
 
 K = 4
 ENTRIES = 48
@@ -39,7 +39,7 @@ PICKS = 2
 SIMILARITY = 0.8
 CELLS = 1 << 20
 BAG, FINE_BAG = 64, 1024
-BLOCK = 128
+BLOCK, BLOCK_PAIRS = 1024, 16
 HUB_ROUNDS = 1
 _LOW = U64((1 << 24) - 1)
 _NONE = U64((1 << 64) - 1)
@@ -425,7 +425,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
             more = plausible(ordered(known.join(hubs, ["e", "h"]).filter("label != top.label").select("doc_id", F.col("top.doc_id").alias("hub"))), traits, similarity)
         else:
             more = pairs_apart(members, labels, traits, similarity)
-        more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        with arrow_batches(docs.sparkSession, BLOCK_PAIRS if turn == HUB_ROUNDS else BATCH_ROWS):  # a pair of blocks is one row
+            more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
         found = stage(verify(more, traits, similarity), "links")
