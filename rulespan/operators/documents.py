@@ -29,11 +29,14 @@ ELEMENTS = "doc_id long, ord int, parent int, depth int, tag string, anchor stri
 
 
 class _Elements(HTMLParser):
-    """Collects [ord, parent, depth, tag, id, href, text parts] of block tags."""
+    """Collects [ord, parent, depth, tag, id, href, first piece, last piece] of
+    block tags, and every piece of text once; an element's text is a range of
+    the pieces."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
+        self.pieces: list[str] = []
         self.open: list[tuple[str, int]] = []
         self.hidden = 0
 
@@ -41,43 +44,82 @@ class _Elements(HTMLParser):
         if tag in HIDDEN:
             self.hidden += 1
         while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
-            self.open.pop()
+            self._leave()
         if tag in BLOCKS and tag not in VOID:
             known = dict(attrs)
             parent = self.open[-1][1] if self.open else None
-            self.rows.append([len(self.rows), parent, len(self.open), tag, known.get("id") or "", (known.get("href") or "").strip(), []])
+            self.rows.append([len(self.rows), parent, len(self.open), tag, known.get("id") or "", (known.get("href") or "").strip(), len(self.pieces), None])
             self.open.append((tag, len(self.rows) - 1))
 
+    def _leave(self) -> str:
+        tag, i = self.open.pop()
+        self.rows[i][7] = len(self.pieces)
+        return tag
+
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag in (t for t, _ in self.open):
-            while self.open.pop()[0] != tag:
+            while self._leave() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden and data.strip():
-            for _, i in self.open:
-                self.rows[i][6].append(data.strip())
+        if self.open and not self.hidden and data.strip():
+            self.pieces.append(data)
+
+    def text(self, row: list) -> str:
+        """All text of an element."""
+        return " ".join(" ".join(self.pieces[row[6] : row[7]]).split())
+
+
+def _parsed(html: str | None) -> _Elements:
+    parser = _Elements()
+    parser.feed(html or "")
+    parser.close()
+    return parser
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
-    """Block elements of ``pages`` (doc_id, html) in document order."""
+    """Block elements of ``pages`` (doc_id, html) in document order, each with its
+    whole text; :func:`table_rows` reads tables without those around them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, html in zip(batch.column("doc_id").to_pylist(), batch.column("html").to_pylist()):
-                parser = _Elements()
-                parser.feed(html or "")
-                parser.close()
-                out += [(doc_id, *r[:6], " ".join(" ".join(r[6]).split())) for r in parser.rows]
+                parser = _parsed(html)
+                out += [(doc_id, *r[:6], parser.text(r)) for r in parser.rows]
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "ord", "parent", "depth", "tag", "anchor", "href", "text"])
 
     return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "html").mapInArrow(read, ELEMENTS)
 
 
+def table_rows(pages: DataFrame) -> DataFrame:
+    """(doc_id, tbl, row, cells, headers, head) of the tables of ``pages`` (doc_id,
+    html): the cells of a row, which of them are headers, and the cells of the
+    table's first row.  Cells follow their row, rows their table; one pass."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, html in zip(batch.column("doc_id").to_pylist(), batch.column("html").to_pylist()):
+                parser, at, tables = _parsed(html), {"table": None, "tr": None}, {}
+                for r in parser.rows:
+                    if r[3] in at:
+                        at[r[3]] = r[0]
+                    elif r[3] in ("td", "th"):
+                        tables.setdefault(at["table"], {}).setdefault(at["tr"], []).append((parser.text(r), r[3] == "th"))
+                for tbl, rows in tables.items():
+                    ordered = [rows[k] for k in sorted(rows, key=lambda k: (k is not None, k))]
+                    head = [t for t, _ in ordered[0]]
+                    out += [(doc_id, tbl, i, [t for t, _ in cells], [h for _, h in cells], head) for i, cells in enumerate(ordered)]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "tbl", "row", "cells", "headers", "head"])
+
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "html").mapInArrow(read, "doc_id long, tbl int, row int, cells array<string>, headers array<boolean>, head array<string>")
+
+
 def links(elements: DataFrame) -> DataFrame:
     """Links of each document, the first of an address kept, with their type.
     Empty addresses stay only where the text names a document."""
@@ -90,7 +132,7 @@ def links(elements: DataFrame) -> DataFrame:
 def anchors(elements: DataFrame) -> DataFrame:
     """In-page links with the element they lead to, if there is one."""
     targets = elements.filter("anchor <> ''").groupBy("doc_id", "anchor").agg(F.min("ord").alias("target"))
-    inside = elements.filter("tag = 'a' and href like '#_%'").withColumn("anchor", F.substring("href", 2, 1000))
+    inside = elements.filter("tag = 'a' and href like '#_%'").withColumn("anchor", F.expr("substring(href, 2)"))
     return inside.select("doc_id", "ord", "anchor").join(targets, ["doc_id", "anchor"], "left").withColumn("unresolved", F.col("target").isNull())
 
 
@@ -102,15 +144,10 @@ def dom_edges(elements: DataFrame) -> DataFrame:
     return child.union(sibling)
 
 
-def table_cells(elements: DataFrame) -> DataFrame:
-    """(doc_id, tbl, row, col, text, header) of tables; cells follow their row,
-    rows their table."""
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    mark = lambda tag: F.last(F.when(F.col("tag") == tag, F.col("ord")), True).over(w)
-    cells = elements.withColumn("tbl", mark("table")).withColumn("tr", mark("tr")).filter(F.col("tag").isin("td", "th"))
-    row = F.dense_rank().over(Window.partitionBy("doc_id", "tbl").orderBy("tr")) - 1
-    col = F.row_number().over(Window.partitionBy("doc_id", "tbl", "tr").orderBy("ord")) - 1
-    return cells.select("doc_id", "tbl", row.alias("row"), col.alias("col"), "text", (F.col("tag") == "th").alias("header"))
+def table_cells(rows: DataFrame) -> DataFrame:
+    """(doc_id, tbl, row, col, text, header) of table rows, a row a cell."""
+    each = rows.select("doc_id", "tbl", "row", F.posexplode(F.arrays_zip(F.col("cells").alias("text"), F.col("headers").alias("header"))).alias("col", "cell"))
+    return each.select("doc_id", "tbl", "row", "col", "cell.text", "cell.header")
 
 
 def step_tables(cells: DataFrame) -> DataFrame:
@@ -124,13 +161,14 @@ def step_tables(cells: DataFrame) -> DataFrame:
     return good.groupBy("doc_id", "tbl").agg(F.min("col").alias("col"), F.min_by("first_step", "col").alias("first_step"), F.min_by("n_steps", "col").alias("n_steps"))
 
 
-def decision_rows(cells: DataFrame) -> DataFrame:
+def decision_rows(rows: DataFrame) -> DataFrame:
     """Rows of if/then and if/and/then tables with disposition, codes and target;
     in three columns a blank first cell takes the one above."""
-    wide = cells.groupBy("doc_id", "tbl", "row").agg(*(F.max(F.when(F.col("col") == i, F.col("text"))).alias(f"c{i}") for i in range(3)), F.max("col").alias("last"))
-    heads = wide.filter("row = 0").select("doc_id", "tbl", F.lower("c0").alias("h0"), F.lower(F.when(F.col("last") >= 2, F.col("c2")).otherwise(F.col("c1"))).alias("h1"), (F.col("last") >= 2).alias("three"))
-    tables = heads.filter(F.col("h0").isin(*IF_WORDS) & F.col("h1").isin(*THEN_WORDS))
-    rows = wide.filter("row > 0").join(tables, ["doc_id", "tbl"])
+    cell = lambda column, i: F.get(column, F.lit(i))
+    three = F.size("head") >= 3
+    then_head = F.lower(F.when(three, cell("head", 2)).otherwise(cell("head", 1)))
+    rows = rows.filter(F.lower(cell("head", 0)).isin(*IF_WORDS) & then_head.isin(*THEN_WORDS) & (F.col("row") > 0))
+    rows = rows.select("doc_id", "tbl", "row", three.alias("three"), *(cell("cells", i).alias(f"c{i}") for i in range(3)))
     above = F.last(F.nullif("c0", F.lit("")), True).over(Window.partitionBy("doc_id", "tbl").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
     then = F.coalesce(F.when(F.col("three"), F.col("c2")).otherwise(F.col("c1")), F.lit(""))
     first = F.coalesce(F.when(F.col("three"), above).otherwise(F.col("c0")), F.lit(""))

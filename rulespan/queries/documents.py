@@ -32,7 +32,14 @@ def page_dom_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.anchors(elements(spark, sf_dir))
+    """Rendered contents lists: links to sections that are there, one that is not."""
+    long = "repeat('x', 1200)"
+    html = f"""concat('<div id="top"><h1 id="s', o_orderkey, '">T</h1><p><a href="#s', o_orderkey, '">one</a> <a href="#{{}}">two</a> <a href="#gone">three</a> <a href="#">none</a></p><p id="', {long}, '">P</p></div>')""".replace("#{}", "#', " + long + ", '")
+    return dc.anchors(dc.html_elements(fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{html} AS html"))).select("doc_id", "ord", F.length("anchor").alias("n"), "target", "unresolved")
+
+
+_ANCHORS = """SELECT o_orderkey AS doc_id, a.ord, CASE a.k WHEN 0 THEN length('s' || o_orderkey) ELSE a.n END::INTEGER AS n, a.target, a.target IS NULL AS unresolved
+FROM orders, (VALUES (0, 3, 0, 1), (1, 4, 1200, 7), (2, 5, 4, NULL)) AS a(k, ord, n, target)"""
 
 
 _TABLE = """concat('<html><body><h1>P ', o_orderkey, '</h1><table><tr><th>Step</th><th>Action</th></tr>',
@@ -42,11 +49,11 @@ _TABLE = """concat('<html><body><h1>P ', o_orderkey, '</h1><table><tr><th>Step</
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.table_cells(dc.html_elements(fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{_TABLE} AS html")))
+    return dc.table_rows(fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{_TABLE} AS html"))
 
 
 def step_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.step_tables(rendered(spark, sf_dir)).select("doc_id", "col", "first_step", "n_steps")
+    return dc.step_tables(dc.table_cells(rendered(spark, sf_dir))).select("doc_id", "col", "first_step", "n_steps")
 
 
 def decision_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,13 +101,14 @@ def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", dc.confidence(fields, (c("o_orderkey") % 4).cast("int")).alias("confidence"))
 
 
+_BLOCKS = f"""SELECT page_id AS doc_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(html, '(?s)<(script|style|noscript)[ >].*?</(script|style|noscript)>', '', 'g'), '(?i)<({"|".join(dc.BLOCKS)})[ />]', 1))) AS tag FROM pages) GROUP BY ALL"""
 _HAS = "o_orderkey IN (SELECT l_orderkey FROM lineitem)"
 QUERIES = {
     "page_links": (page_links, """SELECT doc_id, href, CASE WHEN regexp_matches(href, '\\.pdf$') THEN 'PDF' ELSE 'HTML_SOP' END AS link_type FROM (SELECT DISTINCT page_id AS doc_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) WHERE href NOT IN ('', '#')"""),
     "page_metadata": (page_metadata, "SELECT page_id AS doc_id, contains(html, '<title>') AS titled, NULL::VARCHAR AS effective_date FROM pages"),
-    "page_blocks": (page_blocks, None),
+    "page_blocks": (page_blocks, _BLOCKS),
     "page_dom_edges": (page_dom_edges, None),
-    "page_anchors": (page_anchors, None),
+    "page_anchors": (page_anchors, _ANCHORS),
     "step_tables": (step_tables, "SELECT o_orderkey AS doc_id, 0 AS col, (o_orderkey % 4 + 1)::INTEGER AS first_step, 2::BIGINT AS n_steps FROM orders WHERE o_orderkey % 3 > 0"),
     "decision_tables": (decision_tables, _DECISIONS),
     "claim_text_lines": (claim_text_lines, _LINES),
