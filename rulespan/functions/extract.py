@@ -73,7 +73,7 @@ def resolve_goto(text: Column, nav_op: Column, nav_step: Column, current: Column
 
 def as_list(values: Column) -> Column:
     """Trimmed entries without blanks and lone dashes."""
-    return F.filter(F.transform(F.filter(values, lambda v: v.isNotNull()), F.trim), lambda v: (v != "") & (v != "-"))
+    return F.filter(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.trim(v)), lambda v: (v != "") & (v != "-"))
 
 
 def code_type(code: Column) -> Column:
