@@ -18,7 +18,6 @@ from rulespan.queries.execution import RESULTS_SQL, results, tool_runs
 from rulespan.queries.runs import _STEPS, _FOLD, traced
 
 c = F.col
-O, K = "orders", F.col("o_orderkey")
 
 
 def pick(index, *values) -> F.Column:
@@ -46,7 +45,7 @@ _REF = """SELECT p_partkey AS sop_id, CASE WHEN p_partkey % 3 > 0 THEN p_name EL
 
 def date_condition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    rows = fx.table(spark, sf_dir, O).select((c("o_custkey") % 9).alias("sop_id"), F.when(K % 2 == 0, day).alias("date_from"), F.lit("").alias("date_to"), F.concat(day, F.repeat(F.lit("x"), F.lit(40))).alias("effective_date"), F.when(K % 3 == 0, "ctx").otherwise("").alias("context"), F.lit("text").alias("context_text"), F.lit(None).cast("string").alias("source_field"), c("o_orderstatus").alias("applies_to"))
+    rows = fx.table(spark, sf_dir, "orders").select((c("o_custkey") % 9).alias("sop_id"), F.when(c("o_orderkey") % 2 == 0, day).alias("date_from"), F.lit("").alias("date_to"), F.concat(day, F.repeat(F.lit("x"), F.lit(40))).alias("effective_date"), F.when(c("o_orderkey") % 3 == 0, "ctx").otherwise("").alias("context"), F.lit("text").alias("context_text"), F.lit(None).cast("string").alias("source_field"), c("o_orderstatus").alias("applies_to"))
     return r.date_condition_rows(rows)
 
 
@@ -79,8 +78,8 @@ def endpoint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def branch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fx.table(spark, sf_dir, O)
-    steps = o.select((c("o_custkey") % 400).alias("sop_id"), (K % 23).alias("number"), (K % 7).alias("yes"), F.when(K % 3 == 0, K % 31).alias("no")).distinct()
+    o = fx.table(spark, sf_dir, "orders")
+    steps = o.select((c("o_custkey") % 400).alias("sop_id"), (c("o_orderkey") % 23).alias("number"), (c("o_orderkey") % 7).alias("yes"), F.when(c("o_orderkey") % 3 == 0, c("o_orderkey") % 31).alias("no")).distinct()
     rows = fx.table(spark, sf_dir, "lineitem").select((c("l_orderkey") % 400).alias("sop_id"), (c("l_partkey") % 25).alias("number"), (c("l_suppkey") % 40).alias("skip_to"))
     return r.branch_edges(steps, rows)
 
@@ -91,8 +90,8 @@ SELECT e.* FROM e JOIN k a ON a.sop_id = e.sop_id AND a.n = source JOIN k b ON b
 
 
 def goto_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fx.table(spark, sf_dir, O)
-    relations = o.select(K.alias("position"), (c("o_custkey") % 700).alias("source"), (K * 7 % 900).alias("target"), F.when(K % 3 > 0, "GOTO").otherwise("NEXT").alias("rel"))
+    o = fx.table(spark, sf_dir, "orders")
+    relations = o.select(c("o_orderkey").alias("position"), (c("o_custkey") % 700).alias("source"), (c("o_orderkey") * 7 % 900).alias("target"), F.when(c("o_orderkey") % 3 > 0, "GOTO").otherwise("NEXT").alias("rel"))
     entities = spark.range(900).select("id", F.when(c("id") % 4 > 0, (c("id") % 12).cast("int")).alias("step_number"))
     return r.goto_targets(relations, entities)
 
@@ -107,7 +106,7 @@ SELECT p AS parent_id, c_custkey AS child_id, c_custkey % 4 AS depth FROM custom
 
 
 def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fx.table(spark, sf_dir, O).select((c("o_custkey") % 500).alias("doc_id"), (K % 19).cast("int").alias("page"))
+    pages = fx.table(spark, sf_dir, "orders").select((c("o_custkey") % 500).alias("doc_id"), (c("o_orderkey") % 19).cast("int").alias("page"))
     entities = fx.table(spark, sf_dir, "events").select((c("user_id") % 500).alias("doc_id"), F.when(c("event_id") % 6 > 0, (c("event_id") % 21).cast("int")).alias("page"))
     return r.page_coverage(pages, entities).withColumn("missing_pages", F.array_join(F.transform("missing_pages", lambda p: p.cast("string")), ","))
 
@@ -129,8 +128,8 @@ FROM (SELECT p_partkey, s, len(s) AS n FROM (SELECT p_partkey, list_filter(list_
 
 
 def question_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, O).join(fx.table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), "o_orderkey", "left")
-    steps = rows.select(K.alias("number"), F.when(K % 4 > 0, c("o_orderpriority")).alias("question"), F.when(K % 3 == 0, "y").otherwise("").alias("branch_yes"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+    rows = fx.table(spark, sf_dir, "orders").join(fx.table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), "o_orderkey", "left")
+    steps = rows.select(c("o_orderkey").alias("number"), F.when(c("o_orderkey") % 4 > 0, c("o_orderpriority")).alias("question"), F.when(c("o_orderkey") % 3 == 0, "y").otherwise("").alias("branch_yes"), F.coalesce("n", F.lit(0)).alias("n_rows"))
     return r.rowless_questions(steps).select("number")
 
 
@@ -172,8 +171,8 @@ _SHAPES = RESULTS_SQL + _STEPS + f""" SELECT claim_id, shape_id, {_FOLD} AS audi
 
 
 def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fx.table(spark, sf_dir, O)
-    steps = o.select((c("o_custkey") % 800).alias("doc_id"), K.alias("step"), F.when(K % 3 == 0, (K % 50).cast("int")).alias("page"))
+    o = fx.table(spark, sf_dir, "orders")
+    steps = o.select((c("o_custkey") % 800).alias("doc_id"), c("o_orderkey").alias("step"), F.when(c("o_orderkey") % 3 == 0, (c("o_orderkey") % 50).cast("int")).alias("page"))
     return dc.page_ranges(steps)
 
 

@@ -3,20 +3,27 @@ customers as precondition sections; procedures grow with the customers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.operators import scope as s
 from rulespan.queries import fixtures as fx
 
 c = F.col
-SOP, STEP = F.floor(c("o_custkey") / 40).cast("int"), (c("o_orderkey") % 9 + 1).cast("int")
 _D = "(SELECT o_custkey // 40 AS sop_id, o_orderkey % 9 + 1 AS step_number, o_orderkey AS row_index, o_orderkey % 7 = 0 AS oos, o_custkey, 'step:' || (o_custkey // 40) || ':' || (o_orderkey % 9 + 1) || ':' || o_orderkey AS rule_key FROM orders)"
 
 
+def sop_of() -> Column:
+    return F.floor(c("o_custkey") / 40).cast("int")
+
+
+def step_of() -> Column:
+    return (c("o_orderkey") % 9 + 1).cast("int")
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fx.table(spark, sf_dir, "orders")
-    rows = o.select(SOP.alias("sop_id"), STEP.alias("step_number"), c("o_orderkey").cast("int").alias("row_index"), (c("o_orderkey") % 7 == 0).alias("is_out_of_scope"), "o_custkey")
+    rows = o.select(sop_of().alias("sop_id"), step_of().alias("step_number"), c("o_orderkey").cast("int").alias("row_index"), (c("o_orderkey") % 7 == 0).alias("is_out_of_scope"), "o_custkey")
     return rows.withColumn("rule_key", F.concat_ws(":", F.lit("step"), "sop_id", "step_number", "row_index"))
 
 
@@ -79,7 +86,7 @@ def rule_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, o = fx.table(spark, sf_dir, "customer"), fx.table(spark, sf_dir, "orders")
     node = lambda k: F.concat(F.lit("pre_"), c(k).cast("string"), F.lit("_r1"))
     whole = m.filter("c_custkey % 3 = 0").select(F.floor(c("c_custkey") / 40).cast("int").alias("sop_id"), node("c_custkey").alias("source"), F.concat(F.lit("step_"), (c("c_custkey") % 11).cast("string")).alias("target"))
-    one = o.filter("o_orderkey % 6 = 0").select(SOP.alias("sop_id"), node("o_custkey").alias("source"), F.concat(F.lit("step_"), STEP.cast("string"), F.lit("_d"), c("o_orderkey").cast("string")).alias("target"))
+    one = o.filter("o_orderkey % 6 = 0").select(sop_of().alias("sop_id"), node("o_custkey").alias("source"), F.concat(F.lit("step_"), step_of().cast("string"), F.lit("_d"), c("o_orderkey").cast("string")).alias("target"))
     return s.overrides(rules(spark, sf_dir), whole.union(one))
 
 
