@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from rulespan.llm.common import crc_mod, plain_names
 from rulespan.llm.features import ONE, quality_features, quality_size, training_rows
 
-DIMS = 16
+DIMS = 8
 POSITIVES = 3000
 FOLDS = 5
 THRESHOLD = 0.3
 RIDGE = 1e-4
-TOLERANCE = 0.2
+TOLERANCE = 0.1
 
 
 @dataclass(frozen=True)
