@@ -45,10 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def up_to(rows: DataFrame, key: str, last: int | None) -> DataFrame:
-    return rows if last is None else rows.filter(rows[key] <= last)
-
-
 PHRASES = Rows(
     "k int, phrase string",
     list(
