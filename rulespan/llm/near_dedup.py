@@ -294,14 +294,17 @@ def pairs_apart(members: DataFrame, labels: DataFrame, traits: DataFrame, simila
 
     A bucket's members are dealt to blocks of about ``BLOCK``, and each pair of
     blocks is one row, so no task holds a bucket and only what is left of the
-    pairs is written.
+    pairs is written; with ``entries`` in ``traits`` a pair that meets in
+    several buckets is written for the first of them only.
     """
+    sketched = "entries" in traits.columns
+    carried = ["n", "bag", "fine", *(["entries"] if sketched else [])]
     known, apart = labelled(members, labels)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = known.join(apart, ["e", "h"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(traits.select("doc_id", "n", "bag", "fine"), "doc_id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(traits.select("doc_id", *carried), "doc_id")
     ends = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    groups = rows.select("e", "h", *ends, F.struct("doc_id", "n", "label", "own", "bag", "fine").alias("x")).groupBy("e", "h", "i", "j").agg(F.collect_list("x").alias("xs"))
+    groups = rows.select("e", "h", *ends, F.struct("doc_id", "label", "own", *carried).alias("x")).groupBy("e", "h", "i", "j").agg(F.collect_list("x").alias("xs"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,6 +313,8 @@ def pairs_apart(members: DataFrame, labels: DataFrame, traits: DataFrame, simila
             flat = xs.flatten()
             ids, n, label, own = (flat.field(c).to_numpy() for c in ("doc_id", "n", "label", "own"))
             coarse, fine = _bags(flat.field("bag"), BAG), _bags(flat.field("fine"), FINE_BAG)
+            entry = np.repeat(batch.column("e").to_numpy(), sizes)
+            sketch = flat.field("entries").flatten().to_numpy().reshape(len(ids), -1) if sketched else None
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
             two = np.repeat(batch.column("i").to_numpy() != batch.column("j").to_numpy(), sizes)
             sizes = np.repeat(sizes, sizes)
@@ -329,10 +334,12 @@ def pairs_apart(members: DataFrame, labels: DataFrame, traits: DataFrame, simila
                     ok = could_link(n[a], n[b], coarse[a], coarse[b], similarity)
                     a, b = a[ok], b[ok]
                     ok = could_link(n[a], n[b], fine[a], fine[b], similarity)
+                    if sketched:
+                        ok &= ((sketch[a] == sketch[b]) & (sketch[a] != 0)).argmax(1) == entry[a]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
                 s = e
 
-    return groups.select("i", "j", "xs").mapInArrow(cross, "a long, b long").distinct()
+    return groups.select("e", "i", "j", "xs").mapInArrow(cross, "a long, b long").distinct()
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -403,7 +410,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     twins = shared.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     distinct = rows.filter(f"n >= {k}").join(copies, ["k1", "k2"]).filter("doc_id = rep")
-    traits = distinct.select("doc_id", "n", "bag", "fine", "words")
+    traits = distinct.select("doc_id", "n", "bag", "fine", "words", "entries")
     buckets = distinct.select("doc_id", F.posexplode("entries").alias("e", "h")).filter("h != 0")
     ends = buckets.groupBy("e", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi").select("e", "h", "lo")
     members = stage(buckets.join(ends, ["e", "h"]), "members")
