@@ -71,11 +71,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.fill_middle import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespan.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_order_minhash, op2_mixing, op3_quality_pu, op4_toxicity_ordinal, op5_substring_dedup,
         op6_language_id, op7_warc, op8_topk, op9_packing, op10_quality_rules,
+        op11_centroids, op12_fill_middle, op13_neighbours,
     )
 }
 
@@ -158,4 +177,59 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": _OP7, "op8_topk": _OP8, "op5_substring_dedup": _OP5, "op10_quality_rules": _OP10}
+
+def _op11(rounds: int = 10, clusters: int = 8) -> str:
+    """The rounds one after another: ``a`` holds distance * clusters + number."""
+    turns = """, a{i} AS MATERIALIZED (
+  SELECT r, min(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::HUGEINT * {k} + c.n) AS best
+  FROM v CROSS JOIN c{i} AS c GROUP BY r
+)"""
+    means = """, m{i} AS (
+  SELECT n, i, CASE WHEN s % q < 0 THEN s // q - 1 ELSE s // q END AS y
+  FROM (SELECT (best % {k})::INTEGER AS n, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS q FROM v JOIN a{i} USING (r), range(1, 65) AS t(i) GROUP BY ALL)
+), c{j} AS MATERIALIZED (
+  SELECT n, coalesce(y, c.x) AS x FROM c{i} AS c LEFT JOIN (SELECT n, list(y::BIGINT ORDER BY i) AS y FROM m{i} GROUP BY n) USING (n)
+)"""
+    steps = "".join((turns + means).format(i=i, j=i + 1, k=clusters) for i in range(rounds)) + turns.format(i=rounds, k=clusters)
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, x) - 1)::INTEGER AS n, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {clusters})
+){steps}
+SELECT vec_id, (best % {clusters})::INTEGER AS cluster, (best // {clusters})::BIGINT AS distance,
+  sum(best // {clusters}) OVER (PARTITION BY best % {clusters})::BIGINT AS cluster_inertia, sum(best // {clusters}) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} AS c ON c.n = best % {clusters}
+"""
+
+
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS us, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d
+), f AS (
+  SELECT *, len(us) AS n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), s AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM f
+), p AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(list_slice(us, 1, a), ''), '') AS prefix,
+    coalesce(array_to_string(list_slice(us, a + 1, b), ''), '') AS middle, coalesce(array_to_string(list_slice(us, b + 1, n), ''), '') AS suffix
+  FROM s
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": _OP7, "op8_topk": _OP8, "op5_substring_dedup": _OP5, "op10_quality_rules": _OP10, "op11_centroids": _op11(), "op12_fill_middle": _OP12,
+}
