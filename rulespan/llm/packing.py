@@ -28,6 +28,13 @@ from rulespan.llm.common import numbered, small_batches, stage
 CAPACITY = 1024
 END_ID = 2
 CACHE = 600_000
+# Runs of blanks from this length on are tokenised without the pattern, whose
+# look-ahead needs stack for each blank.
+LONG_RUN = 1000
+SLICE = 1 << 20
+# What the pattern takes for a blank, and those of one byte.
+UNICODE_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ASCII_BLANK = b"\t\n\x0b\x0c\r "
 # Fixed value: the pre-tokenising pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -70,19 +77,61 @@ class ChunkTokenizer(dict):
         special = {w for w in vocab if w.startswith("<|")}
         for w in special:
             ranks.pop(w.encode(), None)
-        self.encode = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.long_runs = re.compile(f"[{UNICODE_BLANK}]{{{LONG_RUN},}}").finditer
+        blanks = {w: i for w, i in ranks.items() if w and not w.strip(ASCII_BLANK)}
+        self.single, self.double = np.zeros(256, "<u4"), np.zeros(256, "<u4")
+        for w, i in blanks.items():
+            (self.single if len(w) == 1 else self.double)[w[0]] = i
+        self.by_rule = set(ASCII_BLANK) <= {w[0] for w in blanks if len(w) == 1} and all(len(w) == 1 or w in (w[:1] * 2,) for w in blanks)
         self.uneven = re.compile(r" (?:\s|\Z)").search
         self.parts = re.compile(r" (?=\S)").split
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self[chunk] = array("I", self.encode(" " + chunk)).tobytes()
+        ids = self.encode(" " + chunk)
+        if len(chunk) < LONG_RUN:
+            self[chunk] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        """The ids of a text without added tokens.  All but the last blank of a
+        long run is one word of the pattern, the last one goes with what
+        follows; at the end of a text the whole run is one."""
+        if len(text) < LONG_RUN:
+            return array("I", self.encoding.encode_ordinary(text)).tobytes()
+        out, at = [], 0
+        for run in self.long_runs(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += [array("I", self.encoding.encode_ordinary(text[at : run.start()])).tobytes(), *self.blank_run(text[run.start() : end])]
+            at = end
+        return b"".join([*out, array("I", self.encoding.encode_ordinary(text[at:])).tobytes()])
+
+    def blank_run(self, run: str) -> Iterator[bytes]:
+        """The ids of one word of blanks.  Where the vocabulary joins blanks to
+        doubles only, every stretch of one blank is doubles from its start and
+        a single if it is odd; it may be cut at any even place."""
+        data = run.encode()
+        if not self.by_rule or data.strip(ASCII_BLANK):
+            yield array("I", self.encoding._encode_single_piece(data)).tobytes()
+            return
+        x, at = np.frombuffer(data, np.uint8), 0
+        while at < len(x):
+            part = x[at : at + SLICE]
+            heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            if at + len(part) < len(x) and (len(part) - heads[-1]) % 2:  # its last stretch may go on
+                part = part[:-1]
+                heads = heads[heads < len(part)]
+            at += len(part)
+            odd = (np.arange(len(part)) - np.repeat(heads, np.diff(np.r_[heads, len(part)]))) % 2 == 1
+            joined = np.r_[odd[1:], False] & (self.double[part] > 0)
+            ids = np.where(joined, self.double[part], self.single[part])
+            yield ids[~(odd & (self.double[part] > 0))].tobytes()
+
     def ids(self, text: str) -> bytes:
         head, *rest = self.parts(text) if self.uneven(text) else text.split(" ")
-        return array("I", self.encode(head)).tobytes() + b"".join(map(self.__getitem__, rest))
+        return self.encode(head) + b"".join(map(self.__getitem__, rest))
 
     def document_ids(self, text: str) -> bytes:
         """As the library at its default settings: the file's added tokens
@@ -232,7 +281,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A
     null text is an empty one and still has its end id; equal rows are packed
     each; documents over ``capacity`` tokens are cut from their end, so only
-    the first piece may be shorter; an empty table gives an empty result.
+    the first piece may be shorter; an empty table gives an empty result.  A
+    text of any length, long runs of blanks included, is tokenised whole in
+    the task that holds it, at four bytes an id; pieces of equal length are
+    dealt by a hash of their document and number, so ties are settled alike on
+    every run.  Other columns, whatever their names, are not read.
     The driver sees at most ``capacity`` counts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -519,3 +519,28 @@ def test_classifiers_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]][0] for r in held]) > 0.95
     graded = [r for r in toxicity(docs, known).collect() if r["held_out"]]
     assert np.mean([r["toxic"] == bool(truth[r["doc_id"]][1]) for r in graded]) > 0.95
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n", "\n\n\t \n", " \xa0", " "])
+def test_long_blank_runs_tokenise_like_the_library(monkeypatch, blank):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_tokenizer())
+    mine = tokenizer(default_tokenizer())
+    for cut in (packing.SLICE, 1001):
+        monkeypatch.setattr(packing, "SLICE", cut)
+        for n in (999, 1000, 1001, 2003, 20_000):
+            run = (blank * n)[:n]
+            for text in (run, f"a{run}", f"{run}b", f"a{run}b c{run} d{run}\n\ne's{run}", f"x {run} y"):
+                assert np.frombuffer(mine.document_ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_blank_runs_of_millions_are_packed(spark):
+    runs = [" " * 1_000_000, "\t" * 5_000_000, "\n" * 3_000_001, "a" + "\n" * 1_500_000 + "b", "　" * 1_000_000 + "c", "word " * 3]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    total = Counter()
+    for r in pack(docs).collect():
+        total[r["doc_id"]] += r["length"]
+    assert [total[i] for i in (0, 1, 2, 3)] == [1_000_001, 5_000_001, 1_500_002, 750_004]
+    mine = tokenizer(default_tokenizer())
+    assert len(mine.document_ids("\n" * 50_000_000)) == 4 * 25_000_000
