@@ -1,7 +1,7 @@
-"""Procedure documents rendered for every order in one of three shapes, and what
+"""Procedure documents rendered for every customer in one of three shapes, and what
 each operator on sections, steps and tables has to read in them.
 
-Expected rows are written out by shape; ``{k}`` stands for the order's key in
+Expected rows are written out by shape; ``{k}`` stands for the customer's key in
 documents and rows alike.
 """
 
@@ -44,13 +44,13 @@ SHAPES = [
 <td><table><tr><td>Reason Code list</td><td>Look at all of the codes<ul><li>W46 late</li><li>W47 <ul><li>F24 odd</li></ul></li></ul></td></tr></table></td></tr></table>
 <table><tr><td colspan="3">A wide headline of {k}</td></tr></table>""",
 ]
-_RENDERED = "CASE o_orderkey % 3 " + " ".join(f"WHEN {i} THEN {fx.literal(s)}" for i, s in enumerate(SHAPES)) + " END"
+_RENDERED = "CASE c_custkey % 3 " + " ".join(f"WHEN {i} THEN {fx.literal(s)}" for i, s in enumerate(SHAPES)) + " END"
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = fx.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("doc_id"))
+    keys = fx.table(spark, sf_dir, "customer").select(c("c_custkey").alias("doc_id"))
     shapes = fx.Rows("shape int, html string", list(enumerate(SHAPES))).spark(spark)
-    both = orders.withColumn("shape", (c("doc_id") % 3).cast("int")).join(F.broadcast(shapes), "shape")
+    both = keys.withColumn("shape", (c("doc_id") % 3).cast("int")).join(F.broadcast(shapes), "shape")
     return both.select("doc_id", F.replace("html", F.lit("{k}"), c("doc_id").cast("string")).alias("html"))
 
 
@@ -281,11 +281,11 @@ EXPECTED = {
 
 
 def statement(schema: str, rows: list[tuple]) -> str:
-    """The rows of each order's shape, with its key for ``{k}``."""
+    """The rows of each customer's shape, with its key for ``{k}``."""
     table = fx.Rows(schema, rows)
     text = {part.split()[0] for part in schema.split(", ") if part.endswith(" string")}
-    columns = ", ".join(f"replace({n}, '{{k}}', o_orderkey::VARCHAR) AS {n}" if n in text else n for n in table.names if n != "shape")
-    return f"SELECT o_orderkey AS doc_id, {columns} FROM orders JOIN {table.sql()} AS v ON v.shape = o_orderkey % 3"
+    columns = ", ".join(f"replace({n}, '{{k}}', c_custkey::VARCHAR) AS {n}" if n in text else n for n in table.names if n != "shape")
+    return f"SELECT c_custkey AS doc_id, {columns} FROM customer JOIN {table.sql()} AS v ON v.shape = c_custkey % 3"
 
 
 _FUNCTIONS = (document_metadata, business_fields, labelled_sections, section_items, document_steps, step_branches, step_notes, document_notes, step_inventory, group_limits, reference_lists, sub_procedures)
