@@ -62,7 +62,7 @@ def test_chains_end_and_rings_do_not(spark):
 
 
 def test_odd_reports(spark):
-    lines = [("r", 0, "| RULE-1 | a |"), ("r", 1, "- x/My sop.yaml"), ("r", 2, "| RULE-1 | `a`, b, not specified, |"), ("r", 3, "| RULE_2 of 3 | Same as RULE-1 and RULE-3 | more |"), ("r", 4, "| RULE-2-1 | same as rule-2-1 |"), ("r", 5, None), ("r", 6, "|"), ("r", 7, "| RULE-4 |  |"), ("r", 8, "- other.yaml"), ("r", 9, "| RULE-2 | same as RULE-1 |"), ("q", 1, "| RULE-1 | z |"), ("r", 10, "| RULE-2 | c |")]
+    lines = [("r", 0, "| RULE-1 | a |"), ("r", 1, "- x/My sop.yaml"), ("r", 2, "| RULE-1 | `a`, b, , |"), ("r", 3, "| RULE_2 of 3 | Same as RULE-1 and RULE-3 | more |"), ("r", 4, "| RULE-2-1 | same as rule-2-1 |"), ("r", 5, None), ("r", 6, "|"), ("r", 7, "| RULE-4 |  |"), ("r", 8, "- other.yaml"), ("r", 9, "| RULE-2 | same as RULE-1 |"), ("q", 1, "| RULE-1 | z |"), ("r", 10, "| RULE-2 | c |")]
     found = pt.report_tools(pt.report_cells(spark.createDataFrame(lines, "report string, ord int, line string")))
     assert {(x["document"], x["rule_id"]): x["tools"] for x in found.collect()} == {("My sop.yaml", "RULE-1"): ["a", "b"], ("My sop.yaml", "RULE-2"): ["a", "b"], ("My sop.yaml", "RULE-2-1"): [], ("My sop.yaml", "RULE-4"): [], ("other.yaml", "RULE-2"): ["c"]}
 
