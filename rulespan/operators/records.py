@@ -133,7 +133,9 @@ def rowless_questions(steps: DataFrame) -> DataFrame:
 
 def remaining_budgets(records: DataFrame, by: str, order: str, tokens: str, total: int = 130_000, most: int = 110_000, least: int = 5_000) -> DataFrame:
     """What each tool record of a group may take: what the records before it have
-    left of ``total``, held between ``least`` and ``most``."""
+    left of ``total``, held between ``least`` and ``most``.  ``tokens`` is what
+    a record took in the end; where that is yet to be found, see
+    :func:`rulespan.operators.compaction.compacted`."""
     spent = F.coalesce(F.sum(tokens).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return records.withColumn("budget", F.greatest(F.lit(least), F.least(F.lit(most), F.lit(total) - spent)))
 

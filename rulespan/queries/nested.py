@@ -14,7 +14,7 @@ c = F.col
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fx.table(spark, sf_dir, "orders")
-    text = F.concat(F.lit('{"a":{"k":"first","cpt":"99213GT"},"note":null,"list":[{"k":"'), c("o_orderstatus"), F.lit('"},{"k":""}],"npi":"1'), F.lpad(c("o_orderkey").cast("string"), 9, "0"), F.lit('","row_id":5,"fileName":"x.pdf","updatedBy":"me","per":1,"comments":"c","lineComment":"d","GridId":7,"version":2,"audit":"kept","unit":"N/A"}'))
+    text = F.concat(F.lit('{"a":{"k":"first","cpt":"99213GT"},"note":null,"list":[{"k":"'), c("o_orderstatus"), F.lit('"},{"k":""}],"npi":"1'), F.lpad(c("o_orderkey").cast("string"), 9, "0"), F.lit('","row_id":5,"fileName":"x.pdf","updatedBy":"me","per":1,"comments":"c","lineComment":"d","GridId":7,"version":2,"audit":"kept","unit":"N/A","PROC_DT":"20240101","processedDate":20240102,"svcSrvCd":"h0031HN"}'))
     return o.select("o_orderkey", text.alias("j"))
 
 
@@ -43,8 +43,8 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "deep_find": (deep_find, "SELECT o_orderkey, o_orderstatus AS last_first, 'first' AS first, '99213,99213GT' AS codes, '1' || lpad(o_orderkey::VARCHAR, 9, '0') AS npi FROM orders"),
-    "json_prune": (json_prune, """SELECT o_orderkey, '{"a": {"cpt": "99213GT", "k": "first"}, "audit": "kept", "list": [{"k": "' || o_orderstatus || '"}, {}], "npi": "1' || lpad(o_orderkey::VARCHAR, 9, '0') || '", "version": 2}' AS pruned FROM orders"""),
+    "deep_find": (deep_find, "SELECT o_orderkey, o_orderstatus AS last_first, 'first' AS first, '99213,99213GT,H0031,H0031HN' AS codes, '1' || lpad(o_orderkey::VARCHAR, 9, '0') AS npi FROM orders"),
+    "json_prune": (json_prune, """SELECT o_orderkey, '{"PROC_DT": "20240101", "a": {"cpt": "99213GT", "k": "first"}, "audit": "kept", "list": [{"k": "' || o_orderstatus || '"}, {}], "npi": "1' || lpad(o_orderkey::VARCHAR, 9, '0') || '", "processedDate": 20240102, "svcSrvCd": "h0031HN", "version": 2}' AS pruned FROM orders"""),
     "json_salvage": (json_salvage, """SELECT event_id, '[{"k": ' || regexp_extract(props, '([0-9]+)', 1) || '}, {"k": ' || regexp_extract(props, '([0-9]+)', 1) || '}]' AS kept, '{"k": ' || regexp_extract(props, '([0-9]+)', 1) || '}' AS found FROM events"""),
     "fuzzy_match": (fuzzy_match, "SELECT p_partkey, ['Harbor Behavioral Gold', 'Community Medicaid', 'Standard Medicare', 'Choice Plus Commercial', 'Standard Medicare'][p_partkey % 5 + 1] AS name, p_partkey % 5 NOT IN (2, 4) AS close FROM part"),
 }

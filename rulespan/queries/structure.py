@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulespan.operators import compaction as cp
 from rulespan.operators import pointers as pt
 from rulespan.operators import scans as sn
 from rulespan.plans import draft as dr
 from rulespan.queries import fixtures as fx
-from rulespan.sources.staging import stage
+from rulespan.sources import runs as rn
+from rulespan.sources.staging import shared_folder, stage
 
 c = F.col
 CAPTURED = fx.Rows("name string", [("facets_get_summary",), ("npi_registry_lookup",), ("doc360_read_claim_by_fln_dcc",), ("facets_get_summary",)])
@@ -227,6 +229,44 @@ def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MISSING = f"WITH {_S} SELECT s_suppkey AS doc_id, p::INTEGER AS page FROM supplier, range(1, 25) AS v(p) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = s_suppkey AND s.page = p)"
 
+TOTAL, MOST, LEAST = 600, 500, 40
+
+
+def tool_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as tool records of texts up to 600 characters, within
+    small budgets."""
+    k = c("o_orderkey")
+    text = F.call_function("repeat", F.lit("x"), (k * 37 % 601).cast("int"))
+    records = fx.table(spark, sf_dir, "orders").select(c("o_custkey").alias("claim_id"), k.alias("ord"), F.concat(F.lit('{"tool": "t", "result": "'), text, F.lit('"}')).alias("record"))
+    claims = fx.table(spark, sf_dir, "customer").select(c("c_custkey").alias("claim_id"), F.lit('{"cpt": "99213"}').alias("claim"))
+    return cp.compacted(records, claims, TOTAL, MOST, LEAST).select("claim_id", "ord", "budget", "tokens", F.length("record").alias("chars"))
+
+
+# A cut text begins with a quote, which takes two characters, and may end with one.
+_CUT = "CASE WHEN n + 2 > 3 * b THEN 3 * b + 1 ELSE n + 4 END + length((n + 2)::VARCHAR) + 66"
+_COMPACTED = f"""WITH RECURSIVE r AS (SELECT o_custkey AS claim_id, o_orderkey AS ord, o_orderkey * 37 % 601 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+w AS (SELECT claim_id, 0 AS i, NULL::BIGINT AS ord, {TOTAL}::BIGINT AS left_, NULL::BIGINT AS b, NULL::BIGINT AS t, NULL::BIGINT AS chars FROM r WHERE i = 1
+  UNION ALL SELECT claim_id, i, ord, left_ - (chars // 3 + 1), b, chars // 3 + 1, chars FROM (SELECT *, CASE WHEN (n + 2) // 3 + 1 > b THEN {_CUT} ELSE n + 27 END AS chars
+    FROM (SELECT r.claim_id, r.i, r.ord, r.n, left_, greatest({LEAST}, least({MOST}, left_)) AS b FROM w JOIN r ON r.claim_id = w.claim_id AND r.i = w.i + 1)))
+SELECT claim_id, ord, b AS budget, t AS tokens, chars::INTEGER AS chars FROM w WHERE i > 0"""
+
+
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders saved as runs with their lines: even ones go through, odd ones stop at
+    a line that cannot be written."""
+    folder = shared_folder(spark)
+    orders = fx.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("run_id"), F.when(c("o_orderkey") % 3 == 0, "RUNNING").otherwise("TERMINATED_EARLY").alias("status"))
+    lines = fx.table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("run_id"), "l_linenumber")
+    for odd in (0, 1):
+        mine = lines.filter(c("run_id") % 2 == odd)
+        rows = mine.withColumn("l_linenumber", F.when((F.lit(odd) == 1) & (c("run_id") % 101 == 50), F.raise_error(F.lit("broken line")).cast("int")).otherwise(c("l_linenumber")))
+        rn.save_runs(folder, orders.filter(c("run_id") % 2 == odd), {"evaluations": rows, "tools": mine})
+    kept = rn.saved(spark, folder, "evaluations").groupBy("run_id").agg(F.count("*").alias("n"))
+    return rn.saved(spark, folder, "runs").join(kept, "run_id", "left").select("run_id", "status", (c("error_message") != "").alias("failed"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+
+
+_SAVED = "SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 2 = 1 THEN 'FAILED' WHEN o_orderkey % 3 = 0 THEN 'COMPLETED' ELSE 'TERMINATED_EARLY' END AS status, o_orderkey % 2 = 1 AS failed, CASE WHEN o_orderkey % 2 = 1 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_rows FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
+
 QUERIES = {
     "report_tools": (report_tools, _TOOLS),
     "captured_tools": (captured_tools, _CAPTURED),
@@ -240,4 +280,6 @@ QUERIES = {
     "stitched_tables": (stitched_tables, _STITCHED),
     "whole_pages": (whole_pages, _PAGES),
     "missing_pages": (missing_pages, _MISSING),
+    "tool_compaction": (tool_compaction, _COMPACTED),
+    "saved_runs": (saved_runs, _SAVED),
 }
