@@ -31,13 +31,17 @@ ELEMENTS = "doc_id long, ord int, parent int, depth int, tag string, anchor stri
 class _Elements(HTMLParser):
     """Collects [ord, parent, depth, tag, id, href, first piece, last piece] of
     block tags, and every piece of text once; an element's text is a range of
-    the pieces."""
+    the pieces.  ``own`` has for each element the pieces that are in no other
+    element of its tag below it, so a piece is noted once a tag at most and
+    markup that is never closed stays linear."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.pieces: list[str] = []
         self.open: list[tuple[str, int]] = []
+        self.inner: dict[str, list[int]] = {}
+        self.own: list[list[str]] = []
         self.hidden = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -49,23 +53,29 @@ class _Elements(HTMLParser):
             known = dict(attrs)
             parent = self.open[-1][1] if self.open else None
             self.rows.append([len(self.rows), parent, len(self.open), tag, known.get("id") or "", (known.get("href") or "").strip(), len(self.pieces), None])
+            self.own.append([])
             self.open.append((tag, len(self.rows) - 1))
+            self.inner.setdefault(tag, []).append(len(self.rows) - 1)
 
     def _leave(self) -> str:
         tag, i = self.open.pop()
+        self.inner[tag].pop()
         self.rows[i][7] = len(self.pieces)
         return tag
 
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag in (t for t, _ in self.open):
+        elif self.inner.get(tag):
             while self._leave() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
         if self.open and not self.hidden and data.strip():
             self.pieces.append(data)
+            for open_ in self.inner.values():
+                if open_:
+                    self.own[open_[-1]].append(data)
 
     def text(self, row: list) -> str:
         """All text of an element."""
@@ -81,14 +91,16 @@ def _parsed(html: str | None) -> _Elements:
 
 def html_elements(pages: DataFrame) -> DataFrame:
     """Block elements of ``pages`` (doc_id, html) in document order, each with its
-    whole text; :func:`table_rows` reads tables without those around them."""
+    text but that of elements of its own tag inside it: links, titles and
+    headings, which do not nest, have all of theirs.  Texts of whole subtrees
+    are read with :mod:`rulespan.operators.markup`."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, html in zip(batch.column("doc_id").to_pylist(), batch.column("html").to_pylist()):
                 parser = _parsed(html)
-                out += [(doc_id, *r[:6], parser.text(r)) for r in parser.rows]
+                out += [(doc_id, *r[:6], " ".join(" ".join(own).split())) for r, own in zip(parser.rows, parser.own)]
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "ord", "parent", "depth", "tag", "anchor", "href", "text"])
 
@@ -176,14 +188,6 @@ def decision_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tbl", "row", first.alias("condition_if"), also.alias("condition_and"), then.alias("action"), d.classify_decision_document(then).alias("decision"), x.document_codes(F.concat_ws(" ", first, also, then)).alias("codes"), F.regexp_extract(then, r"[Ss]kip\s+to\s+[Ss]tep\s+([0-9]+)", 1).try_cast("int").alias("skip_to"))
 
 
-def metadata(elements: DataFrame) -> DataFrame:
-    """Title (title tag, else first heading) and effective and revision dates."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("parent").isNull(), F.struct("ord", "text")))), lambda s: s["text"]), " ")
-    rows = elements.groupBy("doc_id").agg(F.min_by("text", F.when(F.col("tag") == "title", F.col("ord"))).alias("t"), F.min_by("text", F.when(F.col("tag") == "h1", F.col("ord"))).alias("h"), text.alias("whole"))
-    date = lambda p: F.nullif(F.regexp_extract("whole", p, 1), F.lit(""))
-    return rows.select("doc_id", F.coalesce(F.nullif("t", F.lit("")), "h").alias("title"), date(r"(?i)effective\s+date[:\s]*([0-9/-]+)").alias("effective_date"), date(r"(?i)revision\s+date[:\s]*([0-9/-]+)").alias("revision_date"))
-
-
 # Fixed value: the layout of a service line in a claim's print image.
 SERVICE_LINE = r"^\s*\|\s*([0-9]{6})\s+([0-9]{6})\s*\|\s*([0-9]{2})\s*\|\s*([A-Z0-9]{0,2})\s*\|\s*([0-9]{5})\s*((?:\s+[A-Z0-9]{2,4}){0,4})\s*\|\s*([A-L]{1,4}|[0-9]{1,4})\s*\|\s*([0-9]+\.[0-9]{2})\s*\|\s*([0-9]+(?:\.[0-9]+)?)\s*\|\s*([0-9]{4})\s*\|\s*([NY])\s*\|"
 TOTALS = r"\|\s*([0-9]{9})\s+(?:EIN|SSN)\s*\|\s*([A-Z0-9]+)\s*\|\s*([A-Z/ ]+?)\s*\|\s*([0-9]+\.[0-9]{2})\s*\|\s*(\.?[0-9]+\.?[0-9]*)\s*\|"

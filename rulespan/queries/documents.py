@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.operators import documents as dc
+from rulespan.operators import markup as mk
+from rulespan.operators import sections as sc
 from rulespan.queries import fixtures as fx
+from rulespan.sources.staging import stage
 
 c = F.col
 
@@ -20,7 +23,11 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.metadata(elements(spark, sf_dir)).select("doc_id", c("title").isNotNull().alias("titled"), "effective_date")
+    """Titles of pages, and the dates of a line that is added to each third one."""
+    dated = F.when(c("page_id") % 3 == 0, F.concat(F.lit("<p>Original <b>effective</b> date: 01/"), (c("page_id") % 28 + 1).cast("string"), F.lit("/2024, revision date 2-3-25</p>"))).otherwise("")
+    pages = fx.table(spark, sf_dir, "pages").select(c("page_id").alias("doc_id"), F.concat("html", dated).alias("html"))
+    found = stage(mk.nodes(pages))
+    return sc.metadata(found, sc.table_cells(found))
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +110,11 @@ def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BLOCKS = f"""SELECT page_id AS doc_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(html, '(?s)<(script|style|noscript)[ >].*?</(script|style|noscript)>', '', 'g'), '(?i)<({"|".join(dc.BLOCKS)})[ />]', 1))) AS tag FROM pages) GROUP BY ALL"""
 _HAS = "o_orderkey IN (SELECT l_orderkey FROM lineitem)"
+_METADATA = r"""SELECT page_id AS doc_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+  CASE WHEN page_id % 3 = 0 THEN '01/' || (page_id % 28 + 1) || '/2024' ELSE '' END AS effective_date, CASE WHEN page_id % 3 = 0 THEN '2-3-25' ELSE '' END AS revision_date FROM pages"""
 QUERIES = {
     "page_links": (page_links, """SELECT doc_id, href, CASE WHEN regexp_matches(href, '\\.pdf$') THEN 'PDF' ELSE 'HTML_SOP' END AS link_type FROM (SELECT DISTINCT page_id AS doc_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) WHERE href NOT IN ('', '#')"""),
-    "page_metadata": (page_metadata, "SELECT page_id AS doc_id, contains(html, '<title>') AS titled, NULL::VARCHAR AS effective_date FROM pages"),
+    "page_metadata": (page_metadata, _METADATA),
     "page_blocks": (page_blocks, _BLOCKS),
     "page_dom_edges": (page_dom_edges, None),
     "page_anchors": (page_anchors, _ANCHORS),

@@ -56,3 +56,11 @@ def test_group_tables_of_a_document_are_those_within_others(spark):
     rows, cells = sc.table_rows(found), sc.table_cells(found)
     out = sc.document_groups(found, rows, cells, sc.step_tables(rows, cells)).collect()
     assert [(r["ord"], r["group_name"], r["limit_months"], r["limit_days"]) for r in out] == [(0, "A", 3, None)]
+
+
+def test_unclosed_elements_keep_linear_texts(spark):
+    from rulespan.operators import documents as dc
+
+    for piece in ("<div>x", "<ul><li>x", "<blockquote><div>x</b>"):
+        out = dc.html_elements(spark.createDataFrame([(1, piece * 20_000)], "doc_id long, html string"))
+        assert out.selectExpr("sum(length(text))").first()[0] <= 4 * 20_000
