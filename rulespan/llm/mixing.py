@@ -27,20 +27,23 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     """How many documents of each length to take so that their sum comes as
     close to ``budget`` from below as the search can bring it.
 
-    Most of the budget is spread evenly over the lengths and long ones fill it
-    up to ``SLACK`` words, which bounds the table of the bounded knapsack that
-    then picks, of all documents left, the largest sum that fits.
+    What the budget has over the table's size is spread evenly over the lengths
+    and long ones fill it up; the bounded knapsack then picks, of all documents
+    left, the largest sum that fits.  Its table is ``SLACK`` words and two of
+    the longest document long, so a budget up to that is searched whole, and
+    beyond there is room to do without any document that was spread.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (max(0, budget) / max(1, total))).astype(np.int64)
+    room = SLACK + 2 * int(lengths.max(initial=0))
+    take = np.floor(counts * (max(0, budget - room) / max(1, total))).astype(np.int64)
     take[lengths <= 0] = 0
     left = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
-        if lengths[i] > 0 and left > SLACK:
-            more = min(int(counts[i] - take[i]), max(0, left - SLACK) // int(lengths[i]))
+        if lengths[i] > 0 and left > room:
+            more = min(int(counts[i] - take[i]), (left - room) // int(lengths[i]))
             take[i] += more
             left -= more * int(lengths[i])
     if left <= 0:
@@ -53,13 +56,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             n = min(size, free)
             items.append((int(i), n, n * int(lengths[i])))
             free, size = free - n, size * 2
-    reach, inside, via = 1, (1 << (left + 1)) - 1, {0: -1}
+    reach, inside, via = 1, (1 << (left + 1)) - 1, np.full(left + 1, -1, np.int32)
     for number, (_, _, weight) in enumerate(items):
         fresh = (reach << weight) & inside & ~reach
         if not fresh:
             continue
         bits = np.unpackbits(np.frombuffer(fresh.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
-        via.update(dict.fromkeys(np.flatnonzero(bits).tolist(), number))
+        via[np.flatnonzero(bits)] = number
         reach |= fresh
         if reach >> left & 1:
             break

@@ -178,6 +178,32 @@ def test_budget_search_finds_the_best_sum():
         assert max(s for s in sums if s <= budget) - got <= max(lengths)
 
 
+def best_sum(lengths, counts, budget):
+    sums = {0}
+    for n, c in zip(lengths, counts):
+        sums = {s + int(n) * k for s in sums for k in range(c + 1) if s + int(n) * k <= budget}
+    return max(sums)
+
+
+def test_budgets_about_the_table_s_size_are_met(monkeypatch):
+    from rulespan.llm import mixing
+
+    for lengths, counts, budget in (([70_001, 70_003], [5, 5], 420_010), ([60_000, 40_001, 3], [3, 3, 2], 120_003), ([200_000, 7], [2, 1], 200_007)):
+        take = fit_budget(np.array(lengths), np.array(counts), budget)
+        assert int((take * np.array(lengths)).sum()) == budget == best_sum(lengths, counts, budget)
+    r = random.Random(4)
+    monkeypatch.setattr(mixing, "SLACK", 64)
+    for _ in range(200):
+        lengths = np.array(sorted(r.sample(range(1, 90), r.randint(1, 5))))
+        counts = np.array([r.randint(0, 12) for _ in lengths])
+        budget = r.randint(0, int((lengths * counts).sum()) + 5)
+        take = fit_budget(lengths, counts, budget)
+        got = int((take * lengths).sum())
+        assert (take <= counts).all() and (take >= 0).all() and got <= budget
+        best = best_sum(lengths, counts, budget)
+        assert got == best if budget <= 64 + 2 * lengths.max() else best - got <= lengths.max()
+
+
 def test_mix_targets_and_reruns(spark):
     r = random.Random(2)
     rows = [(i, prose(i, r.randint(1, 60)), None, s) for i in range(400) for s in [r.choices(["a", "b", "c", "d", None], [9, 3, 3, 1, 1])[0]]]
