@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("execution", "text", "runs", "lookups", "ordered", "rules", "graphs", "documents", "writes", "streams", "nested", "scope", "coverage", "records", "summaries", "workflow", "docgraph", "printimage", "sections", "structure")
+FAMILIES = ("execution", "text", "runs", "lookups", "ordered", "rules", "graphs", "documents", "writes", "streams", "nested", "scope", "coverage", "records", "summaries", "workflow", "docgraph", "printimage", "sections", "structure", "views")
 
 
 def all_queries() -> dict:
