@@ -193,3 +193,19 @@ def fallback_rows(members: DataFrame, entities: DataFrame, gotos: DataFrame, rea
         "doc_id", "step_number", "node_id", "parent_id", "ord", F.when(c("type").isin(*CONDITIONS), said).otherwise("").alias("condition_if"), F.when(c("type").isin(*ACTIONS), said).otherwise("").alias("action"),
         "skip_to_step", mentions(F.lower("text"), *OUT_OF_SCOPE).alias("is_out_of_scope"),
     )
+
+
+def quality_gate(plan: DataFrame, built: DataFrame, sections: DataFrame, problems: DataFrame) -> DataFrame:
+    """(doc_id, planned, built, missing, sections, n_problems, complete) of each
+    planned document: step numbers planned (doc_id, step_number) and built, those
+    that are missing, how many sections it has, and how many ``problems``
+    (doc_id) its draft has; complete where nothing is missing and none is left."""
+    steps = plan.filter("step_number is not null").select("doc_id", "step_number").distinct()
+    made = built.filter("step_number is not null").select("doc_id", "step_number").distinct()
+    listed = lambda rows, name: rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("step_number")).alias(name))
+    out = plan.select("doc_id").distinct()
+    for name, rows in (("planned", steps), ("built", made), ("missing", steps.join(made, ["doc_id", "step_number"], "left_anti"))):
+        out = out.join(listed(rows, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
+    for name, rows in (("sections", sections), ("n_problems", problems)):
+        out = out.join(rows.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out.withColumn("complete", (F.size("missing") == 0) & (c("n_problems") == 0))

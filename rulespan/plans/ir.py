@@ -128,6 +128,22 @@ def merge_routing(draft: DataFrame, patch: DataFrame, declared: DataFrame) -> Da
     return draft.join(ok, ["sop_id", "rule_id"], "left").withColumn("goto_step", F.coalesce("goto_step", "patched")).drop("patched")
 
 
+def reclassified(decisions: DataFrame) -> DataFrame:
+    """``decisions`` (decision_type, action_text, condition_if, output_text, ...)
+    with ``new_type``, read from action, condition and output in that order;
+    the planner reads other texts.  Rows whose type stays are kept too, so the
+    table can be written back as a whole."""
+    filled = [F.nullif(F.coalesce(F.col(n), F.lit("")), F.lit("")) for n in ("action_text", "condition_if", "output_text")]
+    return decisions.withColumn("new_type", d.classify_decision(F.concat_ws(" ", *filled)))
+
+
+def transitions(decisions: DataFrame) -> DataFrame:
+    """(decision_type, new_type, n) of reclassified rows whose type changes; a
+    dry run is this count without the write."""
+    changed = decisions.filter(~F.col("decision_type").eqNullSafe(F.col("new_type")))
+    return changed.groupBy("decision_type", "new_type").agg(F.count("*").alias("n"))
+
+
 def split_sections(decisions: DataFrame, size: int = 6) -> DataFrame:
     """Canvas parts of the decisions (sop_id, step, section, depth, row_index) of
     each step: ``label`` and ``part``, counted from 0.

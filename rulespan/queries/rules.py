@@ -155,7 +155,19 @@ def ir_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERSION = """SELECT c_custkey AS sop_id, sha256(CASE WHEN c_custkey % 2 = 0 THEN '{"a":"1","b":"' || c_mktsegment || '"}' ELSE '{"a":"2","b":"x"}' END) AS digest, 2 AS version FROM customer"""
 
 
+def reclassify_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of changes, of orders whose phrase is action, condition or output."""
+    rows = fx.phrased(spark, sf_dir)
+    at = lambda i: F.when(c("o_orderkey") % 3 == i, c("phrase"))
+    old = F.when(c("o_orderkey") % 4 == 0, "DENY").when(c("o_orderkey") % 4 == 1, "CONDITIONAL").when(c("o_orderkey") % 4 == 2, "PEND")
+    return ir.transitions(ir.reclassified(rows.select(old.alias("decision_type"), at(0).alias("action_text"), at(1).alias("condition_if"), at(2).alias("output_text"))))
+
+
+_RECLASSIFY = f"""SELECT old AS decision_type, new_type, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'DENY' WHEN 1 THEN 'CONDITIONAL' WHEN 2 THEN 'PEND' END AS old, {tq._CLASSIFY} AS new_type FROM {fx.PHRASED_SQL}) WHERE old IS DISTINCT FROM new_type GROUP BY ALL"""
+
+
 QUERIES = {
+    "reclassify_decisions": (reclassify_decisions, _RECLASSIFY),
     "ir_plan": (ir_plan, _PLAN),
     "ir_tree_depth": (ir_tree_depth, f"WITH RECURSIVE {_NODES} SELECT depth, count(*) AS n FROM walk GROUP BY depth"),
     "ir_validate": (ir_validate, _VALID),

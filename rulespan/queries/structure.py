@@ -267,6 +267,20 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SAVED = "SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 2 = 1 THEN 'FAILED' WHEN o_orderkey % 3 = 0 THEN 'COMPLETED' ELSE 'TERMINATED_EARLY' END AS status, o_orderkey % 2 = 1 AS failed, CASE WHEN o_orderkey % 2 = 1 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_rows FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
 
+def scan_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose plan has all lines of an order and whose steps the first
+    four; odd ones have a problem in their draft."""
+    e = entities(spark, sf_dir)
+    plan = e.select("doc_id", F.when(c("ord") != 3, c("ord")).alias("step_number"))
+    out = sn.quality_gate(plan, plan.filter("step_number <= 4"), e.filter("type = 'SECTION'"), e.filter("ord = 1 and doc_id % 2 = 1"))
+    text = lambda n: F.array_join(F.transform(n, lambda v: v.cast("string")), ",")
+    return out.withColumns({n: text(n) for n in ("planned", "built", "missing")})
+
+
+_QUALITY = f"""WITH e AS ({_E}), g AS (SELECT k, coalesce(string_agg(ln::VARCHAR, ',' ORDER BY ln) FILTER (ln <> 3), '') AS planned, coalesce(string_agg(ln::VARCHAR, ',' ORDER BY ln) FILTER (ln <= 4 AND ln <> 3), '') AS built, coalesce(string_agg(ln::VARCHAR, ',' ORDER BY ln) FILTER (ln > 4), '') AS missing,
+  count(*) FILTER (ln IN (1, 5)) AS sections, count(*) FILTER (ln = 1 AND k % 2 = 1) AS n_problems FROM e GROUP BY k)
+SELECT k AS doc_id, planned, built, missing, sections, n_problems, missing = '' AND n_problems = 0 AS complete FROM g"""
+
 QUERIES = {
     "report_tools": (report_tools, _TOOLS),
     "captured_tools": (captured_tools, _CAPTURED),
@@ -280,6 +294,7 @@ QUERIES = {
     "stitched_tables": (stitched_tables, _STITCHED),
     "whole_pages": (whole_pages, _PAGES),
     "missing_pages": (missing_pages, _MISSING),
+    "scan_quality": (scan_quality, _QUALITY),
     "tool_compaction": (tool_compaction, _COMPACTED),
     "saved_runs": (saved_runs, _SAVED),
 }
