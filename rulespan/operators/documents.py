@@ -142,8 +142,10 @@ def links(elements: DataFrame) -> DataFrame:
 
 
 def anchors(elements: DataFrame) -> DataFrame:
-    """In-page links with the element they lead to, if there is one."""
-    targets = elements.filter("anchor <> ''").groupBy("doc_id", "anchor").agg(F.min("ord").alias("target"))
+    """In-page links with the element they lead to, if there is one.  Both sides
+    are merged: anchors may be long and alike, so their size on disk is no
+    measure for a broadcast."""
+    targets = elements.filter("anchor <> ''").groupBy("doc_id", "anchor").agg(F.min("ord").alias("target")).hint("merge")
     inside = elements.filter("tag = 'a' and href like '#_%'").withColumn("anchor", F.expr("substring(href, 2)"))
     return inside.select("doc_id", "ord", "anchor").join(targets, ["doc_id", "anchor"], "left").withColumn("unresolved", F.col("target").isNull())
 

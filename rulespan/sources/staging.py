@@ -25,3 +25,10 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(rows: DataFrame, key: str, most: int = 5_000) -> DataFrame:
+    """``rows`` of a table dealt by ``key`` over tasks of about ``most`` rows each,
+    for work that is heavy by row: a small table has one task or a few by its
+    size, and partitions without a number are merged by their size again."""
+    return rows.repartition(max(1, -(-rows.count() // most)), key)

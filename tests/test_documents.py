@@ -1,9 +1,11 @@
-"""Pages: references cut off."""
+"""Pages: references cut off, and how documents are dealt and joined."""
 
 from pyspark.sql import functions as F
 
+from rulespan.operators import documents as dc
 from rulespan.operators import markup as mk
 from rulespan.operators import sections as sc
+from rulespan.sources.staging import dealt
 
 
 def test_references_without_a_semicolon_stay(spark):
@@ -12,3 +14,21 @@ def test_references_without_a_semicolon_stay(spark):
     found = mk.nodes(pages)
     titles = {r["doc_id"]: r["title"] for r in sc.metadata(found, sc.table_cells(found)).collect()}
     assert titles == {1: "a&&amp", 2: "b &copy=1 & &#38 <i> & c", 3: ""}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_anchors_are_not_broadcast(spark):
+    pages = spark.createDataFrame([(1, '<h1 id="a">T</h1><a href="#a">x</a><a href="#b">y</a>')], "doc_id long, html string")
+    out = dc.anchors(dc.html_elements(pages))
+    assert "BroadcastHashJoin" not in plan(out)
+    assert sorted((r["anchor"], r["target"], r["unresolved"]) for r in out.collect()) == [("a", 0, False), ("b", None, True)]
+
+
+def test_rows_are_dealt_over_tasks(spark):
+    rows = dealt(spark.range(12_001).coalesce(1), "id")
+    assert rows.rdd.getNumPartitions() == 3
+    assert rows.count() == 12_001
+    assert dealt(spark.range(0), "id").count() == 0
