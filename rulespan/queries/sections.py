@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rulespan.operators import markup as mk
 from rulespan.operators import sections as sc
 from rulespan.queries import fixtures as fx
-from rulespan.sources.staging import stage
+from rulespan.sources.staging import dealt, stage
 
 c = F.col
 
@@ -48,16 +48,18 @@ _RENDERED = "CASE c_custkey % 3 " + " ".join(f"WHEN {i} THEN {fx.literal(s)}" fo
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = fx.table(spark, sf_dir, "customer").select(c("c_custkey").alias("doc_id"))
+    keys = dealt(fx.table(spark, sf_dir, "customer").select(c("c_custkey").alias("doc_id")), "doc_id")
     shapes = fx.Rows("shape int, html string", list(enumerate(SHAPES))).spark(spark)
     both = keys.withColumn("shape", (c("doc_id") % 3).cast("int")).join(F.broadcast(shapes), "shape")
     return both.select("doc_id", F.replace("html", F.lit("{k}"), c("doc_id").cast("string")).alias("html"))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, table rows and cells, each written once."""
-    found = stage(mk.nodes(rendered(spark, sf_dir)))
-    return found, sc.table_rows(found), stage(sc.table_cells(found))
+    """Nodes, table rows and cells, each written once.  They are merged, never
+    broadcast: texts repeat, so files and shuffles are far below their size in
+    memory, by which a broadcast would pass the driver."""
+    found = stage(mk.nodes(rendered(spark, sf_dir))).hint("merge")
+    return found, sc.table_rows(found), stage(sc.table_cells(found)).hint("merge")
 
 
 def flat(values: str) -> F.Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rulespan.operators import documents as dc
 from rulespan.operators import markup as mk
 from rulespan.operators import sections as sc
+from rulespan.queries import sections as qs
 from rulespan.sources.staging import dealt
 
 
@@ -27,6 +28,13 @@ def test_anchors_are_not_broadcast(spark):
     assert sorted((r["anchor"], r["target"], r["unresolved"]) for r in out.collect()) == [("a", 0, False), ("b", None, True)]
 
 
+def test_texts_of_documents_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    found, _, cells = qs.parsed(spark, str(tmp_path))
+    for out in (mk.with_text(found.select("doc_id", "node", "start", "stop"), found), sc.metadata(found, cells), sc.notes(found)):
+        assert "BroadcastHashJoin" not in plan(out)
+
+
 def test_rows_are_dealt_over_tasks(spark):
     rows = dealt(spark.range(12_001).coalesce(1), "id")
     assert rows.rdd.getNumPartitions() == 3
