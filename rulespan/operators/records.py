@@ -145,19 +145,32 @@ def recent_ascending(rows: DataFrame, order: list[str], most: int = 120) -> Data
     return rows.orderBy(*(F.desc(c) for c in order)).limit(most).orderBy(*order)
 
 
-def agents_rollup(evaluations: DataFrame, tools: DataFrame, defects: tuple[str, ...]) -> DataFrame:
-    """Per run and node: its evaluations (run_id, shape_id or null, rule_key,
-    order_index, matched, skipped, decision_type, early) and the bound tool
-    calls (run_id, shape_id, phase) but those that fetch and parse, matched
-    decisions in order, and whether the run ended here: at the first node, in
-    order of appearance, with a defect decision of a run that ended early."""
+def agent_nodes(evaluations: DataFrame, defects: tuple[str, ...]) -> DataFrame:
+    """Per run and node its evaluations (run_id, shape_id or null, rule_key,
+    order_index, matched, skipped, decision_type, early), matched decisions in
+    order, and whether the run ended here: at the first node, in order of
+    appearance, with a defect decision of a run that ended early."""
     shape = F.coalesce("shape_id", F.concat(F.lit("orphaned:"), "rule_key"))
     kind = F.upper(F.coalesce("decision_type", F.lit("")))
     fired = F.col("matched") & ~F.coalesce("skipped", F.lit(False)) & (kind != "")
     seen = F.array_sort(F.collect_list(F.when(fired, F.struct("order_index", kind.alias("k")))))
     nodes = evaluations.groupBy("run_id", shape.alias("shape_id")).agg(F.min("order_index").alias("first_index"), F.count("*").alias("n_evaluations"), F.array_distinct(F.transform(seen, lambda x: x["k"])).alias("matched_decisions"), F.bool_or("early").alias("early"))
-    inner = tools.filter(F.col("shape_id").isNotNull() & ~F.col("phase").isin("FETCH", "PARSE")).groupBy("run_id", "shape_id").agg(F.count("*").alias("n_tools"))
-    both = nodes.join(inner, ["run_id", "shape_id"], "full")
     bad = F.col("early") & F.arrays_overlap("matched_decisions", F.array(*map(F.lit, defects)))
     first = F.min(F.when(bad, F.col("first_index"))).over(Window.partitionBy("run_id"))
-    return both.select("run_id", "shape_id", F.coalesce("n_evaluations", F.lit(0)).alias("n_evaluations"), F.coalesce("n_tools", F.lit(0)).alias("n_tools"), F.coalesce("matched_decisions", F.array().cast("array<string>")).alias("matched_decisions"), F.coalesce(bad & (F.col("first_index") == first), F.lit(False)).alias("terminated_here"))
+    return nodes.select("run_id", "shape_id", "n_evaluations", "matched_decisions", F.coalesce(bad & (F.col("first_index") == first), F.lit(False)).alias("terminated_here"))
+
+
+def agent_tools(tools: DataFrame) -> DataFrame:
+    """Per run and node how many bound tool calls (run_id, shape_id, phase) it has
+    but those that fetch and parse."""
+    return tools.filter(F.col("shape_id").isNotNull() & ~F.col("phase").isin("FETCH", "PARSE")).groupBy("run_id", "shape_id").agg(F.count("*").alias("n_tools"))
+
+
+def agents_filled(both: DataFrame) -> DataFrame:
+    """Nodes and tool counts side by side; a node may have only one of them."""
+    return both.select("run_id", "shape_id", F.coalesce("n_evaluations", F.lit(0)).alias("n_evaluations"), F.coalesce("n_tools", F.lit(0)).alias("n_tools"), F.coalesce("matched_decisions", F.array().cast("array<string>")).alias("matched_decisions"), F.coalesce("terminated_here", F.lit(False)).alias("terminated_here"))
+
+
+def agents_rollup(evaluations: DataFrame, tools: DataFrame, defects: tuple[str, ...]) -> DataFrame:
+    """Per run and node: ``agent_nodes`` and ``agent_tools`` together."""
+    return agents_filled(agent_nodes(evaluations, defects).join(agent_tools(tools), ["run_id", "shape_id"], "full"))

@@ -58,15 +58,23 @@ def trace_steps(results: DataFrame, tools: DataFrame | None = None) -> DataFrame
     if tools is None:
         return steps
     used = results.select(*keys, F.explode("tool_results_used").alias("binding_id")).join(tools, ["claim_id", "binding_id"])
-    named = used.filter(F.coalesce("tool_name", F.lit("")) != "").groupBy(*keys).agg(
+    return marked_by_tools(steps.join(named_tools(used, keys), keys, "left"))
+
+
+def named_tools(used: DataFrame, keys: list[str]) -> DataFrame:
+    """Names of the tools ``used`` (keys, tool_name, ok), and of those that failed."""
+    return used.filter(F.coalesce("tool_name", F.lit("")) != "").groupBy(*keys).agg(
         F.array_sort(F.collect_set("tool_name")).alias("tools_used"),
         F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("tool_name")))).alias("tools_failed"),
     )
-    out = steps.join(named, keys, "left")
+
+
+def marked_by_tools(steps: DataFrame) -> DataFrame:
+    """Steps with the status that their ``tools_failed`` leave them."""
     failed = F.coalesce("tools_failed", F.array().cast("array<string>"))
     cover = F.arrays_overlap(failed, F.array(*map(F.lit, d.COVERAGE_TOOLS)))
     status = F.when(cover, "Not-Met").when((F.size(failed) > 0) & (F.col("status") != "Not-Met"), "Inconclusive").otherwise(F.col("status"))
-    return out.withColumn("status", status)
+    return steps.withColumn("status", status)
 
 
 def explainability(steps: DataFrame) -> DataFrame:
@@ -82,7 +90,16 @@ def explainability(steps: DataFrame) -> DataFrame:
 def claim_status(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """(claim_id, claim_status) of runs (claim_id, status, final_decision_type):
     run state, else the verdict, else the fold of the trace."""
-    folded = steps.groupBy("claim_id").agg(d.fold_audit_status(F.col("status")).alias("folded"))
+    return status_of(runs.join(folded(steps), "claim_id", "left"))
+
+
+def folded(steps: DataFrame) -> DataFrame:
+    """(claim_id, folded): the fold of each claim's trace."""
+    return steps.groupBy("claim_id").agg(d.fold_audit_status(F.col("status")).alias("folded"))
+
+
+def status_of(runs: DataFrame) -> DataFrame:
+    """The status of runs that hold the fold of their trace, see ``claim_status``."""
     decided = d.decision_status(F.col("final_decision_type"))
     status = (
         F.when(F.col("status") == "RUNNING", "IN_PROGRESS")
@@ -91,4 +108,4 @@ def claim_status(runs: DataFrame, steps: DataFrame) -> DataFrame:
         .when(decided != "", decided)
         .otherwise(F.coalesce("folded", F.lit("INCONCLUSIVE")))
     )
-    return runs.join(folded, "claim_id", "left").select("claim_id", status.alias("claim_status"))
+    return runs.select("claim_id", status.alias("claim_status"))
