@@ -37,11 +37,15 @@ def carry_down(rows: DataFrame, by: str, order: list[str], value: str) -> DataFr
 
 
 def fill_both_ways(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """Missing values take the one before, else the one after."""
+    """Missing values take the one before, else the one after.
+
+    Where nothing is before, what comes after is the first value of all, which
+    one frame over the whole group gives; a frame from each row on would read
+    the rest of the group for every row."""
     w = Window.partitionBy(by).orderBy(*order)
     before = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn(value, F.coalesce(before, after))
+    first = F.first(value, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumn(value, F.coalesce(before, first))
 
 
 def runs_of(rows: DataFrame, by: str, order: list[str], begins: Column) -> DataFrame:
