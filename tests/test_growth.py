@@ -14,3 +14,25 @@ def test_gaps_of_one_large_group_are_filled_in_one_pass(spark):
     rows = spark.range(n).select(F.lit(1).alias("g"), "id", F.when(F.col("id") == n - 1, 7).when(F.col("id") == n - 2, 8).alias("page"))
     df = ordered.fill_both_ways(rows, "g", ["id"], "page")
     assert {(x["page"], x["n"]) for x in df.groupBy("page").agg(F.count("*").alias("n")).collect()} == {(8, n - 1), (7, 1)}
+
+
+def test_requests_of_one_file_are_searched_by_several_tasks(spark):
+    k = F.col("id")
+    asked = spark.range(0, 12_000, 1, 1).select(
+        k.alias("request_id"), F.when(k % 4 == 0, (k % 3).cast("string")).alias("npi"), F.when(k % 5 > 0, F.concat(F.lit("L"), k % 3)).alias("last_name"),
+        F.when(k % 2 == 0, "F").when(k % 3 == 0, "").alias("first_name"), F.when(k % 7 == 0, "S").otherwise("").alias("state"),
+    )
+    records = spark.createDataFrame([(i, str(i % 3), f"L{i % 4}", "FG"[i % 2], "ST"[i % 5 == 0]) for i in range(24)] + [(99, None, None, "F", "S")], "record_id long, npi string, last_name string, first_name string, state string")
+    df = cv.optout_registry(asked, records)
+    want, known = set(), records.collect()
+    for a in asked.collect():
+        for r in known:
+            if a["npi"]:
+                fits = a["npi"] == r["npi"]
+            else:
+                fits = a["last_name"] and a["last_name"] == r["last_name"] and all(not a[n] or a[n] == r[n] for n in ("first_name", "state"))
+            if fits:
+                want.add((a["request_id"], r["record_id"]))
+    got = df.select("request_id", "record_id", F.spark_partition_id().alias("p")).collect()
+    assert {(x["request_id"], x["record_id"]) for x in got} == want and len(got) == len(want)
+    assert len({x["p"] for x in got if x["request_id"] % 4}) > 4
