@@ -48,22 +48,26 @@ def follow(links: DataFrame, key: str = "key", to: str = "to") -> DataFrame:
     is at the first ``to`` which is no key itself; null if it runs into a ring.
 
     Pointer doubling: every turn each key takes over where its target leads, so
-    a chain of n links takes log n joins.  A ring never ends; what has not ended
-    when chains of all keys would have is in one or leads into one.  A null
-    ``to`` ends a chain at once.  Keys must be unique.
+    chains of n links take log n joins.  Keys travel as numbers.  A key n links
+    from its end has one n - 1 links from it ahead, so a turn that ends no chain
+    is the last: what is left is in a ring or leads into one.  A null ``to``
+    ends a chain at once.  Keys must be unique.
     """
-    at = stage(links.select(c(key).alias("key"), c(to).alias("end"), c(to).isNull().alias("done")))
-    n, turns = at.count(), 0
-    while 1 << turns <= n:
-        ahead = at.select(c("key").alias("end"), c("end").alias("next"), c("done").alias("over"), F.lit(True).alias("known"))
-        both = at.join(ahead, "end", "left")
-        onward = ~c("done") & c("known").isNotNull()
-        done = c("done") | c("known").isNull() | (onward & c("over"))
-        at = stage(both.select("key", F.when(onward, c("next")).otherwise(c("end")).alias("end"), done.alias("done")))
-        turns += 1
-        if at.filter("not done").isEmpty():
+    rows = stage(links.select(F.monotonically_increasing_id().alias("id"), c(key).alias("key"), c(to).alias("to")))
+    ids = rows.select(c("key").alias("to"), c("id").alias("next"))
+    # a key whose target is no key ends its chain; it points to itself
+    at = stage(rows.select("id", "to").join(ids, "to", "left").select("id", F.coalesce("next", "id").alias("end"), c("next").isNull().alias("done")))
+    n, over = rows.count(), at.filter("done").count()
+    while over < n:
+        ahead = at.select(c("id").alias("end"), c("end").alias("next"), c("done").alias("ends"))
+        moved = stage(at.filter("not done").join(ahead, "end").select("id", c("next").alias("end"), c("ends").alias("done")))
+        ended = moved.filter("done").count()
+        at = at.filter("done").unionByName(moved)
+        if not ended:
             break
-    return at.select("key", F.when(c("done"), c("end")).alias("end"))
+        over += ended
+    last = at.filter("done").select("id", "end").join(rows.select(c("id").alias("end"), c("to").alias("to")), "end").select("id", "to")
+    return rows.select("id", "key").join(last, "id", "left").select("key", c("to").alias("end"))
 
 
 def report_cells(lines: DataFrame) -> DataFrame:

@@ -57,3 +57,12 @@ def test_lines_are_counted_against_packed_candidates(spark, monkeypatch):
     cs = spark.createDataFrame(cands, "cand_id long, k int, f long, t long").select("cand_id", "k", day("f").alias("low_date"), day("t").alias("high_date"))
     out = {x["line_id"]: x["filtered_claims_count"] for x in lk.duplicate_claims(ls, cs, ["k"]).collect()}
     assert out == {i: sum(k is not None and k == ck and f >= lo and hi is not None and t <= hi for _, ck, lo, hi in cands) for i, _, k, f, t in lines if t is not None}
+
+
+def test_rings_cost_no_more_turns_than_chains(spark, monkeypatch):
+    turns, stage = [], pt.stage
+    monkeypatch.setattr(pt, "stage", lambda df: turns.append(1) or stage(df))
+    links = [(i, i + 1) for i in range(10)] + [(100 + i, 100 + (i + 1) % 3000) for i in range(3000)]
+    out = {x["key"]: x["end"] for x in pt.follow(spark.createDataFrame(links, "key long, to long")).collect()}
+    assert out == {i: 10 for i in range(10)} | {100 + i: None for i in range(3000)}
+    assert len(turns) <= 7  # the rows, their ends, chains of 2, 4, 8 and 16 links, and a turn that ends none
