@@ -108,12 +108,12 @@ def captured_tools(tools: DataFrame, captured: DataFrame) -> DataFrame:
     captured names, once each in order, where calls (name) were captured, and
     the others with the reason."""
     names = F.map_from_arrays(F.array(*map(F.lit, CAPTURED_NAMES)), F.array(*(F.lit(v).cast("string") for v in CAPTURED_NAMES.values())))
-    each = tools.select("report", "document", "rule_id", F.posexplode("tools").alias("ord", "tool")).withColumns({"known": F.map_contains_key(names, c("tool")), "mapped": F.element_at(names, c("tool"))})
-    there = captured.select(c("name").alias("mapped"), F.lit(True).alias("there")).distinct()
-    each = each.join(F.broadcast(there) if captured.isLocal() else there, "mapped", "left")
-    gap = F.when(~c("known"), F.concat("tool", F.lit("(unknown)"))).when(c("mapped").isNull(), F.concat("tool", F.lit("(no-capture)"))).when(c("there").isNull(), F.concat("tool", F.lit("->"), "mapped", F.lit("(not-in-snapshot)")))
-    in_order = lambda v: F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct("ord", v.alias("v"))))), lambda s: s["v"])
-    listed = each.groupBy("report", "document", "rule_id").agg(F.array_distinct(in_order(F.when(c("there"), c("mapped")))).alias("captured"), in_order(gap).alias("gaps"))
-    none = F.array().cast("array<string>")
-    out = tools.select("report", "document", "rule_id").join(listed, ["report", "document", "rule_id"], "left")
-    return out.select("report", "document", "rule_id", F.coalesce("captured", none).alias("captured"), F.coalesce("gaps", none).alias("gaps"))
+    # of what was captured only names that tools map to matter, so they are one short row
+    there = captured.filter(c("name").isin(*filter(None, CAPTURED_NAMES.values()))).agg(F.collect_set("name").alias("_there"))
+    each = tools.select("report", "document", "rule_id", "tools").crossJoin(F.broadcast(there))
+    seen = lambda m: F.array_contains("_there", m)
+    mapped = lambda t: F.element_at(names, t)
+    gap = lambda t: F.when(~F.map_contains_key(names, t), F.concat(t, F.lit("(unknown)"))).when(mapped(t).isNull(), F.concat(t, F.lit("(no-capture)"))).when(~seen(mapped(t)), F.concat(t, F.lit("->"), mapped(t), F.lit("(not-in-snapshot)")))
+    some = lambda listed, keep: F.coalesce(F.filter(listed, keep), F.array().cast("array<string>"))
+    known = F.array_distinct(some(F.transform("tools", mapped), seen))
+    return each.select("report", "document", "rule_id", known.alias("captured"), some(F.transform("tools", gap), lambda g: g.isNotNull()).alias("gaps"))

@@ -66,3 +66,11 @@ def test_rings_cost_no_more_turns_than_chains(spark, monkeypatch):
     out = {x["key"]: x["end"] for x in pt.follow(spark.createDataFrame(links, "key long, to long")).collect()}
     assert out == {i: 10 for i in range(10)} | {100 + i: None for i in range(3000)}
     assert len(turns) <= 7  # the rows, their ends, chains of 2, 4, 8 and 16 links, and a turn that ends none
+
+
+def test_captured_tools_stay_in_their_row(spark):
+    tools = spark.createDataFrame([("r", "d", "1", ["doc360", "odd", "doc360", "medicare_optout", "npi_registry"]), ("r", "d", "2", []), ("r", "d", "3", None)], "report string, document string, rule_id string, tools array<string>")
+    seen = spark.createDataFrame([("doc360_read_claim_by_fln_dcc",), ("other",), (None,)], "name string")
+    df = pt.captured_tools(tools, seen)
+    assert {x["rule_id"]: (x["captured"], x["gaps"]) for x in df.collect()} == {"1": (["doc360_read_claim_by_fln_dcc"], ["odd(unknown)", "medicare_optout(no-capture)", "npi_registry->npi_registry_lookup(not-in-snapshot)"]), "2": ([], []), "3": ([], [])}
+    assert [x["gaps"] for x in pt.captured_tools(tools, seen.limit(0)).orderBy("rule_id").collect()][0][0] == "doc360->doc360_read_claim_by_fln_dcc(not-in-snapshot)"
