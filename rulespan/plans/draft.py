@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespan.plans.ir import apply_structure
-from rulespan.sources.staging import stage
+from rulespan.sources.staging import dealt, stage
 
 c = F.col
 
@@ -65,7 +65,8 @@ def draft_rows(rules: DataFrame) -> DataFrame:
 
     A row without an id is numbered below its parent.  Entries that are no
     objects are skipped but keep their number.  Reading stops at 1,000 levels,
-    which is where JSON readers stop.
+    which is where JSON readers stop.  Rows are dealt over tasks at each level, as
+    nested texts are heavy to read and small in files.
     """
     r = c("row")
 
@@ -76,10 +77,10 @@ def draft_rows(rules: DataFrame) -> DataFrame:
         made = F.concat("owner", F.lit("-"), F.when(c("ord") < 999, F.lpad(number, 3, "0")).otherwise(number))
         return each.withColumn("node_id", F.coalesce(F.nullif(field(r, "subrule_id"), F.lit("")), made))
 
-    level = stage(opened(rules, "rule_id", listed(c("_step"), "decision_rows", "rows")).withColumn("parent_id", F.lit(None).cast("string")))
+    level = stage(opened(dealt(rules, "sop_id"), "rule_id", listed(c("_step"), "decision_rows", "rows")).withColumn("parent_id", F.lit(None).cast("string")))
     read = level
     while not level.isEmpty():
-        level = stage(opened(level, "node_id", listed(r, "subrules", "children")).withColumn("parent_id", c("owner")))
+        level = stage(opened(dealt(level, "sop_id", 20_000), "node_id", listed(r, "subrules", "children")).withColumn("parent_id", c("owner")))
         read = read.unionByName(level)
     target = whole_number(F.coalesce(F.nullif(F.nullif(field(r, "skip_to_step"), F.lit("")), F.lit("0")), field(r, "goto_step")))
     one = lambda text: F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))

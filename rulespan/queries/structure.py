@@ -12,7 +12,7 @@ from rulespan.operators import scans as sn
 from rulespan.plans import draft as dr
 from rulespan.queries import fixtures as fx
 from rulespan.sources import runs as rn
-from rulespan.sources.staging import shared_folder, stage
+from rulespan.sources.staging import dealt, shared_folder, stage
 
 c = F.col
 CAPTURED = fx.Rows("name string", [("facets_get_summary",), ("npi_registry_lookup",), ("doc360_read_claim_by_fln_dcc",), ("facets_get_summary",)])
@@ -66,7 +66,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = text('{"if":"B","then":"go","goto_step":"7","subrule_id":"X', k, '","applicable_when":"w"}')
     number = F.when(k % 7 == 0, "null").otherwise((k % 5 + 1).cast("string"))
     step = text('{"number":', number, ',"question":"Q', k, '","conditions":["c",""],"terminal_action":"end","decision_rows":[', chain, ',"no row",', other, "]}")
-    return fx.table(spark, sf_dir, "customer").select(k.alias("sop_id"), step.alias("step"))
+    return dealt(fx.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("sop_id"), step.alias("step"))
 
 
 def draft_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,11 @@ def test_captured_tools_stay_in_their_row(spark):
     df = pt.captured_tools(tools, seen)
     assert {x["rule_id"]: (x["captured"], x["gaps"]) for x in df.collect()} == {"1": (["doc360_read_claim_by_fln_dcc"], ["odd(unknown)", "medicare_optout(no-capture)", "npi_registry->npi_registry_lookup(not-in-snapshot)"]), "2": ([], []), "3": ([], [])}
     assert [x["gaps"] for x in pt.captured_tools(tools, seen.limit(0)).orderBy("rule_id").collect()][0][0] == "doc360->doc360_read_claim_by_fln_dcc(not-in-snapshot)"
+
+
+def test_drafts_are_read_by_several_tasks(spark, monkeypatch):
+    sizes, dealt = [], dr.dealt
+    monkeypatch.setattr(dr, "dealt", lambda rows, *more: sizes.append(dealt(rows, *more).rdd.getNumPartitions()) or dealt(rows, *more))
+    step = '{"number":1,"decision_rows":[{"if":"a","children":[{"if":"b"}]}]}'
+    rules = dr.draft_rules(spark.range(0, 11_000, 1, 1).select(F.col("id").alias("sop_id"), F.lit(step).alias("step")))
+    assert dr.draft_rows(rules).count() == 22_000 and sizes[0] == 3
