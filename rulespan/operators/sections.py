@@ -39,7 +39,6 @@ BACKGROUND = r"background(?:-color)?\s*:\s*#?([0-9a-fA-F]{3,6})"
 STEP_HEADING = r"(?i)\bStep\s+([0-9]+)\b"
 SKIP = r"[Ss]kip\s+to\s+[Ss]tep\s+([0-9]+)"
 NEAREST = ("h1", "h2", "h3", "h4", "h5", "div", "span")
-MOST_TITLE, MOST_RAW = 300, 4000
 
 
 def number(text: Column) -> Column:
@@ -337,13 +336,14 @@ def step_claims(found: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFram
 
 def step_inventory(claims: DataFrame) -> DataFrame:
     """(doc_id, number, title, n_rows, rows, raw_text) of each claimed step: the
-    first long cell as title, rows without header rows, and their text."""
+    first long cell as title, rows without header rows, and their text; both
+    texts are whole, however long."""
     rows = claims.groupBy("doc_id", "number").agg(F.array_sort(F.collect_list(F.struct("pos", "cells"))).alias("all"))
     long = F.filter(F.flatten(F.transform("all", lambda s: s["cells"])), lambda v: number(v).isNull() & ~F.trim(v).rlike("^[0-9]+$") & (F.length(v) > 10))
     kept = F.filter(F.transform("all", lambda s: s["cells"]), lambda v: (F.size(v) > 0) & ~is_header(v))
-    rows = rows.select("doc_id", "number", F.substring(F.coalesce(F.get(long, F.lit(0)), F.lit("")), 1, MOST_TITLE).alias("title"), kept.alias("rows"))
+    rows = rows.select("doc_id", "number", F.coalesce(F.get(long, F.lit(0)), F.lit("")).alias("title"), kept.alias("rows"))
     raw = F.array_join(F.transform("rows", lambda v: F.array_join(v, " | ")), "\n")
-    return rows.select("doc_id", "number", "title", F.size("rows").alias("n_rows"), "rows", F.substring(raw, 1, MOST_RAW).alias("raw_text"))
+    return rows.select("doc_id", "number", "title", F.size("rows").alias("n_rows"), "rows", raw.alias("raw_text"))
 
 
 def unclaimed_sections(found: DataFrame, sections: DataFrame, claims: DataFrame) -> DataFrame:

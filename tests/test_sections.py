@@ -50,6 +50,15 @@ def test_odd_documents(spark):
     assert {r["number"]: r["rows"] for r in sc.step_inventory(sc.step_claims(found, rows, cells)).collect()} == {1: [], 2: []}
 
 
+def test_step_texts_are_whole(spark):
+    long, lines = "a long cell " * 900 + "end", [f"line {i} of the step" for i in range(400)]
+    html = f"<table><tr><td>1</td><td>{long}</td></tr>{''.join(f'<tr><td>{t}</td></tr>' for t in lines)}</table>"
+    found = mk.nodes(spark.createDataFrame([(1, html)], "doc_id long, html string"))
+    (out,) = sc.step_inventory(sc.step_claims(found, sc.table_rows(found), sc.table_cells(found))).collect()
+    assert out["title"] == long and out["n_rows"] == 401
+    assert out["raw_text"] == "\n".join([long, *lines])
+
+
 def test_group_tables_of_a_document_are_those_within_others(spark):
     html = "<table><tr><td>{}</td></tr></table>".format("<table><tr><td>Group</td><td>Limit</td></tr><tr><td>A</td><td>3 months</td></tr><tr><td>A</td><td>9 days</td></tr></table>")
     found = mk.nodes(spark.createDataFrame([(1, html)], "doc_id long, html string"))
